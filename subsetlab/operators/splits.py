@@ -11,9 +11,9 @@ def training_sets(n_runs: int, window: int) -> Column:
     """
     if not 1 <= window < n_runs <= MAX_RUNS:
         raise ValueError(f"need 1 <= window < runs <= {MAX_RUNS}, got window {window} and {n_runs} runs")
-    subsets = F.transform(F.sequence(F.lit(1), F.lit((1 << n_runs) - 1)),
-                          lambda mask: F.filter(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda r: F.getbit(mask, r) == 1))
-    return F.array_sort(F.filter(subsets, lambda runs: (F.size(runs) == window) & (F.element_at(runs, -1) < n_runs - 1)))
+    last = n_runs - 1
+    return F.expr(f"array_sort(filter(transform(sequence(1, {(1 << n_runs) - 1}), mask -> filter(sequence(0, {last}), r -> getbit(mask, r) = 1)), "
+                  f"runs -> size(runs) = {window} AND element_at(runs, -1) < {last}))")
 
 
 def later_runs(train: Column, n_runs: int) -> Column:

@@ -1,7 +1,7 @@
 """All registered queries."""
-from . import queries_core
+from . import queries_core, queries_vectors
 
-MODULES = (queries_core,)
+MODULES = (queries_core, queries_vectors)
 QUERIES, ORACLE = {}, {}
 for module in MODULES:
     QUERIES.update(module.QUERIES)
