@@ -6,6 +6,8 @@ offset, and the row-level window runs per (group, bucket). The result is the exa
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 BUCKETS = 64
 
 
@@ -81,10 +83,11 @@ def group_quantiles(df: DataFrame, keys, value: str, shares, prefix: str = "p")
     """Exact linearly interpolated quantiles per group: one row per group, one column per share.
 
     Equal values are counted before the shuffle, the counts are summed up to positions bucket by bucket, and only the rows that
-    hold a wanted position are kept, so a group of any size needs no more memory than a bucket's sort.
+    hold a wanted position are kept, so a group of any size needs no more memory than a bucket's sort. The counted values are
+    read several times and are therefore written to the checkpoint folder once.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     placed = running_total(counted, keys, value, [], "_n", "_upto")
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     rows = _attach(placed, sizes, keys)

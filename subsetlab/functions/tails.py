@@ -8,6 +8,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a, b, x):
@@ -71,37 +72,37 @@ def signed_rank_exact(w, n, side):
     return at_least if side == "greater" else min(1.0, 2.0 * min(at_least, at_most))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value of a z score."""
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_upper(z: pd.Series) -> pd.Series:
     """Upper-tail normal p-value of a z score."""
     return z.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(v / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_two_sided(w: pd.Series, n: pd.Series) -> pd.Series:
     """Exact two-sided signed-rank p-value of rows with at most 50 differences; null elsewhere."""
     return pd.Series([signed_rank_exact(a, int(b), "two") if a == a and b == b and 0 < b <= 50 else None for a, b in zip(w, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_upper(w: pd.Series, n: pd.Series) -> pd.Series:
     """Exact one-sided signed-rank p-value of rows with at most 50 differences; null elsewhere."""
     return pd.Series([signed_rank_exact(a, int(b), "greater") if a == a and b == b and 0 < b <= 50 else None for a, b in zip(w, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def beta_ppf(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """Beta quantile per row."""
     return pd.Series([beta_quantile(*row) if all(v == v for v in row) else None for row in zip(p, a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_ppf(p: pd.Series, df: pd.Series) -> pd.Series:
     """Student t quantile per row (p above one half)."""
     return pd.Series([t_quantile(q, d) if d == d and d > 0 else None for q, d in zip(p, df)], dtype="float64")

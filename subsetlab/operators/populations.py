@@ -165,7 +165,7 @@ def level_validity(rates: DataFrame) -> DataFrame:
     ranked = average_ranks(average_ranks(rates.where(F.col("rate").isNotNull()), ["run"], "level", "_rl"), ["run"], "rate", "_rr")
     correlation = ranked.groupBy("run").agg(F.corr("_rl", "_rr").alias("spearman"))
     by_level = rates.groupBy("run", "level").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("spread"))
-    step = F.col("mean") - F.lag("mean").over(Window.partitionBy("run").orderBy("level"))
+    step = F.round(F.col("mean") - F.lag("mean").over(Window.partitionBy("run").orderBy("level")), 9)
     steps = by_level.withColumn("gap", step).groupBy("run").agg(
         F.sum((F.col("gap") <= 0).cast("int")).alias("inversions"), (F.avg("gap") * 100).alias("mean_gap"), (F.min("gap") * 100).alias("min_gap"),
         (F.max("gap") * 100).alias("max_gap"), (F.min("spread") * 100).alias("min_spread"), (F.max("spread") * 100).alias("max_spread"))

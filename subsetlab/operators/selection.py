@@ -20,20 +20,22 @@ def explode_draws(df: DataFrame, n_draws: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
 
 
-def top_per_stratum(candidates: DataFrame, keys, order, large_bucket=None) -> DataFrame:
+def top_per_stratum(candidates: DataFrame, keys, order, quotas: DataFrame, large_bucket) -> DataFrame:
     """The first ``quota`` rows of every (keys, stratum) in the given order.
 
-    Strata up to ``LARGE_STRATUM`` members (the counted column ``members``) are ranked by a streaming window. A larger stratum
-    is ranked over ordered buckets (``large_bucket``: rows -> rows with a monotone ``_bucket``), so no task holds all of it;
-    the result is the same exact rank.
+    Strata up to ``LARGE_STRATUM`` members are ranked by a streaming window. The counted sizes in ``quotas`` tell whether there are
+    larger ones; those are ranked over ordered buckets (``large_bucket``: rows -> rows with a monotone ``_bucket``), so no task
+    holds a whole stratum. Both ways give the same exact rank.
     """
     group = [*keys, "stratum"]
     window = Window.partitionBy(*group).orderBy(*order)
-    if large_bucket is None:
-        return candidates.withColumn("pick", F.row_number().over(window)).where(F.col("pick") <= F.col("quota"))
-    small = candidates.where(F.col("members") <= LARGE_STRATUM).withColumn("pick", F.row_number().over(window))
-    large = bucketed_rank(large_bucket(candidates.where(F.col("members") > LARGE_STRATUM)), group, "_bucket", order, "pick").drop("_bucket")
-    return small.unionByName(large.select(*small.columns)).where(F.col("pick") <= F.col("quota"))
+    small = candidates.withColumn("pick", F.row_number().over(window))
+    if not quotas.where(F.col("members") > LARGE_STRATUM).isEmpty():
+        is_large = F.col("members") > LARGE_STRATUM
+        large = bucketed_rank(large_bucket(candidates.where(is_large)), group, "_bucket", order, "pick").drop("_bucket")
+        small = candidates.where(~is_large).withColumn("pick", F.row_number().over(window))
+        small = small.unionByName(large.select(*small.columns))
+    return small.where(F.col("pick") <= F.col("quota"))
 
 
 def _by_hash(rows: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def stratified_draws(members: DataFrame, quotas: DataFrame, n_draws: int, seed="
     """
     candidates = explode_draws(members.join(open_quotas(quotas, keys), [*keys, "stratum"]), n_draws)
     keyed = candidates.withColumn("_key", hash_key(seed, *[F.col(c) for c in DRAW_COLUMNS]))
-    picked = top_per_stratum(keyed, [*keys, "subset", "draw"], [F.col("_key"), F.col("instance")], _by_hash)
+    picked = top_per_stratum(keyed, [*keys, "subset", "draw"], [F.col("_key"), F.col("instance")], quotas, _by_hash)
     return picked.drop("_key", "quota", "members")
 
 
@@ -71,7 +73,7 @@ def fill_shortfall(selected: DataFrame, members: DataFrame, slots: DataFrame, ke
 def stability_control(members: DataFrame, quotas: DataFrame, keys=("population", "window", "split", "method")) -> DataFrame:
     """Deterministic control: in every difficulty stratum the instances whose training outcomes varied least."""
     candidates = members.join(open_quotas(quotas, keys), [*keys, "stratum"]).withColumn("variance", F.round("variance", 9))
-    picked = top_per_stratum(candidates, [*keys, "subset"], [F.col("variance"), F.col("instance")],
+    picked = top_per_stratum(candidates, [*keys, "subset"], [F.col("variance"), F.col("instance")], quotas,
                              lambda rows: rows.withColumn("_bucket", F.col("variance")))
     return picked.drop("quota", "members")
 
@@ -104,7 +106,7 @@ def nearest_to_centre(candidates: DataFrame, quotas: DataFrame, keys) -> DataFra
     group = [*keys, "subset", "stratum"]
     bucket = lambda rows: (with_value_bucket(rows, group, "to_centre")
                            .withColumn("_bucket", F.when(F.col("to_centre").isNull(), BUCKETS).otherwise(F.col("_bucket"))))
-    picked = top_per_stratum(joined, [*keys, "subset"], [F.col("_order"), F.col("instance")], bucket)
+    picked = top_per_stratum(joined, [*keys, "subset"], [F.col("_order"), F.col("instance")], quotas, bucket)
     return picked.drop("_missing", "quota", "members", "_order")
 
 
