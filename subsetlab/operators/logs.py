@@ -66,6 +66,15 @@ def unify_messages(raw: DataFrame, column: str = "messages", xml: bool = True) -
     return raw.withColumn(column, F.transform(column, one))
 
 
+def explode_computed(rows: DataFrame, others, array: Column) -> DataFrame:
+    """Explode a computed array into (``_at``, ``_s``).
+
+    The outer form is used on purpose: for the inner form the optimizer infers a "not empty" filter and pushes it below the
+    projection, which computes the whole array a second time.
+    """
+    return rows.select(*others, F.posexplode_outer(array).alias("_at", "_s")).where(F.col("_at").isNotNull())
+
+
 def steps_by_look_ahead(messages: DataFrame, column: str = "messages", look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """One row per call; the observation is the first of the next messages that answers it.
 
@@ -77,17 +86,16 @@ def steps_by_look_ahead(messages: DataFrame, column: str = "messages", look_ahea
                f"(c.id = '{XML_CALL_ID}' AND m[a.pos + k].role = 'user' AND contains(m[a.pos + k].text, '{RESULT_MARKER}'))")
     found = f"get(filter(array({offsets}), k -> a.pos + k < size(m) AND ({answers})), 0)"
     step = "struct<name:string,arguments:string,observation:string>"
-    fold = f"""aggregate(sequence(0, size(m) - 1),
+    fold = f"""aggregate(if(size(m) > 0, sequence(0, size(m) - 1), cast(array() AS array<int>)),
         named_struct('pos', -1, 'steps', cast(array() AS array<{step}>)),
         (acc, i) -> if(i <= acc.pos OR size(m[i].calls) = 0, acc,
             aggregate(m[i].calls, named_struct('pos', i, 'steps', acc.steps), (a, c) ->
                 named_struct('pos', a.pos + coalesce({found}, 0),
                              'steps', array_append(a.steps, named_struct('name', c.name, 'arguments', c.arguments,
-                                      'observation', coalesce(m[a.pos + {found}].text, '')))))),
+                                      'observation', if({found} IS NULL, '', m[a.pos + {found}].text)))))),
         acc -> acc.steps)""".replace("m[", f"`{column}`[").replace("size(m)", f"size(`{column}`)")
     others = [c for c in messages.columns if c != column]
-    return (messages.where(F.size(column) > 0).withColumn("_steps", F.expr(fold))
-            .select(*others, F.posexplode("_steps").alias("_at", "_s"))
+    return (explode_computed(messages, others, F.expr(fold))
             .select(*others, (F.col("_at") + 1).alias("step_index"), "_s.name", "_s.arguments", "_s.observation"))
 
 
@@ -98,7 +106,7 @@ def steps_by_id(messages: DataFrame, column: str = "messages") -> DataFrame:
     answer = lambda c: F.element_at(F.filter(column, lambda m: (m["role"] == "tool") & (m["tool_call_id"] == c["id"])), -1)
     answered = F.transform(calls, lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"),
                                                      F.when(F.exists(column, lambda m: (m["role"] == "tool") & (m["tool_call_id"] == c["id"])), answer(c)["text"]).otherwise("").alias("observation")))
-    return (messages.select(*others, F.posexplode(answered).alias("_at", "_s"))
+    return (explode_computed(messages, others, answered)
             .select(*others, (F.col("_at") + 1).alias("step_index"), "_s.name", "_s.arguments", "_s.observation"))
 
 
@@ -285,8 +293,8 @@ def parse_text_logs(logs: DataFrame, text: str = "text") -> DataFrame:
     sections = F.split(solver, r"\n## Step \d+\n")
     paired = F.transform(sections, lambda s, i: F.struct(s.alias("section"), F.coalesce(F.get(sections, i + 1), F.lit("")).alias("next")))
     others = [c for c in described.columns if c != text]
-    rows = (described.select(*others, F.posexplode(paired).alias("step_index", "_s")).where(F.col("step_index") > 0)
-            .select(*others, "step_index", "_s.section", "_s.next"))
+    rows = (explode_computed(described, others, paired).where(F.col("_at") > 0)
+            .select(*others, F.col("_at").alias("step_index"), "_s.section", "_s.next"))
     part = lambda column, pattern: strip(F.regexp_extract(column, pattern, 1))
     own = F.when(part("section", OBSERVATION) != "", part("section", OBSERVATION)).otherwise(part("section", THINKING))
     rows = (rows.withColumn("_own", own).withColumn("_action", part("section", ACTION)).withColumn("_has", F.col("section").rlike(ACTION))
