@@ -58,7 +58,7 @@ LABELLED = """labelled AS (
 
 def sql(*ctes, query) -> str:
     """WITH statement from CTE texts."""
-    return "WITH " + ",\n".join(ctes) + "\n" + query
+    return ("WITH " + ",\n".join(ctes) if ctes else "") + "\n" + query
 
 
 def union_all(frames) -> DataFrame:
