@@ -1,7 +1,8 @@
 """The study on the driver's tables: populations with outcomes, and the error tables of several methods on them."""
 from pyspark.sql import functions as F
 
-from ..operators import errors, populations, selection, splits, strata, vectors
+from ..operators import comparisons, errors, populations, selection, splits, strata, vectors
+from ..session import cut_lineage
 from . import inputs
 from .inputs import COMPLETE, N_RUNS, OUTCOMES, splits_sql
 from .queries_core import whole_population
@@ -69,6 +70,22 @@ def baseline_draws(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTI
     return errors.split_metrics(errors.run_errors(drawn, rates, KEYS + ["subset", "draw"], N_RUNS))
 
 
+_STAGES = {}
+
+
+def stage(spark, folder, name, build):
+    """A stage table that several queries read: built once per session and data folder, kept in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STAGES:
+        _STAGES[key] = cut_lineage(build())
+    return _STAGES[key]
+
+
+def clear_stages():
+    """Forget all stage tables (benchmarks time queries from the start)."""
+    _STAGES.clear()
+
+
 def split_table(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTION,), n_draws=STUDY_DRAWS):
     """Split-level metrics (population, window, split, method, subset, rmse, maxerr, maxerr_mean, p95): baselines, control and centroid."""
     stochastic = errors.stochastic_metrics(baseline_draws(spark, folder, windows, fractions, n_draws), KEYS + ["subset"]).drop("typical_draw")
@@ -86,10 +103,10 @@ def split_vectors(spark, folder, windows=STUDY_WINDOWS):
     return by_run.select("window", "split", "instance", vectors.instance_vector(F.col("vectors"), F.col("train")).alias("vector"))
 
 
-def centroid_selections(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTION,)):
-    """Centroid inside outcome strata on every population and split."""
+def centroid_selections(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTION,), strata_used=True):
+    """Centroid inside outcome strata, or on whole populations, for every population and split."""
     rows = (labelled_members(spark, folder, windows).join(split_vectors(spark, folder, windows), ["window", "split", "instance"], "left")
-            .withColumn("stratum", strata.outcome_stratum(F.col("passes"), F.col("window"))))
+            .withColumn("stratum", strata.outcome_stratum(F.col("passes"), F.col("window")) if strata_used else F.lit("")))
     keys = ["population", "window", "split"]
     return selection.nearest_to_centre(rows, strata.stratum_quotas(rows, keys, fractions), keys)
 
@@ -100,13 +117,28 @@ def deterministic_selections(spark, folder, windows=STUDY_WINDOWS, fractions=(ST
     members = strata.baseline_strata(labelled_members(spark, folder, windows), (strata.CONTROL,))
     control = selection.stability_control(members, strata.stratum_quotas(members, KEYS, fractions))
     centroid = centroid_selections(spark, folder, windows, fractions).withColumn("method", F.lit("embedding_strata:centroid_pooled"))
+    pure = centroid_selections(spark, folder, windows, fractions, strata_used=False).withColumn("method", F.lit("pure_embedding:centroid_pooled"))
     return (control.withColumn("method", F.concat(F.lit("baselines:"), F.col("method"))).select(*columns)
-            .unionByName(centroid.select(*columns)))
+            .unionByName(centroid.select(*columns)).unionByName(pure.select(*columns)))
+
+
+def split_stage(spark, folder):
+    """Split-level metrics as a stage table."""
+    return stage(spark, folder, "splits", lambda: split_table(spark, folder))
+
+
+def draw_stage(spark, folder, seed="determinism"):
+    """Per-seed values (population, window, subset, method, draw, rmse, maxerr) from a stream of their own."""
+    def build():
+        draws = baseline_draws(spark, folder, seed=seed)
+        return comparisons.per_seed(draws, ["population", "window", "subset", "method"])
+    return stage(spark, folder, f"draws-{seed}", build)
 
 
-def population_table(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTION,), n_draws=STUDY_DRAWS):
+def population_stage(spark, folder):
     """Population-level metrics per window, method and subset, with the population's level."""
-    per_split = split_table(spark, folder, windows, fractions, n_draws)
-    table = errors.population_metrics(per_split, ["population", "window", "method", "subset"])
-    levels = drawn_populations(spark, folder).groupBy("population").agg(F.max("level").alias("level"))
-    return table.join(levels, "population")
+    def build():
+        table = errors.population_metrics(split_stage(spark, folder), ["population", "window", "method", "subset"])
+        levels = drawn_populations(spark, folder).groupBy("population").agg(F.max("level").alias("level"))
+        return table.join(levels, "population")
+    return stage(spark, folder, "populations", build)
