@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
-from ..functions import arrays
+from ..functions.vector_udfs import euclidean
 from ..functions.ranking import BUCKETS, bucketed_rank, hash_bucket, hash_key, with_value_bucket
 
 LARGE_STRATUM = 100_000   # members; larger strata are ranked over buckets
@@ -88,7 +88,7 @@ def group_centres(candidates: DataFrame, keys, vector: str = "vector") -> DataFr
 def distance_to_centre(candidates: DataFrame, keys, vector: str = "vector", digits: int = 9) -> DataFrame:
     """Distance of every candidate to its group's mean vector, rounded so that ties do not depend on summation order."""
     joined = candidates.join(group_centres(candidates, keys, vector), list(keys))
-    return joined.withColumn("to_centre", F.round(arrays.distance(F.col(vector), F.col("centre")), digits)).drop("centre")
+    return joined.withColumn("to_centre", F.round(euclidean(F.col(vector), F.col("centre")), digits)).drop("centre")
 
 
 def nearest_to_centre(candidates: DataFrame, quotas: DataFrame, keys) -> DataFrame:

@@ -129,11 +129,11 @@ def reference_comparison(spark, folder):
     return rounded(rows, ["window", "subset", "method", "reference", "wins", "ties", "losses", "magnitude"], ["median", "mean", "delta", "imp_rmse", "imp_maxerr", "p_value", "holm_p"])
 
 
-@register("window_averages", sql(*POPULATION_TABLE, WITH_OVERALL, query=f"""SELECT CAST(population AS BIGINT) AS population, method, subset, {r_(("rmse", "maxerr", "p95"))} FROM with_overall WHERE "window" = 0"""))
+@register("window_averages", sql(*POPULATION_TABLE, WITH_OVERALL, query=f"""SELECT CAST(population AS BIGINT) AS population, method, subset, {r_(("rmse", "maxerr", "p95"), 8)} FROM with_overall WHERE "window" = 0"""))
 def window_averages(spark, folder):
     """Equal-weight mean over the windows a method exists in."""
     w = rankings.window_average(population_stage(spark, folder)).withColumn("population", F.col("population").cast("long"))
-    return rounded(w, ["population", "method", "subset"], ["rmse", "maxerr", "p95"])
+    return rounded(w, ["population", "method", "subset"], ["rmse", "maxerr", "p95"], 8)
 
 
 @register("unpaired_delta", sql(*POPULATION_TABLE, query="""
@@ -170,8 +170,8 @@ def range_violations(spark, folder):
 
 
 @register("fisher_combination", sql(*POPULATION_TABLE, WITH_OVERALL, PAIRED, signed_rank_sql("paired", CELL, "d"), query="""
-SELECT subset, method, combined, round(statistic, 4) AS statistic, round(CASE WHEN combined >= 2 THEN exp(-statistic / 2) * list_sum(list_transform(range(combined), lambda i: exp(i * ln(greatest(statistic / 2, 1e-300)) - lgamma(i + 1)))) ELSE only END, 6) AS combined_p
-FROM (SELECT subset, method, count(*) AS combined, -2 * sum(ln(greatest(p_value, 1e-7))) AS statistic, any_value(p_value) AS only FROM tests WHERE "window" > 0 GROUP BY subset, method)"""))
+SELECT subset, method, combined, round(statistic, 4) AS statistic, round(CASE WHEN combined >= 2 THEN exp(-statistic / 2) * list_sum(list_transform(range(combined), lambda i: exp(i * ln(greatest(statistic / 2, 1e-300)) - lgamma(i + 1)))) ELSE single END, 6) AS combined_p
+FROM (SELECT subset, method, count(*) AS combined, -2 * sum(ln(greatest(p_value, 1e-7))) AS statistic, any_value(p_value) AS single FROM tests WHERE "window" > 0 GROUP BY subset, method)"""))
 def fisher_combination(spark, folder):
     """P-values combined over windows."""
     table = population_stage(spark, folder)

@@ -16,12 +16,29 @@ KEYS = ["population", "window", "split", "method"]
 BASELINES = strata.ONE_RUN_BASELINES + strata.TWO_RUN_BASELINES
 
 
+_STAGES = {}
+
+
+def stage(spark, folder, name, build):
+    """A stage table that several queries read: built once per session and data folder, kept in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STAGES:
+        _STAGES[key] = cut_lineage(build())
+    return _STAGES[key]
+
+
+def clear_stages():
+    """Forget all stage tables (benchmarks time queries from the start)."""
+    _STAGES.clear()
+
+
 def drawn_populations(spark, folder):
     """Populations drawn from run 0, with each member's repository and outcome array."""
-    whole = whole_population(spark, folder).drop("population")
-    source = whole.select("instance", F.get("outcomes", F.lit(0)).alias("passed"))
-    drawn = populations.draw_populations(source, N_POPULATIONS, POPULATION_SIZE)
-    return drawn.join(whole, "instance")
+    def build():
+        whole = whole_population(spark, folder).drop("population")
+        source = whole.select("instance", F.get("outcomes", F.lit(0)).alias("passed"))
+        return populations.draw_populations(source, N_POPULATIONS, POPULATION_SIZE).join(whole, "instance")
+    return stage(spark, folder, "members", build)
 
 
 def _plan_sql():
@@ -70,22 +87,6 @@ def baseline_draws(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTI
     return errors.split_metrics(errors.run_errors(drawn, rates, KEYS + ["subset", "draw"], N_RUNS))
 
 
-_STAGES = {}
-
-
-def stage(spark, folder, name, build):
-    """A stage table that several queries read: built once per session and data folder, kept in the checkpoint folder."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STAGES:
-        _STAGES[key] = cut_lineage(build())
-    return _STAGES[key]
-
-
-def clear_stages():
-    """Forget all stage tables (benchmarks time queries from the start)."""
-    _STAGES.clear()
-
-
 def split_table(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTION,), n_draws=STUDY_DRAWS):
     """Split-level metrics (population, window, split, method, subset, rmse, maxerr, maxerr_mean, p95): baselines, control and centroid."""
     stochastic = errors.stochastic_metrics(baseline_draws(spark, folder, windows, fractions, n_draws), KEYS + ["subset"]).drop("typical_draw")
@@ -99,8 +100,11 @@ def split_table(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTION,
 def split_vectors(spark, folder, windows=STUDY_WINDOWS):
     """(window, split, instance, vector): the mean training vector, computed once per instance and split, not per population."""
     from .queries_vectors import run_vectors
-    by_run = splits.explode_splits(vectors.run_vector_arrays(run_vectors(spark, folder), N_RUNS), N_RUNS, windows)
-    return by_run.select("window", "split", "instance", vectors.instance_vector(F.col("vectors"), F.col("train")).alias("vector"))
+
+    def build():
+        by_run = splits.explode_splits(vectors.run_vector_arrays(run_vectors(spark, folder), N_RUNS), N_RUNS, windows)
+        return by_run.select("window", "split", "instance", vectors.instance_vector(F.col("vectors"), F.col("train")).alias("vector"))
+    return stage(spark, folder, f"vectors-{windows}", build)
 
 
 def centroid_selections(spark, folder, windows=STUDY_WINDOWS, fractions=(STUDY_FRACTION,), strata_used=True):
