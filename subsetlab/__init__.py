@@ -1 +1,7 @@
 """subsetlab: Spark jobs for logs of repeated benchmark runs and for choosing representative subsets of a benchmark."""
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run inside tasks travel with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
