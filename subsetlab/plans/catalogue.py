@@ -1,7 +1,7 @@
 """All registered queries."""
-from . import queries_core, queries_cost, queries_logs, queries_populations, queries_stats, queries_text, queries_vectors
+from . import queries_core, queries_cost, queries_logs, queries_populations, queries_sources, queries_stats, queries_text, queries_vectors
 
-MODULES = (queries_core, queries_vectors, queries_populations, queries_cost, queries_logs, queries_text, queries_stats)
+MODULES = (queries_core, queries_vectors, queries_populations, queries_cost, queries_logs, queries_text, queries_sources, queries_stats)
 QUERIES, ORACLE = {}, {}
 for module in MODULES:
     QUERIES.update(module.QUERIES)
