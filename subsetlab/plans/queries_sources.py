@@ -113,12 +113,13 @@ def message_log_scan(spark, folder):
                           F.get("messages", F.lit(0))["role"].alias("first_role"))
 
 
-@register("text_log_scan", sql(query="SELECT lang AS run, CAST(doc_id AS VARCHAR) AS trajectory, length(text) AS characters, md5(text) AS text_md5 FROM documents"))
+@register("text_log_scan", sql(query="SELECT 'p' || (page_id % 5) AS run, CAST(page_id AS VARCHAR) AS trajectory, length(html) AS characters, md5(html) AS text_md5 FROM pages"))
 def text_log_scan(spark, folder):
-    """S3: documents written as whole text files and scanned back."""
+    """S3: pages written as whole text files and scanned back."""
     path = scratch(spark)
-    inputs.table(spark, folder, "documents").select("lang", "doc_id", "text").write.option("lineSep", "\x1e").partitionBy("lang", "doc_id").text(path)
-    scanned = scans.scan_text_logs(spark, path, r"lang=(\w+)/", r"doc_id=(\d+)/").withColumn("text", F.regexp_replace("text", "\x1e$", ""))
+    pages = inputs.table(spark, folder, "pages").select(F.concat(F.lit("p"), F.pmod("page_id", F.lit(5)).cast("string")).alias("run"), "page_id", "html")
+    pages.write.option("lineSep", "\x1e").partitionBy("run", "page_id").text(path)
+    scanned = scans.scan_text_logs(spark, path, r"run=(\w+)/", r"page_id=(\d+)/").withColumn("text", F.regexp_replace("text", "\x1e$", ""))
     return scanned.select("run", "trajectory", F.length("text").cast("long").alias("characters"), F.md5("text").alias("text_md5"))
 
 
@@ -185,11 +186,11 @@ def unified_records(spark, folder):
 
 
 @register("md5_audit", sql(query="""
-SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 7 = 1 THEN 'extra' ELSE 'differs' END AS state FROM documents WHERE doc_id % 7 IN (0, 1, 2)"""))
+SELECT CAST(page_id AS VARCHAR) AS name, CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN page_id % 7 = 1 THEN 'extra' ELSE 'differs' END AS state FROM pages WHERE page_id % 7 IN (0, 1, 2)"""))
 def md5_audit(spark, folder):
     """Stored files against an md5 manifest."""
     path = scratch(spark)
-    docs = inputs.table(spark, folder, "documents").withColumn("m", F.pmod("doc_id", F.lit(7)))
+    docs = inputs.table(spark, folder, "pages").withColumnRenamed("page_id", "doc_id").withColumnRenamed("html", "text").withColumn("m", F.pmod("doc_id", F.lit(7)))
     docs.where(F.col("m") != 0).select("doc_id", "text").write.option("lineSep", "\x1e").partitionBy("doc_id").text(path)
     stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
     files = stored.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).alias("name"), "content")
