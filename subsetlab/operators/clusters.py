@@ -13,6 +13,7 @@ from .blocks import block_pairs, distances, matrix, sweep, to_blocks
 MIN_TO_CLUSTER = 20
 MAX_K = 15
 ITERATIONS = 10
+DENSE_SHARE = 0.9   # share of points that count as dense
 
 
 def _mean_by(points: DataFrame, keys) -> DataFrame:
@@ -65,7 +66,7 @@ def density_labels(points: DataFrame, keys) -> DataFrame:
     """(keys, instance, cluster): density clusters; loose points go to the nearest cluster centre.
 
     This plays the role of a hierarchical density clustering and is not label-identical to one: a point is dense when its core
-    distance is at most the group's median core distance, dense points within that radius belong together, clusters below the
+    distance is among the lower nine tenths of its group's, dense points within that radius belong together, clusters below the
     minimum size are dissolved. Neighbours are looked at block by block; only one number per point leaves a block pair.
     """
     keys = list(keys)
@@ -76,15 +77,15 @@ def density_labels(points: DataFrame, keys) -> DataFrame:
 
     def nearest(row):
         d = distances(matrix(row.flat, row.ids), matrix(row.o_flat, row.o_ids))
-        k = min(int(row.near[0]), d.shape[1])
+        k = min(int(row.near[0]) + 1, d.shape[1])   # the point itself is its own nearest
         part = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
         return np.repeat(np.asarray(row.ids), k), part.ravel()
 
     reach = sweep(block_pairs(blocks, blocks, keys), keys, nearest)
     order = Window.partitionBy(*keys, "instance").orderBy("value")
-    core = (reach.join(sizes.select(*keys, "_k"), keys).withColumn("_r", F.row_number().over(order)).where(F.col("_r") == F.col("_k"))
+    core = (reach.join(sizes.select(*keys, "_k"), keys).withColumn("_r", F.row_number().over(order)).where(F.col("_r") == F.col("_k") + 1)
             .select(*keys, "instance", F.round("value", 9).alias("core")))
-    radius = core.groupBy(*keys).agg(F.median("core").alias("radius"))
+    radius = core.groupBy(*keys).agg(F.percentile("core", DENSE_SHARE).alias("radius"))
     dense = core.join(radius, keys).withColumn("dense", (F.col("core") <= F.col("radius")).cast("int"))
     state = cut_lineage(rows.join(dense, [*keys, "instance"]).select(*keys, "instance", "vector", "radius", "dense", F.col("instance").alias("label")))
 
