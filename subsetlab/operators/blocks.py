@@ -13,12 +13,16 @@ BLOCK_ROWS = 256
 BIN_SHIFT = 36   # distances are binned by exponent and 16 mantissa bits
 
 
-def to_blocks(rows: DataFrame, keys, extras=(), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per block: ``ids``, ``flat`` (all vectors after each other) and one array per extra numeric column."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    placed = rows.join(sizes, list(keys)).withColumn("block", F.pmod(F.xxhash64("instance"), F.col("_blocks")).cast("int"))
+def to_blocks(rows: DataFrame, keys, extras=(), block_rows: int = None, split: str = None) -> DataFrame:
+    """One row per block: ``ids``, ``flat`` (all vectors after each other) and one array per extra numeric column.
+
+    With ``split``, rows with different values of that column never share a block, so that blocks of one kind can be picked out.
+    """
+    parts = [*keys, *([split] if split else [])]
+    sizes = rows.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / (block_rows or BLOCK_ROWS)).cast("int").alias("_blocks"))
+    placed = rows.join(sizes, parts).withColumn("block", F.pmod(F.xxhash64("instance"), F.col("_blocks")).cast("int"))
     entry = F.struct("instance", "vector", *[F.col(e).cast("double").alias(e) for e in extras])
-    gathered = placed.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+    gathered = placed.groupBy(*parts, "block").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
     return gathered.select(*keys, "block", F.col("_rows.instance").alias("ids"), F.flatten("_rows.vector").alias("flat"),
                            *[F.col(f"_rows.{e}").alias(e) for e in extras])
 
