@@ -4,6 +4,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 from ..functions.vector_udfs import euclidean
+from ..session import partitions
 from ..functions.ranking import BUCKETS, bucketed_rank, hash_bucket, hash_key, with_value_bucket
 
 LARGE_STRATUM = 100_000   # members; larger strata are ranked over buckets
@@ -20,21 +21,26 @@ def explode_draws(df: DataFrame, n_draws: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
 
 
-def top_per_stratum(candidates: DataFrame, keys, order, quotas: DataFrame, large_bucket) -> DataFrame:
+def has_large_strata(quotas: DataFrame) -> bool:
+    """Does any stratum have more than ``LARGE_STRATUM`` members? (One small job over the counted sizes.)"""
+    return not quotas.where(F.col("members") > LARGE_STRATUM).isEmpty()
+
+
+def top_per_stratum(candidates: DataFrame, keys, order, large: bool, large_bucket) -> DataFrame:
     """The first ``quota`` rows of every (keys, stratum) in the given order.
 
-    Strata up to ``LARGE_STRATUM`` members are ranked by a streaming window. The counted sizes in ``quotas`` tell whether there are
-    larger ones; those are ranked over ordered buckets (``large_bucket``: rows -> rows with a monotone ``_bucket``), so no task
+    Strata up to ``LARGE_STRATUM`` members (the counted column ``members``) are ranked by a streaming window. Where there are
+    ``large`` ones, those are ranked over ordered buckets (``large_bucket``: rows -> rows with a monotone ``_bucket``), so no task
     holds a whole stratum. Both ways give the same exact rank.
     """
     group = [*keys, "stratum"]
     window = Window.partitionBy(*group).orderBy(*order)
     small = candidates.withColumn("pick", F.row_number().over(window))
-    if not quotas.where(F.col("members") > LARGE_STRATUM).isEmpty():
+    if large:
         is_large = F.col("members") > LARGE_STRATUM
-        large = bucketed_rank(large_bucket(candidates.where(is_large)), group, "_bucket", order, "pick").drop("_bucket")
+        ranked = bucketed_rank(large_bucket(candidates.where(is_large)), group, "_bucket", order, "pick").drop("_bucket")
         small = candidates.where(~is_large).withColumn("pick", F.row_number().over(window))
-        small = small.unionByName(large.select(*small.columns))
+        small = small.unionByName(ranked.select(*small.columns))
     return small.where(F.col("pick") <= F.col("quota"))
 
 
@@ -49,9 +55,14 @@ def stratified_draws(members: DataFrame, quotas: DataFrame, n_draws: int, seed="
     ``members`` has one row per (instance, method) with its stratum. Strata that need nothing (quota 0) drop out before the
     draws are expanded.
     """
-    candidates = explode_draws(members.join(open_quotas(quotas, keys), [*keys, "stratum"]), n_draws)
+    large = has_large_strata(quotas)
+    # The members are placed by population and split once, while they are few; draws, ranks and errors then need no further shuffle.
+    # A population too large for that is spread by stratum and draw instead.
+    places = [k for k in keys if k != "method"]
+    placed = members if large or not places else members.repartition(partitions(members), *places)
+    candidates = explode_draws(placed.join(open_quotas(quotas, keys), [*keys, "stratum"]), n_draws)
     keyed = candidates.withColumn("_key", hash_key(seed, *[F.col(c) for c in DRAW_COLUMNS]))
-    picked = top_per_stratum(keyed, [*keys, "subset", "draw"], [F.col("_key"), F.col("instance")], quotas, _by_hash)
+    picked = top_per_stratum(keyed, [*keys, "subset", "draw"], [F.col("_key"), F.col("instance")], large, _by_hash)
     return picked.drop("_key", "quota", "members")
 
 
@@ -73,7 +84,7 @@ def fill_shortfall(selected: DataFrame, members: DataFrame, slots: DataFrame, ke
 def stability_control(members: DataFrame, quotas: DataFrame, keys=("population", "window", "split", "method")) -> DataFrame:
     """Deterministic control: in every difficulty stratum the instances whose training outcomes varied least."""
     candidates = members.join(open_quotas(quotas, keys), [*keys, "stratum"]).withColumn("variance", F.round("variance", 9))
-    picked = top_per_stratum(candidates, [*keys, "subset"], [F.col("variance"), F.col("instance")], quotas,
+    picked = top_per_stratum(candidates, [*keys, "subset"], [F.col("variance"), F.col("instance")], has_large_strata(quotas),
                              lambda rows: rows.withColumn("_bucket", F.col("variance")))
     return picked.drop("quota", "members")
 
@@ -106,7 +117,7 @@ def nearest_to_centre(candidates: DataFrame, quotas: DataFrame, keys) -> DataFra
     group = [*keys, "subset", "stratum"]
     bucket = lambda rows: (with_value_bucket(rows, group, "to_centre")
                            .withColumn("_bucket", F.when(F.col("to_centre").isNull(), BUCKETS).otherwise(F.col("_bucket"))))
-    picked = top_per_stratum(joined, [*keys, "subset"], [F.col("_order"), F.col("instance")], quotas, bucket)
+    picked = top_per_stratum(joined, [*keys, "subset"], [F.col("_order"), F.col("instance")], has_large_strata(quotas), bucket)
     return picked.drop("_missing", "quota", "members", "_order")
 
 

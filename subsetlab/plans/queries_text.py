@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import clean
 from ..operators import corpus, masking, vectors
+from ..session import spread
 from ..sources import rules
 from . import inputs
 from .inputs import sql
@@ -52,7 +53,7 @@ REPOSITORY = "concat(CASE lang WHEN 'en' THEN 'tion_kit/' WHEN 'fr' THEN 'ment-l
 
 def raw_documents(spark, folder):
     """Documents with a repository name and a harness-like last line, so that every masking rule has something to do."""
-    return inputs.table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.expr(FOOTER).alias("text"), F.expr(REPOSITORY).alias("repository"), "lang")
+    return spread(inputs.table(spark, folder, "documents")).select(F.col("doc_id").alias("doc"), F.expr(FOOTER).alias("text"), F.expr(REPOSITORY).alias("repository"), "lang")
 
 
 RAW = ("raw AS (SELECT doc_id AS doc, " + FOOTER.replace("\\n", "' || chr(10) || '").replace("\\'", "''") + " AS text, " + REPOSITORY + " AS repository, lang FROM documents)")
@@ -122,7 +123,7 @@ def masked_records(spark, folder):
 def labelled_documents(spark, folder):
     """corpus(doc, text, repository, passed)."""
     labels = inputs.table(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("passed"))
-    return inputs.table(spark, folder, "documents").join(labels, "doc_id").select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("repository"), "passed")
+    return spread(inputs.table(spark, folder, "documents")).join(labels, "doc_id").select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("repository"), "passed")
 
 
 @register("trajectory_texts", sql(LINES, _expected("openhands"), query="""
@@ -138,7 +139,7 @@ SELECT token, CASE WHEN regexp_full_match(token, '\\d+') THEN 'number' WHEN rege
        tf AS total_count, df AS doc_count, round(pct, 4) AS percent, CASE WHEN pct > 10 AND pct < 90 THEN 'HIGH' ELSE 'LOW (Stop/Rare)' END AS signal_strength FROM counted"""))
 def vocabulary(spark, folder):
     """V2: term and document counts."""
-    return corpus.vocabulary(inputs.table(spark, folder, "documents"))
+    return corpus.vocabulary(spread(inputs.table(spark, folder, "documents")))
 
 
 TOKENS = """tokens AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS token FROM documents) WHERE token <> '' GROUP BY token)"""
@@ -148,7 +149,7 @@ TOKENS = """tokens AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_sp
 SELECT row_number() OVER (ORDER BY n DESC, token) AS rank, token, n AS count, round(100.0::DOUBLE * sum(n) OVER (ORDER BY n DESC, token ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 4) AS cumulative_percent FROM tokens"""))
 def token_ranking(spark, folder):
     """V3: tokens by frequency with the cumulative share."""
-    return corpus.frequency_ranking(corpus.token_counts(inputs.table(spark, folder, "documents")))
+    return corpus.frequency_ranking(corpus.token_counts(spread(inputs.table(spark, folder, "documents"))))
 
 
 @register("token_shapes", sql(TOKENS, """shaped AS (
@@ -158,7 +159,7 @@ SELECT shape, count(*) AS unique_tokens, CAST(sum(n) AS BIGINT) AS total_volume,
 FROM shaped GROUP BY shape HAVING count(*) >= 6"""))
 def token_shapes(spark, folder):
     """V4: character shapes of frequent tokens."""
-    return corpus.shape_report(corpus.token_counts(inputs.table(spark, folder, "documents")))
+    return corpus.shape_report(corpus.token_counts(spread(inputs.table(spark, folder, "documents"))))
 
 
 def _content_sql():
@@ -215,7 +216,7 @@ SCAN_TERMS = ("the", "with", "les", "die", "passed", "sch", "que", "tion", "tox"
 SELECT term, count(*) AS documents FROM found WHERE hit GROUP BY term UNION ALL SELECT '(any)', count(DISTINCT doc_id) FROM found WHERE hit"""))
 def term_scan(spark, folder):
     """V8: documents that contain each term as a whole word."""
-    return corpus.term_scan(inputs.table(spark, folder, "documents"), SCAN_TERMS)
+    return corpus.term_scan(spread(inputs.table(spark, folder, "documents")), SCAN_TERMS)
 
 
 @register("outcome_probe")

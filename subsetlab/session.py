@@ -32,3 +32,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in the reliable checkpoint folder, so that lost executors never replay earlier rounds."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores, for work that is heavy per row.
+
+    A table that already arrives in enough pieces is left alone, so large inputs are not shuffled; a small file with one row group
+    would otherwise keep all but one core idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def partitions(df: DataFrame) -> int:
+    """Number of shuffle partitions of the session."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
