@@ -1,7 +1,7 @@
 """Catalogue of selection methods, their labels and the evaluation of families."""
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import calibration, clusters, errors, rounds, selection, strata
+from . import blocks, calibration, clusters, errors, rounds, selection, strata
 from .rankings import FAMILIES
 
 # The parts method names are made of.
@@ -67,13 +67,28 @@ def evaluate_pure_embedding(members: DataFrame, keys, algorithm: str, fractions,
     return errors.deterministic_metrics(chosen, rates, [*keys, "subset", "method"], n_runs)
 
 
+def covering_rows(members: DataFrame, keys, quotas: DataFrame, bandwidth: bool) -> DataFrame:
+    """Every stratum next to its whole population, for methods that score candidates against all members.
+
+    A member is repeated once per (stratum, subset) of its population; outcome strata are at most one more than the training runs.
+    """
+    keys = list(keys)
+    groups = quotas.groupBy(*keys).agg(F.collect_list(F.struct("stratum", "subset", "quota")).alias("_groups"))
+    rows = (members.select(*keys, "instance", "vector", F.col("stratum").alias("_own")).join(groups, keys).withColumn("_g", F.explode("_groups"))
+            .select(*keys, "_g.stratum", "_g.subset", "_g.quota", "instance", "vector", (F.col("_own") == F.col("_g.stratum")).alias("in_group")))
+    if not bandwidth:
+        return rows
+    return rows.join(blocks.median_positive_distance(members.where(F.col("vector").isNotNull()), keys), keys)
+
+
 def evaluate_within_strata(members: DataFrame, keys, algorithm: str, fractions, rates: DataFrame, n_runs: int) -> DataFrame:
     """A geometric method inside the outcome strata: errors per (keys, subset, method). ``members`` also has ``stratum``."""
     keys = list(keys)
     quotas = strata.stratum_quotas(members, keys, fractions).select(*keys, "stratum", "subset", "quota")
-    rows = members.select(*keys, "stratum", "instance", "vector", F.lit(True).alias("in_group")).join(quotas, [*keys, "stratum"])
     if algorithm in ("fl", "medoid"):
-        raise ValueError("methods that cover the whole population need its rows beside every stratum; build them with rounds.geometric_selection")
+        rows = covering_rows(members, keys, quotas, algorithm == "fl")
+    else:
+        rows = members.select(*keys, "stratum", "instance", "vector", F.lit(True).alias("in_group")).join(quotas, [*keys, "stratum"])
     picked = rounds.geometric_selection(rows, [*keys, "stratum", "subset"], algorithm).withColumn("method", F.lit(f"{algorithm}_pooled"))
     chosen = picked.select(*keys, "subset", "method", "instance").join(members.select(*keys, "instance", "outcomes", "test"), [*keys, "instance"])
     return errors.deterministic_metrics(chosen, rates, [*keys, "subset", "method"], n_runs)

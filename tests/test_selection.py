@@ -158,3 +158,19 @@ def test_method_catalogue(spark):
     assert {r["family"]: r["n"] for r in chosen} == {"baselines": 1, "embedding_strata": 1, "pure_embedding": 20, "clustering": 16, "shortlist": 24}
     assert [r["name"] for r in families.unknown_methods(table, asked).collect()] == ["nonsense"]
     assert math.isclose(sum(families.RATIOS.values()), 3.5)
+
+
+def test_families_inside_strata_cover_the_whole_population(spark):
+    x = points(21, 30, 4)
+    rows = [(0, 1, 0, i, [float(v) for v in x[i]], str(i % 2), [i % 2, (i // 2) % 2], [1]) for i in range(30)]
+    members = spark.createDataFrame(rows, "population int, window int, split int, instance long, vector array<double>, stratum string, outcomes array<int>, test array<int>")
+    keys = ["population", "window", "split"]
+    quotas = strata.stratum_quotas(members, keys, (0.2,)).select(*keys, "stratum", "subset", "quota")
+    picks = rounds.geometric_selection(families.covering_rows(members, keys, quotas, True), [*keys, "stratum", "subset"], "fl").collect()
+    for key in ("0", "1"):
+        inside = [i for i in range(30) if i % 2 == int(key)]
+        got = [r["instance"] for r in sorted((r for r in picks if r["stratum"] == key), key=lambda r: r["pick"])]
+        assert got == brute("fl", x, inside, 3)
+    rates = spark.createDataFrame([(0, [0.5, 0.5])], "population int, population_rates array<double>")
+    errors = families.evaluate_within_strata(members, keys, "medoid", (0.2,), rates, 2).collect()
+    assert len(errors) == 1 and 0.0 <= errors[0]["rmse"] <= 0.5
