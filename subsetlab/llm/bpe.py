@@ -8,6 +8,7 @@ Defined results: a null text is empty and gives no ids; repeated rows and repeat
 empty table; columns other than the two named are ignored. Decoding gives the UTF-8 bytes of the text.
 """
 import base64
+import gc
 import struct
 
 import numpy as np
@@ -76,23 +77,104 @@ def merge(piece: bytes, ranks) -> list:
     return out
 
 
-def text_encoder(ranks, pattern) -> TextEncoder:
+#: Longest match in bytes that is merged together with others; longer ones are merged one at a time.
+TOGETHER = 64
+WORDS_AT_ONCE = 50_000
+
+
+class Merger:
+    """Merges many matches at once: one segment tree per match, the trees side by side in arrays, one merge per match and step.
+
+    Parts are kept as ids, so a pair's rank is looked up by two ids: every split of a token into two tokens is in one hash index.
+    """
+
+    def __init__(self, ranks):
+        import pandas as pd
+        self.ranks = ranks
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left = ranks.get(token[:cut])
+                right = ranks.get(token[cut:]) if left is not None else None
+                if right is not None:
+                    pairs[left << 32 | right] = rank
+        self.index = pd.Index(np.fromiter(pairs, np.int64, len(pairs)))
+        self.pair_rank = np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)])
+
+    def rank_of(self, left, right, never, shift, at):
+        """Leaf values of pairs of ids at positions."""
+        found = self.index.get_indexer(left.astype(np.int64) << 32 | right)
+        return np.where(found >= 0, self.pair_rank[found] << shift | at, never)
+
+    def merge_together(self, pieces, size):
+        """Ids of pieces of 2 to ``size`` bytes, ``size`` a power of two: (flat ids, number per piece)."""
+        n, shift, never = len(pieces), size.bit_length() - 1, 1 << 62
+        length = np.array([len(p) for p in pieces])
+        place = np.arange(size)
+        inside = place < length[:, None]
+        ids = np.zeros((n, size), np.int64)
+        ids[inside] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        end, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+        tree = np.full((n, 2 * size), never)
+        rows, at = np.nonzero(inside[:, 1:])
+        tree[rows, size + at] = self.rank_of(ids[rows, at], ids[rows, at + 1], never, shift, at)
+        width = size // 2
+        while width:
+            tree[:, width:2 * width] = np.minimum(tree[:, 2 * width:4 * width:2], tree[:, 2 * width + 1:4 * width:2])
+            width //= 2
+        active = np.nonzero(tree[:, 1] < never)[0]
+        while len(active):
+            root = tree[active, 1]
+            i = root & (size - 1)
+            swallowed = end[active, i]
+            stop = end[active, swallowed]
+            end[active, i], ids[active, i] = stop, root >> shift
+            inside[active, swallowed] = False
+            leaf, more = np.full(len(active), never), np.nonzero(stop < length[active])[0]
+            row, at = active[more], i[more]
+            before[row, stop[more]] = at
+            leaf[more] = self.rank_of(ids[row, at], ids[row, stop[more]], never, shift, at)
+            tree[active, size + swallowed], tree[active, size + i] = never, leaf
+            first, has = before[active, i], np.nonzero(before[active, i] >= 0)[0]
+            row, at = active[has], first[has]
+            tree[row, size + at] = self.rank_of(ids[row, at], ids[row, i[has]], never, shift, at)
+            first = np.where(first >= 0, first, i)
+            for level in range(1, shift + 1):   # the three leaves' ways to the root
+                for leaf_at in (swallowed, i, first):
+                    k = (size + leaf_at) >> level
+                    tree[active, k] = np.minimum(tree[active, 2 * k], tree[active, 2 * k + 1])
+            active = active[tree[active, 1] < never]
+        return ids[inside], inside.sum(axis=1)
+
+    def __call__(self, matches):
+        """Packed ids of each match."""
+        pieces = [m.encode("utf-8", "replace") for m in matches]
+        whole = [self.ranks.get(p) for p in pieces]
+        out = [None if r is None else struct.pack("<I", r) for r in whole]
+        groups = {}
+        for k, p in enumerate(pieces):
+            if out[k] is None:
+                groups.setdefault(1 << (len(p) - 1).bit_length() if len(p) <= TOGETHER else 0, []).append(k)
+        for size, members in groups.items():
+            if not size:
+                for k in members:
+                    ids = merge(pieces[k], self.ranks)
+                    out[k] = struct.pack(f"<{len(ids)}I", *ids)
+                continue
+            for begin in range(0, len(members), WORDS_AT_ONCE):
+                some = members[begin:begin + WORDS_AT_ONCE]
+                ids, counts = self.merge_together([pieces[k] for k in some], size)
+                packed, ends = ids.astype(np.uint32).tobytes(), (4 * np.cumsum(counts)).tolist()
+                for k, start, stop in zip(some, [0, *ends], ends):
+                    out[k] = packed[start:stop]
+        return out
+
+
+def text_encoder(ranks_path, pattern) -> TextEncoder:
     """Encoder of whole texts: each match of the pattern is merged by itself."""
     import regex
-    matches = regex.compile(pattern).findall
-
-    def encode(text):
-        ids = []
-        for match in matches(text):
-            ids += merge(match.encode("utf-8", "replace"), ranks)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def irregular(text):
-        bare = encoder.bare
-        return b"".join([bare[match] for match in matches(text)])
-
-    encoder = TextEncoder(encode, irregular)
-    return encoder
+    return TextEncoder(regex.compile(pattern).findall, Merger(read_ranks(ranks_path)))
 
 
 def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
@@ -100,9 +182,10 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col="doc_i
     schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        encode = text_encoder(read_ranks(ranks_path), pattern)
+        gc.disable()   # strings and bytes alone: nothing here is in a cycle, and the collector would walk the whole cache
+        encoder = text_encoder(ranks_path, pattern)
         for batch in batches:
-            packed = [encode(text) for text in batch.column(1).to_pylist()]
+            packed = encoder.encode_batch(batch.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(packed), np.int32))
             yield batch_of(schema, [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)])

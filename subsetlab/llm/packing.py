@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subsetlab.llm.bpe import read_ranks
 from subsetlab.llm.common import batch_of
-from subsetlab.llm.tokens import TextEncoder
 from subsetlab.session import cut_lineage
 
 CAPACITY = 2048
@@ -25,32 +25,27 @@ PIECES_PER_PART = 20_000
 ROUNDS = 4
 CLOSING_ID = b"\0\0\0\0"
 
-#: Characters on which the two tokenizer libraries cannot differ: letters, digits and signs up to Latin Extended-A and plain white space.
+#: Characters on which the JSON tokenizer and the rank file of the same vocabulary cannot differ: letters, digits and signs up to Latin Extended-A, plain white space.
 PLAIN = r"[^\t\n\r -~¡-ſ]"
 
 
-def pack_ids(ids):
-    return np.asarray(ids, np.uint32).tobytes()
+class VocabularyEncoder:
+    """Packed little-endian 32-bit ids of whole texts: by the rank file where it must agree with the JSON tokenizer, else by the JSON tokenizer itself."""
 
+    def __init__(self, json_path, ranks_path, pattern):
+        import re
 
-def vocabulary_encoder(json_path, ranks_path, pattern) -> TextEncoder:
-    """Encoder with the ids of the JSON tokenizer; the rank file of the same vocabulary serves plain characters, which it encodes faster."""
-    import base64
-    import re
+        import tiktoken
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(json_path)
+        self.tokenizer.encode_special_tokens = True
+        self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+        self.unusual = re.compile(PLAIN).search
 
-    import tiktoken
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(json_path)
-    tokenizer.encode_special_tokens = True
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    other = re.compile(PLAIN).search
-
-    def encode(text):
-        return pack_ids(tokenizer.encode(text, add_special_tokens=False).ids if other(text) else fast.encode_ordinary(text))
-
-    return TextEncoder(encode, encode)
+    def __call__(self, text):
+        if self.unusual(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False).tobytes()
 
 
 def document_pieces(df: DataFrame, json_path, ranks_path, pattern, capacity=CAPACITY, id_col="doc_id", text_col="text", with_ids=False) -> DataFrame:
@@ -59,10 +54,10 @@ def document_pieces(df: DataFrame, json_path, ranks_path, pattern, capacity=CAPA
     schema = pa.schema(fields)
 
     def run(batches):
-        encode = vocabulary_encoder(json_path, ranks_path, pattern)
+        encode = VocabularyEncoder(json_path, ranks_path, pattern)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packed = encode(text) + CLOSING_ID
                 total = len(packed) // 4
                 first = total % capacity or capacity
