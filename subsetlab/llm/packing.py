@@ -44,8 +44,10 @@ class VocabularyEncoder:
 
     def __call__(self, text):
         if self.unusual(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False).tobytes()
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranked.encode_ordinary(text)
+        return np.array(ids, np.uint32).tobytes()
 
 
 def document_pieces(df: DataFrame, json_path, ranks_path, pattern, capacity=CAPACITY, id_col="doc_id", text_col="text", with_ids=False) -> DataFrame:
@@ -57,7 +59,7 @@ def document_pieces(df: DataFrame, json_path, ranks_path, pattern, capacity=CAPA
         encode = VocabularyEncoder(json_path, ranks_path, pattern)
         for batch in batches:
             rows = []
-            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packed = encode(text) + CLOSING_ID
                 total = len(packed) // 4
                 first = total % capacity or capacity
