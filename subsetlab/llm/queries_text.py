@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm import lines
+from subsetlab.llm import lines, pii
 from subsetlab.llm.common import LOWER, UPPER, table
 
 
@@ -20,5 +20,19 @@ marked AS (SELECT k.doc_id, k.pos, k.line, c.key IS NOT NULL AND k.doc_id <> c.l
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-QUERIES = {"op4_line_dedup": op4_line_dedup}
+def op6_information_theoretic_pii(spark, sf_dir) -> DataFrame:
+    spans = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array(*map(F.lit, pii.KINDS))
+
+    def listed(of):
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", F.get(names, s["kind_no"]), s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("pii_spans", lambda s: s["kind_no"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
+    base = F.filter("pii_spans", lambda s: s["kind_no"] < 4)
+    return spans.select("doc_id", *map(number, range(4)), F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op6_information_theoretic_pii": op6_information_theoretic_pii}
 ORACLE = {"op4_line_dedup": ORACLE_4}
