@@ -1,4 +1,5 @@
 """Connected components of links by contraction: a constant share of the nodes goes in every round, whatever the links look like."""
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,19 @@ def connected_components(links: DataFrame, a="a", b="b") -> DataFrame:
                             .filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(least, "root").select("node", "component")
+
+
+def united(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Parents (each pointing at a root) after joining the roots of linked rows."""
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return parent
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up

@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm import simhash
+from subsetlab.llm import passages, simhash, vectors
 from subsetlab.llm.common import table
 
 
@@ -12,5 +12,16 @@ def op1_simhash_near_dedup(spark, sf_dir) -> DataFrame:
     return groups.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op3_suffix_array_dedup(spark, sf_dir) -> DataFrame:
+    kept = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_embedding_near_dedup(spark, sf_dir) -> DataFrame:
+    near = vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return near.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op7_embedding_near_dedup": op7_embedding_near_dedup}
 ORACLE = {}

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm.common import batch_of, partitions
-from subsetlab.llm.components import connected_components
+from subsetlab.llm.common import batch_of
+from subsetlab.llm.components import connected_components, united
+from subsetlab.llm.shards import deal, unit_numbers, whole_units
 from subsetlab.session import cut_lineage
 
 SEED = 42
 SHARD = 4096             # fingerprints per tree of a split shard
-BUFFER_ROWS = 50_000     # rows of whole shards that a task works on at once
 FRONTIER = 1_000_000     # (look-up, node) pairs that a task holds at once
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -130,22 +130,6 @@ class Forest:
                 stack.append((np.repeat(row, many), self.children[edge]))
 
 
-def united(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Parents (each pointing at a root) after joining the roots of linked rows."""
-    while True:
-        a, b = parent[a], parent[b]
-        apart = a != b
-        if not apart.any():
-            return parent
-        a, b = a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-
-
 def forest_links(unit, part, tree_part, fps, node, radius):
     """Spanning links (a, b) inside whole units: rows of the tree's part are the tree, rows of the other part look themselves up in it."""
     _, unit = np.unique(unit, return_inverse=True)
@@ -179,36 +163,14 @@ def near_links(distinct: DataFrame, radius: int, width: int) -> DataFrame:
             yield batch_of(key_schema, [keys.reshape(-1), batch.column(0).take(take), batch.column(1).take(take)])
 
     keys = cut_lineage(distinct.select("fp", "node").mapInArrow(keyed, "key bigint, fp binary, node bigint"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    parts = keys.join(sizes, "key").withColumn("part", part)
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j")))
-    units = parts.select("key", "fp", "node", "part", F.inline(F.array_distinct(meets)))
-    dealt = units.repartition(partitions(distinct.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").select("key", "i", "j", "part", "node", "fp")
+    dealt = deal(keys, "fp", shard=SHARD)
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def linked(batches):
-        held, count = [], 0
-
-        def work(table):
-            key, i, j, part, node = (table.column(k).to_numpy() for k in range(5))
-            fps = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, width)
-            starts = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            return batch_of(link_schema, forest_links(np.cumsum(starts), part, i, fps, node, radius)), int(np.nonzero(starts)[0][-1])
-
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count >= BUFFER_ROWS:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                key, i, j = (whole.column(k).to_numpy() for k in range(3))
-                last = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
-                cut = int(np.argmax(last))   # the last unit may go on
-                if cut:
-                    yield work(whole.slice(0, cut))[0]
-                held, count = whole.slice(cut).to_batches(), whole.num_rows - cut
-        if count:
-            yield work(pa.Table.from_batches(held).combine_chunks())[0]
+        for table in whole_units(batches):
+            part, tree, node = (table.column(name).to_numpy() for name in ("part", "i", "node"))
+            fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, width)
+            yield batch_of(link_schema, forest_links(unit_numbers(table), part, tree, fps, node, radius))
 
     return dealt.mapInArrow(linked, "a bigint, b bigint")
 
