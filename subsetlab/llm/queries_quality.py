@@ -2,8 +2,15 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm import langid
+from subsetlab.llm import langid, quality
 from subsetlab.llm.common import table
+from subsetlab.session import cut_lineage
+
+
+def op2_quality_rules(spark, sf_dir) -> DataFrame:
+    rows = cut_lineage(quality.features(table(spark, sf_dir, "documents")))
+    cutoffs = quality.choose_cutoffs(rows, table(spark, sf_dir, "labels"))
+    return quality.judge(rows, cutoffs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "stratum")
 
 
 def op9_language_id(spark, sf_dir) -> DataFrame:
@@ -13,5 +20,5 @@ def op9_language_id(spark, sf_dir) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs", "proportions")
 
 
-QUERIES = {"op9_language_id": op9_language_id}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op9_language_id": op9_language_id}
 ORACLE = {}
