@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from subsetlab.llm.common import batch_of
 
@@ -91,25 +92,33 @@ def infer(likelihood, hashed, penalty=PENALTY):
     return chosen, kept, share
 
 
-def predict(df: DataFrame, model, id_col="doc_id", text_col="text", penalty=PENALTY) -> DataFrame:
-    """(id, lang_pred, score, langs array, proportions array): the main language, its share among all languages, and the selected mixture."""
+def predict(df: DataFrame, model, id_col="doc_id", text_col="text", penalty=PENALTY, keep=()) -> DataFrame:
+    """(id, lang_pred, score, langs, proportions) and, as they are, the columns named in ``keep``.
+
+    ``lang_pred`` is the main language of the selected mixture, ``score`` its share among all languages.
+    """
     languages, likelihood = model
-    schema = pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64()))])
+    found = [("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64()))]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(1).to_pylist():
                 if not text or not languages or not any(map(str.isalpha, text)):
-                    rows.append((doc_id, UNDETERMINED, 0.0, [], []))
+                    rows.append((UNDETERMINED, 0.0, [], []))
                     continue
                 chosen, kept, share = infer(likelihood, trigrams(text), penalty)
                 first = int(np.argmax(kept))
-                rows.append((doc_id, languages[chosen[first]], float(min(1.0, share[chosen[first]])), [languages[k] for k in chosen], kept.tolist()))
-            yield batch_of(schema, zip(*rows) if rows else [[] for _ in schema])
-
-    return (df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"`{id_col}` bigint, lang_pred string, score double, langs array<string>, proportions array<double>"))
+                rows.append((languages[chosen[first]], float(min(1.0, share[chosen[first]])), [languages[k] for k in chosen], kept.tolist()))
+            carried = [0, *range(2, batch.num_columns)]
+            schema = pa.schema([pa.field(names[k], batch.schema.field(k).type) for k in carried] + found)
+            yield batch_of(schema, [*map(batch.column, carried), *(zip(*rows) if rows else [[]] * len(found))])
+
+    names = [id_col, text_col, *keep]
+    inputs = df.select(F.col(id_col).cast("long"), F.col(text_col), *[F.col(c) for c in keep])
+    schema = T.StructType([T.StructField(n, f.dataType) for k, (n, f) in enumerate(zip(names, inputs.schema)) if k != 1] +
+                          [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("proportions", T.ArrayType(T.DoubleType()))])
+    return inputs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)
 
 
 def fold(id_col="doc_id"):
