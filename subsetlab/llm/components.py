@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, a="a", b="b") -> DataFrame:
         labels = cut_lineage(labels.join(twice.withColumnRenamed("node", "old"), F.col("root") == F.col("old"), "left").select("node", F.coalesce("to", "root").alias("root")))
         edges = cut_lineage(edges.join(twice.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(twice.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
                             .filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    least = cut_lineage(labels.groupBy("root").agg(F.min("node").alias("component")))   # a shuffle of its own: the join can be split at a large component
     return labels.join(least, "root").select("node", "component")
 
 

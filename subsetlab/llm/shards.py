@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsetlab.llm.common import partitions
+from subsetlab.session import cut_lineage
 
 BUFFER_ROWS = 20_000     # rows of whole units that a task works on at once
 
@@ -16,6 +17,7 @@ def deal(rows: DataFrame, *carried, shard: int) -> DataFrame:
     hash of the node deals them, so no unit has many more than twice ``shard`` rows.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / shard).cast("int").alias("parts"))
+    sizes = cut_lineage(sizes)   # a shuffle of its own, so that the join can be split at large keys
     parts = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j")))
     units = parts.select("key", "node", "part", *carried, F.inline(F.array_distinct(meets)))

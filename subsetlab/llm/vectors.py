@@ -161,7 +161,7 @@ def near_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding", cosine=
     components = connected_components(results.filter("b is not null"))
     per_vector = distinct.join(counts, "node", "left").join(components, "node", "left")
     smallest = per_vector.select(F.col("packed").alias("same"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("group"), "vec_id")
-    ids = smallest.groupBy("group").agg(F.min("vec_id").alias("least_id"))
+    ids = cut_lineage(smallest.groupBy("group").agg(F.min("vec_id").alias("least_id")))
     smallest = smallest.drop("vec_id").join(ids, "group")
     return (packed.join(smallest, packed["packed"] == smallest["same"], "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("least_id")).alias("component_id")))
