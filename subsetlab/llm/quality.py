@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from subsetlab.llm.common import batch_of
 from subsetlab.session import cut_lineage
@@ -88,7 +89,7 @@ def rule_values():
     return F.array(*[F.expr(f"CAST({rule} AS DOUBLE)") for rule in RULES.values()])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def at_most(hits: pd.Series, trials: pd.Series, rate: pd.Series) -> pd.Series:
     """Exact probability of at most ``hits`` successes in ``trials`` at a success rate."""
     out = []
