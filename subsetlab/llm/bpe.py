@@ -79,7 +79,8 @@ def merge(piece: bytes, ranks) -> list:
 
 #: Longest match in bytes that is merged together with others; longer ones are merged one at a time.
 TOGETHER = 64
-WORDS_AT_ONCE = 50_000
+WORDS_AT_ONCE = 20_000
+NEVER = np.int64(1 << 62)
 
 
 class Merger:
@@ -102,50 +103,58 @@ class Merger:
         self.pair_rank = np.fromiter(pairs.values(), np.int64, len(pairs))
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)])
 
-    def rank_of(self, left, right, never, shift, at):
+    def leaf(self, left, right, shift, at):
         """Leaf values of pairs of ids at positions."""
         found = self.index.get_indexer(left.astype(np.int64) << 32 | right)
-        return np.where(found >= 0, self.pair_rank[found] << shift | at, never)
+        return np.where(found >= 0, self.pair_rank[found] << shift | at, NEVER)
 
     def merge_together(self, pieces, size):
-        """Ids of pieces of 2 to ``size`` bytes, ``size`` a power of two: (flat ids, number per piece)."""
-        n, shift, never = len(pieces), size.bit_length() - 1, 1 << 62
+        """Ids of pieces of 2 to ``size`` bytes, ``size`` a power of two: (flat ids, number per piece).
+
+        Piece k's tree is at k * 2 * size, its leaves in the second half; its parts' ids, ends and predecessors are at k * size.
+        """
+        n, shift = len(pieces), size.bit_length() - 1
         length = np.array([len(p) for p in pieces])
         place = np.arange(size)
         inside = place < length[:, None]
-        ids = np.zeros((n, size), np.int64)
+        ids = np.zeros((n, size), np.int32)
         ids[inside] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        end, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
-        tree = np.full((n, 2 * size), never)
+        trees = np.full((n, 2 * size), NEVER, np.int64)
         rows, at = np.nonzero(inside[:, 1:])
-        tree[rows, size + at] = self.rank_of(ids[rows, at], ids[rows, at + 1], never, shift, at)
+        trees[rows, size + at] = self.leaf(ids[rows, at], ids[rows, at + 1], shift, at)
         width = size // 2
         while width:
-            tree[:, width:2 * width] = np.minimum(tree[:, 2 * width:4 * width:2], tree[:, 2 * width + 1:4 * width:2])
+            np.minimum(trees[:, 2 * width:4 * width:2], trees[:, 2 * width + 1:4 * width:2], out=trees[:, width:2 * width])
             width //= 2
-        active = np.nonzero(tree[:, 1] < never)[0]
+        tree, ids, inside = trees.reshape(-1), ids.reshape(-1), inside.reshape(-1)
+        end, before = np.tile((place + 1).astype(np.int16), n), np.tile((place - 1).astype(np.int16), n)
+        active = np.nonzero(trees[:, 1] < NEVER)[0]
         while len(active):
-            root = tree[active, 1]
+            top, base = active * (2 * size), active * size
+            root = tree[top + 1]
             i = root & (size - 1)
-            swallowed = end[active, i]
-            stop = end[active, swallowed]
-            end[active, i], ids[active, i] = stop, root >> shift
-            inside[active, swallowed] = False
-            leaf, more = np.full(len(active), never), np.nonzero(stop < length[active])[0]
-            row, at = active[more], i[more]
-            before[row, stop[more]] = at
-            leaf[more] = self.rank_of(ids[row, at], ids[row, stop[more]], never, shift, at)
-            tree[active, size + swallowed], tree[active, size + i] = never, leaf
-            first, has = before[active, i], np.nonzero(before[active, i] >= 0)[0]
-            row, at = active[has], first[has]
-            tree[row, size + at] = self.rank_of(ids[row, at], ids[row, i[has]], never, shift, at)
-            first = np.where(first >= 0, first, i)
-            for level in range(1, shift + 1):   # the three leaves' ways to the root
-                for leaf_at in (swallowed, i, first):
-                    k = (size + leaf_at) >> level
-                    tree[active, k] = np.minimum(tree[active, 2 * k], tree[active, 2 * k + 1])
-            active = active[tree[active, 1] < never]
-        return ids[inside], inside.sum(axis=1)
+            own = base + i
+            swallowed = end[own].astype(np.int64)
+            stop = end[base + swallowed].astype(np.int64)
+            end[own], ids[own] = stop, root >> shift
+            inside[base + swallowed] = False
+            more = np.nonzero(stop < length[active])[0]
+            after = base[more] + stop[more]
+            before[after] = i[more]
+            tree[top + size + swallowed] = NEVER
+            tree[top + size + i] = NEVER
+            tree[top[more] + size + i[more]] = self.leaf(ids[own[more]], ids[after], shift, i[more])
+            first = before[own].astype(np.int64)
+            has = np.nonzero(first >= 0)[0]
+            tree[top[has] + size + first[has]] = self.leaf(ids[base[has] + first[has]], ids[own[has]], shift, first[has])
+            first[first < 0] = i[first < 0]
+            for k in (swallowed + size, i + size, first + size):   # the three leaves' ways to the root, the later ones over what the earlier left
+                for _ in range(shift):
+                    k >>= 1
+                    child = top + 2 * k
+                    tree[top + k] = np.minimum(tree[child], tree[child + 1])
+            active = active[tree[top + 1] < NEVER]
+        return ids[inside], inside.reshape(n, size).sum(axis=1)
 
     def __call__(self, matches):
         """Packed ids of each match."""
