@@ -6,8 +6,6 @@ offset, and the row-level window runs per (group, bucket). The result is the exa
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
-
 BUCKETS = 64
 
 
@@ -80,28 +78,8 @@ def running_total(df: DataFrame, keys, order: str, ties, value: str, name: str)
 
 
 def group_quantiles(df: DataFrame, keys, value: str, shares, prefix: str = "p") -> DataFrame:
-    """Exact linearly interpolated quantiles per group: one row per group, one column per share.
-
-    Equal values are counted before the shuffle, the counts are summed up to positions bucket by bucket, and only the rows that
-    hold a wanted position are kept, so a group of any size needs no more memory than a bucket's sort. The counted values are
-    read several times and are therefore written to the checkpoint folder once.
-    """
+    """Exact linearly interpolated quantiles per group, one column per share; equal values are counted before they meet."""
     keys = list(keys)
-    counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    placed = running_total(counted, keys, value, [], "_n", "_upto")
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    rows = _attach(placed, sizes, keys)
-    picks = []
-    for index, share in enumerate(shares):
-        place = (F.col("_size") - 1) * F.lit(float(share))
-        for side, position in (("low", F.floor(place)), ("high", F.ceil(place))):
-            hit = (F.col("_upto") - F.col("_n") <= position) & (position < F.col("_upto"))
-            picks.append(F.max(F.when(hit, F.col(value))).cast("double").alias(f"_{side}{index}"))
-    picked = rows.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
-    out = []
-    for index, share in enumerate(shares):
-        place = (F.col("_size") - 1) * F.lit(float(share))
-        low, high = F.col(f"_low{index}"), F.col(f"_high{index}")
-        label = f"{prefix}{share * 100:g}".replace(".", "_")
-        out.append((low + (place - F.floor(place)) * (high - low)).alias(label))
-    return picked.select(*keys, *out)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    quantiles = counted.groupBy(*keys).agg(F.percentile(value, [float(s) for s in shares], F.col("_n")).alias("_q"))
+    return quantiles.select(*keys, *[F.get("_q", F.lit(i)).alias(f"{prefix}{share * 100:g}".replace(".", "_")) for i, share in enumerate(shares)])

@@ -4,25 +4,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-MAX_SWAPS = 50
 
-
-def swap_plan(gap, inside, outside, limit=MAX_SWAPS):
+def swap_plan(gap, inside, outside):
     """Instances that leave and enter for one selection.
 
-    ``inside`` / ``outside``: pass count -> instances in order (only the first ``limit`` can ever be touched). A swap must move the
-    total towards the target without increasing the distance to it.
+    ``inside`` / ``outside``: pass count -> instances in order. A swap must bring the total nearer to the target, which reduces the
+    distance to it every time; swaps go on until the gap is closed or none helps.
     """
     inside = {c: list(v) for c, v in inside.items()}
     outside = {c: list(v) for c, v in outside.items()}
     start = {i for v in inside.values() for i in v}
-    for _ in range(limit):
-        if gap == 0:
-            break
+    while gap:
         sign = 1 if gap > 0 else -1
         leaving = sorted((c for c, v in inside.items() if v), key=lambda c: sign * c)
         entering = sorted((c for c, v in outside.items() if v), key=lambda c: -sign * c)
-        step = next(((a, b) for a in leaving for b in entering if 0 < sign * (b - a) <= 2 * abs(gap)), None)
+        step = next(((a, b) for a in leaving for b in entering if 0 < sign * (b - a) < 2 * abs(gap)), None)
         if step is None:
             break
         out, back = inside[step[0]].pop(0), outside[step[1]].pop(0)
@@ -37,8 +33,8 @@ def calibrate(selected: DataFrame, members: DataFrame, keys) -> DataFrame:
     """Calibrated selections (keys, instance).
 
     ``selected``: keys, instance, pick (its order); ``members``: keys without subset/method columns, instance, passes. Per selection
-    and pass count only the first 50 instances of either side are gathered, because at most 50 swaps are made; the totals come from
-    grouped sums. Selections are independent rows, so all of them are calibrated in one job.
+    and pass count as many instances of either side are gathered as the gap is wide: every swap but the last narrows it by one at least,
+    so no more can be touched. The totals come from grouped sums. Selections are independent rows, so all of them are calibrated in one job.
     """
     keys = list(keys)
     shared = [k for k in keys if k in members.columns]
@@ -49,7 +45,7 @@ def calibrate(selected: DataFrame, members: DataFrame, keys) -> DataFrame:
                                       F.coalesce(F.sum(F.when(chosen, F.col("passes"))), F.lit(0)).alias("_inside"))
     gap = totals.select(*keys, (F.bround(F.col("_all") * F.col("_k") / F.col("_n")) - F.col("_inside")).cast("long").alias("_gap")).where(F.col("_gap") != 0)
     order = Window.partitionBy(*keys, "_in", "passes").orderBy(F.col("pick").asc_nulls_last(), "instance")
-    front = (sides.join(gap.select(*keys), keys, "left_semi").withColumn("_in", chosen.cast("int")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= MAX_SWAPS))
+    front = (sides.join(gap, keys).withColumn("_in", chosen.cast("int")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.abs("_gap") + 1))
     queues = (front.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_in", "passes", "_r", "instance"))).alias("_q"))
               .withColumn("_side", F.col("_q._in")).withColumn("_level", F.col("_q.passes")).withColumn("_ids", F.col("_q.instance")).drop("_q").join(gap, keys))
     fields = [selected.schema[k] for k in keys]

@@ -12,7 +12,6 @@ from .blocks import block_pairs, distances, matrix, sweep, to_blocks
 
 MIN_TO_CLUSTER = 20
 MAX_K = 15
-ITERATIONS = 10
 DENSE_SHARE = 0.9   # share of points that count as dense
 
 
@@ -27,7 +26,7 @@ def _nearest(centres: str):
     return F.array_min(F.transform(centres, lambda c: F.struct(F.round(arrays.squared_distance(F.col("vector"), c["centre"]), 12).alias("d"), c["cluster"].alias("cluster"))))["cluster"]
 
 
-def kmeans_labels(points: DataFrame, keys, seed="42", iterations: int = ITERATIONS) -> DataFrame:
+def kmeans_labels(points: DataFrame, keys, seed="42") -> DataFrame:
     """(keys, instance, cluster, k, silhouette): Lloyd rounds for every group and every K together.
 
     A group's centres (at most 15 per K) travel as one short array; a round is one pass over the points and one grouped mean. K runs
@@ -43,10 +42,15 @@ def kmeans_labels(points: DataFrame, keys, seed="42", iterations: int = ITERATIO
     start = starts.join(grid, keys).where(F.col("_r") <= F.col("k")).groupBy(*keys, "k").agg(
         F.array_sort(F.collect_list(F.struct((F.col("_r") - 1).alias("cluster"), F.col("vector").alias("centre")))).alias("centres"))
     centres = cut_lineage(start)
-    for _ in range(iterations):
+    moving = True
+    while moving:   # Lloyd rounds until no centre moves
         assigned = points.join(centres, keys).withColumn("cluster", _nearest("centres"))
         means = _mean_by(assigned, [*keys, "k", "cluster"])
-        centres = cut_lineage(means.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("centres")))
+        new = cut_lineage(means.groupBy(*keys, "k").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("centres")))
+        rounded = lambda c: F.transform(c, lambda e: F.struct(e["cluster"], F.transform(e["centre"], lambda x: F.round(x, 6))))
+        was = centres.select(*keys, "k", F.col("centres").alias("_was"))
+        moving = not new.join(was, [*keys, "k"]).where(rounded(F.col("centres")) != rounded(F.col("_was"))).isEmpty()
+        centres = new
     assigned = points.join(centres, keys).withColumn("cluster", _nearest("centres")).drop("centres").withColumn("_q", arrays.dot(F.col("vector"), F.col("vector")))
     profile = (assigned.groupBy(*keys, "k", "cluster").agg(Summarizer.mean(array_to_vector("vector")).alias("_m"), F.count(F.lit(1)).alias("size"), F.avg("_q").alias("square"))
                .withColumn("centre", vector_to_array("_m")).groupBy(*keys, "k").agg(F.collect_list(F.struct("cluster", "centre", "size", "square")).alias("_clusters")))

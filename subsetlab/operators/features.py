@@ -55,7 +55,10 @@ def standardised(values: DataFrame, keys, columns=FEATURES) -> DataFrame:
 
 def feature_space(averaged: DataFrame, space: str = "features") -> DataFrame:
     """Vector and usable flag in one feature space: all ten features or the five counts; missing values are 0 and not usable."""
-    columns = FEATURES if space == "features" else COUNT_FEATURES
+    spaces = {"features": FEATURES, "features_top5": COUNT_FEATURES}
+    if space not in spaces:
+        raise ValueError(f"unknown feature space {space!r}; known: {', '.join(spaces)}")
+    columns = spaces[space]
     usable = F.lit(True)
     for c in columns:
         usable = usable & F.col(c).isNotNull()

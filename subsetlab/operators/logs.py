@@ -4,6 +4,7 @@ A conversation is one row (one raw file) with an array of messages; it becomes o
 expressions; the only sequential part, the moving cursor of the observation search, is a fold over that row's own array.
 """
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import VariantType
 
 # Markers, keywords and patterns of the supported log formats.
 XML_CALL_ID = "xml_parsed"
@@ -22,7 +23,7 @@ PASS_MARK = "✅"
 
 CALL = "struct<id:string,name:string,arguments:string>"
 MESSAGE = f"struct<role:string,text:string,tool_call_id:string,calls:array<{CALL}>>"
-RAW_MESSAGE = ("array<struct<role:string,content:string,tool_call_id:string,"
+RAW_MESSAGE = ("array<struct<role:string,content:variant,tool_call_id:string,"
                "tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>>")
 STEP_FIELDS = ("action", "action_header", "action_command", "files_touched", "tests_run", "tests_passed", "edit_size", "error_message", "observation")
 
@@ -33,11 +34,14 @@ def strip(text: Column) -> Column:
 
 
 def message_text(content: Column, all_parts: bool = False) -> Column:
-    """Text of a message whose content is a string or a JSON list of parts: the first part, or all parts joined by newlines."""
-    parts = F.from_json(content, "array<struct<text:string>>")
+    """Text of a message whose content (a variant) is a string or a list of parts: the first part, or all parts joined by newlines.
+
+    The JSON type decides, so a plain string that looks like a list stays as it is.
+    """
+    parts = F.try_variant_get(content, "$", "array<struct<text:string>>")
     text = F.get(parts, F.lit(0))["text"] if not all_parts else F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
-    is_list = F.startswith(F.ltrim(content), F.lit("[{"))
-    return F.coalesce(F.when(is_list & parts.isNotNull(), F.coalesce(text, F.lit(""))).otherwise(content), F.lit(""))
+    is_list = F.startswith(F.schema_of_variant(content), F.lit("ARRAY"))
+    return F.coalesce(F.when(is_list, F.coalesce(text, F.lit(""))).otherwise(F.try_variant_get(content, "$", "string")), F.lit(""))
 
 
 def xml_calls(text: Column) -> Column:
@@ -56,9 +60,14 @@ def xml_calls(text: Column) -> Column:
 
 
 def unify_messages(raw: DataFrame, column: str = "messages", xml: bool = True) -> DataFrame:
-    """Raw messages → (role, text, tool_call_id, calls); only assistant messages keep calls, XML calls where there are no others."""
+    """Raw messages → (role, text, tool_call_id, calls); only assistant messages keep calls, XML calls where there are no others.
+
+    Content is a variant as scanned from JSON, or a string, which is then the text.
+    """
+    typed = isinstance(raw.schema[column].dataType.elementType["content"].dataType, VariantType)
+
     def one(m):
-        text = message_text(m["content"])
+        text = message_text(m["content"]) if typed else F.coalesce(m["content"], F.lit(""))
         structured = F.transform(m["tool_calls"], lambda c: F.struct(c["id"].alias("id"), c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments")))
         written = xml_calls(text) if xml else F.array().cast(f"array<{CALL}>")
         calls = F.when(m["role"] != "assistant", F.array().cast(f"array<{CALL}>")).when(F.size(structured) > 0, structured).otherwise(written)
@@ -279,11 +288,22 @@ def _shorten(text: Column) -> Column:
     return F.when(F.length(text) < SHOWN_CHARACTERS, text).otherwise(F.concat(F.substring(text, 1, SHOWN_CHARACTERS - 3), F.lit("...")))
 
 
+def _unescaped(text: Column) -> Column:
+    """Text of a quoted literal: escaped line ends, tabs, quotes and backslashes decoded."""
+    parts = F.split(text, r"\\\\", -1)   # between doubled backslashes
+    for escape, character in (("n", "\n"), ("t", "\t"), ("r", "\r"), ("'", "'"), ('"', '"')):
+        parts = F.transform(parts, lambda p, e=escape, c=character: F.replace(p, F.lit("\\" + e), F.lit(c)))
+    return F.array_join(parts, "\\")
+
+
 def _quoted(arguments: Column, key: str) -> Column:
-    """Value of ``key='...'`` or of ``'key': '...'`` in raw argument text, null when the key is absent."""
-    pattern = rf"""(?s)(?:\b{key}\s*=\s*|['"]{key}['"]\s*:\s*)(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")"""
-    value = F.concat(F.regexp_extract(arguments, pattern, 1), F.regexp_extract(arguments, pattern, 2))
-    return F.when(arguments.rlike(pattern), value)
+    """Value of ``key='...'`` as it stands, or of a dictionary's ``'key': '...'`` with its escapes decoded; null when the key is absent."""
+    literal = r"""(?:'((?:[^'\\]|\\.)*+)'|"((?:[^"\\]|\\.)*+)")"""
+
+    def value(pattern):
+        return F.when(arguments.rlike(pattern), F.concat(F.regexp_extract(arguments, pattern, 1), F.regexp_extract(arguments, pattern, 2)))
+
+    return F.coalesce(value(rf"(?s)\b{key}\s*=\s*" + literal), _unescaped(value(rf"""(?s)['"]{key}['"]\s*:\s*""" + literal)))
 
 
 def parse_text_logs(logs: DataFrame, text: str = "text") -> DataFrame:
@@ -349,7 +369,7 @@ def parse_node_trees(trees: DataFrame) -> DataFrame:
     flat = F.flatten(F.transform("nodes", lambda n: F.transform(n["action_steps"], lambda s: F.struct(
         n["node_id"].alias("node_id"), s["action"].alias("raw"), F.coalesce(s["observation"]["message"], F.lit("")).alias("observation")))))
     described = trees.withColumn("task_description", strip(F.coalesce(F.get("nodes", F.lit(0))["user_message"], F.lit(""))))
-    steps = (described.select(*others, "task_description", F.col("evaluation_result.resolved").alias("evaluated"), F.posexplode(flat).alias("_at", "_s"))
+    steps = (described.select(*others, "task_description", F.when(F.col("evaluation_result").isNotNull(), F.coalesce("evaluation_result.resolved", F.lit(False))).alias("evaluated"), F.posexplode(flat).alias("_at", "_s"))
              .select(*others, "task_description", "evaluated", (F.col("_at") + 1).alias("step_index"), "_s.*"))
     field = lambda key: F.get_json_object("raw", f"$.{key}")
     cls = F.coalesce(field("action_args_class"), F.lit(""))
@@ -376,13 +396,17 @@ DERIVED_PAYLOADS = ("None", "N/A", "think", "finish", "project", "[See final pat
 
 
 def step_problems(steps: DataFrame, raw: DataFrame, keys=("run", "trajectory")) -> DataFrame:
-    """Checks a parsed step does not pass against its raw text; ``raw`` holds the raw text (JSON escapes decoded) per trajectory."""
-    joined = steps.join(raw.select(*keys, "raw_text"), list(keys))
+    """Checks a parsed step does not pass against its raw text; ``raw`` holds the raw text (JSON escapes decoded) per trajectory.
+
+    A step whose trajectory has no raw text is reported as such and not compared with it.
+    """
+    joined = steps.join(raw.select(*keys, "raw_text"), list(keys), "left")
     payload = F.when(F.contains("action", F.lit(": ")), F.get(F.split("action", ": ", 2), F.lit(1))).otherwise(F.col("action"))
     inside = lambda value: F.contains("raw_text", value)
     code = F.regexp_extract("observation", EXIT_CODE, 1)
     error = F.coalesce("error_message", F.lit("")) != ""
-    checks = {"tool name": ~inside(F.col("action_header")) & ~F.col("action_header").isin(*DERIVED_NAMES),
+    checks = {"no raw text": F.col("raw_text").isNull(),
+              "tool name": ~inside(F.col("action_header")) & ~F.col("action_header").isin(*DERIVED_NAMES),
               "action payload": (payload != "") & ~payload.isin(*DERIVED_PAYLOADS) & ~inside(F.regexp_replace(payload, r"\.\.\.$", "")),
               "observation": (F.col("observation") != "") & ~inside(F.col("observation")),
               "exit code 0 with an error recorded": code.rlike("^0+$") & error,

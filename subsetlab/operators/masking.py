@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut_lineage
 from ..sources.rules import ERROR_TAGS, RULE_SETS, RuleSet
 
-MAX_LITERAL_TERMS = 20_000   # larger term sets are removed by a join instead of a literal set
 TOKEN = r"(?U)(\[[A-Z_]+\]|\w+)"
 
 
@@ -64,36 +63,36 @@ def _kept(df: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def mask_texts(df: DataFrame, columns, rules: RuleSet, repositories: DataFrame, repository: str = "repository") -> DataFrame:
-    """Masked versions of text columns.
-
-    The name parts of all repositories are removed as tokens. Up to ``MAX_LITERAL_TERMS`` of them become one hashed literal set;
-    a larger set is removed with an anti join on the exploded tokens, which gives the same texts.
-    """
-    terms = repository_terms(repositories, rules)
-    sample = [r[0] for r in terms.limit(MAX_LITERAL_TERMS + 1).collect()]
-    literal = sample if len(sample) <= MAX_LITERAL_TERMS else []
-    removed = sorted({*rules.stop_words, *rules.noise, *literal})
+    """Masked versions of text columns; the name parts of all repositories are removed as tokens, by an anti join of any size."""
+    fixed = sorted({*rules.stop_words, *rules.noise})
     masked = df.withColumn("_pattern", compound_pattern(F.col(repository), rules)) if rules.mask_compounds else df
     for name in columns:
         text = F.coalesce(F.col(name), F.lit(""))
         if rules.mask_compounds:
             text = F.when(F.col("_pattern").isNull(), text).otherwise(F.regexp_replace(text, F.col("_pattern"), F.lit("[REPO_VAR]")))
-        tokens = F.filter(tokens_of(placeholders(text, rules)), lambda t: ~F.lower(t).isin(removed))
-        masked = masked.withColumn(f"_t_{name}", tokens)
-        if len(sample) > MAX_LITERAL_TERMS:
-            masked = _remove_by_join(masked, f"_t_{name}", terms)
+        masked = masked.withColumn(f"_t_{name}", F.filter(tokens_of(placeholders(text, rules)), lambda t: ~F.lower(t).isin(fixed)))
+    masked = _without_terms(masked.drop("_pattern"), [f"_t_{name}" for name in columns], repository_terms(repositories, rules))
+    for name in columns:
         masked = masked.withColumn(f"_e_{name}", tag_and_collapse(F.col(f"_t_{name}")))
         masked = _kept(masked, f"_e_{name}", name).drop(f"_t_{name}", f"_e_{name}")
-    return masked.drop("_pattern")
+    return masked
 
 
-def _remove_by_join(df: DataFrame, column: str, terms: DataFrame) -> DataFrame:
-    """Token arrays without the given terms, by an anti join (for term sets too large for a literal)."""
+def _without_terms(df: DataFrame, columns, terms: DataFrame) -> DataFrame:
+    """Token arrays without the given terms: tokens of all columns meet the terms in one anti join and return in order.
+
+    The rows are written once with a number each, so that numbers and tokens stay together whatever is lost and redone.
+    """
     keyed = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
-    left = (keyed.select("_row", F.posexplode(column).alias("_at", "_token")).withColumn("term", F.lower("_token"))
-            .join(terms, "term", "left_anti").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_all")))
-    joined = keyed.drop(column).join(left, "_row", "left").drop("_row")
-    return joined.withColumn(column, F.coalesce(F.col("_all._token"), F.array().cast("array<string>"))).drop("_all")
+    arrays = F.explode(F.array(*[F.struct(F.lit(i).alias("_column"), F.col(c).alias("_tokens")) for i, c in enumerate(columns)]))
+    tokens = keyed.select("_row", arrays.alias("_a")).select("_row", "_a._column", F.posexplode("_a._tokens").alias("_at", "_token"))
+    left = (tokens.withColumn("term", F.lower("_token")).join(terms, "term", "left_anti")
+            .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_column", "_at", "_token"))).alias("_all")))
+    joined = keyed.drop(*columns).join(left, "_row", "left").drop("_row")
+    none = F.array().cast("array<string>")
+    for i, c in enumerate(columns):
+        joined = joined.withColumn(c, F.coalesce(F.transform(F.filter("_all", lambda t, i=i: t["_column"] == i), lambda t: t["_token"]), none))
+    return joined.drop("_all")
 
 
 def mask_records(records: DataFrame, rules_of_run: dict, default: str, repositories: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def error_distributions(table: DataFrame, draws: DataFrame) -> DataFrame:
     """Error statistics: baselines over all their draws, other methods over units. Quantiles use the bucketed algorithm."""
     drawn = draws.select("window", "subset", F.concat(F.lit("baselines:"), "method").alias("method"), "rmse")
     fixed = table.join(drawn.select("window", "subset", "method").distinct(), ["window", "subset", "method"], "left_anti").select("window", "subset", "method", "rmse")
-    return stats.describe(drawn.unionByName(fixed), ["window", "subset", "method"], "rmse", large_groups=True)
+    return stats.describe(drawn.unionByName(fixed), ["window", "subset", "method"], "rmse")
 
 
 def draw_record(table: DataFrame, draws: DataFrame, unit: str = "population") -> DataFrame:

@@ -1,19 +1,19 @@
 """Temporal splits: every choice of W earlier runs for training, all later runs for testing."""
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MAX_RUNS = 16
-
 
 def training_sets(n_runs: int, window: int) -> Column:
     """Array of all training sets of ``window`` runs that leave at least one later run, in lexicographic order.
 
     The expression has no inputs: Catalyst folds it to a literal, so splits are exploded inside the row instead of joined.
     """
-    if not 1 <= window < n_runs <= MAX_RUNS:
-        raise ValueError(f"need 1 <= window < runs <= {MAX_RUNS}, got window {window} and {n_runs} runs")
-    last = n_runs - 1
-    return F.expr(f"array_sort(filter(transform(sequence(1, {(1 << n_runs) - 1}), mask -> filter(sequence(0, {last}), r -> getbit(mask, r) = 1)), "
-                  f"runs -> size(runs) = {window} AND element_at(runs, -1) < {last}))")
+    if not 1 <= window < n_runs:
+        raise ValueError(f"need 1 <= window < runs, got window {window} and {n_runs} runs")
+    runs = F.sequence(F.lit(0), F.lit(n_runs - 2))   # the last run is never trained on
+    sets = F.transform(runs, lambda r: F.array(r))
+    for _ in range(window - 1):   # every set grows by each later run, so sets stay in lexicographic order
+        sets = F.flatten(F.transform(sets, lambda s: F.transform(F.filter(runs, lambda r: r > F.element_at(s, -1)), lambda r: F.concat(s, F.array(r)))))
+    return sets
 
 
 def later_runs(train: Column, n_runs: int) -> Column:

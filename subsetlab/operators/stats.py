@@ -2,7 +2,6 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import tails
-from ..functions.ranking import group_quantiles
 
 NOISE_DIGITS = 12       # differences are rounded here, so that summation order cannot break ties or zeros
 EXACT_LIMIT = 50
@@ -10,21 +9,15 @@ TIE_TOLERANCE = 0.01    # relative, for win / tie / loss
 SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def describe(df: DataFrame, keys, value: str, large_groups: bool = False) -> DataFrame:
-    """Mean, median, sample sd, IQR, quantiles, range and count per group.
-
-    ``large_groups`` switches the exact quantiles to the bucketed algorithm, for groups whose values should not meet in one task.
-    """
+def describe(df: DataFrame, keys, value: str) -> DataFrame:
+    """Mean, median, sample sd, IQR, quantiles, range and count per group."""
     keys = list(keys)
     spread = F.when(F.count(value) > 1, F.stddev_samp(value)).otherwise(F.lit(0.0))
     basics = [F.avg(value).alias("mean"), spread.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n")]
-    if large_groups:
-        table = df.groupBy(*keys).agg(*basics).join(group_quantiles(df, keys, value, SHARES), keys)
-    else:
-        table = df.groupBy(*keys).agg(*basics, F.percentile(value, list(SHARES)).alias("_q"))
-        for i, share in enumerate(SHARES):
-            table = table.withColumn(f"p{share * 100:g}", F.get("_q", F.lit(i)))
-        table = table.drop("_q")
+    table = df.groupBy(*keys).agg(*basics, F.percentile(value, list(SHARES)).alias("_q"))
+    for i, share in enumerate(SHARES):
+        table = table.withColumn(f"p{share * 100:g}", F.get("_q", F.lit(i)))
+    table = table.drop("_q")
     return table.withColumnRenamed("p50", "median").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

@@ -74,14 +74,14 @@ def conversations(spark, folder, log_format="openhands"):
     call = lambda call_id, called, args: f"array(named_struct('id', {call_id}, 'function', named_struct('name', {called}, 'arguments', {args})))"
     xml = "kind = 5" if log_format == "openhands" else "false"
     xml_text = "concat('Run it <function=execute_bash>\\n<parameter=command> ./run_', supp, '.sh </parameter>\\n</function>')"
-    ask = message.format(at="0", role="'assistant'", content=f"CASE WHEN {xml} THEN {xml_text} WHEN kind = 1 THEN '[{{\"type\":\"text\",\"text\":\"I will create it\"}}]' ELSE 'next' END",
+    ask = message.format(at="0", role="'assistant'", content=f"CASE WHEN {xml} THEN cast({xml_text} AS variant) WHEN kind = 1 THEN parse_json('[{{\"type\":\"text\",\"text\":\"I will create it\"}}]') ELSE cast('next' AS variant) END",
                          call_id="cast(null AS string)", calls=f"CASE WHEN {xml} THEN {none} ELSE {call('concat(trajectory, n)', name, arguments)} END")
     skipped = call("'skip'", "'skipped_tool'", "'{}'")
-    filler = message.format(at="i", role="CASE WHEN gap = 2 AND i = 2 THEN 'assistant' ELSE 'user' END", content="'noted'", call_id="cast(null AS string)",
+    filler = message.format(at="i", role="CASE WHEN gap = 2 AND i = 2 THEN 'assistant' ELSE 'user' END", content="cast('noted' AS variant)", call_id="cast(null AS string)",
                             calls=f"CASE WHEN gap = 2 AND i = 2 THEN {skipped if log_format == 'openhands' else none} ELSE {none} END")
-    answer = message.format(at="9", role=f"CASE WHEN {xml} THEN 'user' ELSE 'tool' END", content=f"CASE WHEN {xml} THEN concat('EXECUTION RESULT of [execute_bash]:\\n', output) ELSE output END",
+    answer = message.format(at="9", role=f"CASE WHEN {xml} THEN 'user' ELSE 'tool' END", content=f"cast(CASE WHEN {xml} THEN concat('EXECUTION RESULT of [execute_bash]:\\n', output) ELSE output END AS variant)",
                             call_id=f"CASE WHEN {xml} THEN cast(null AS string) ELSE concat(trajectory, n) END", calls=none)
-    first = "named_struct('n', 0, 'at', 0, 'role', 'user', 'content', concat('Please help\\n<issue_description>\\n Order ', trajectory, ' \\n</issue_description>'), 'tool_call_id', cast(null AS string), 'tool_calls', " + none + ")"
+    first = "named_struct('n', 0, 'at', 0, 'role', 'user', 'content', cast(concat('Please help\\n<issue_description>\\n Order ', trajectory, ' \\n</issue_description>') AS variant), 'tool_call_id', cast(null AS string), 'tool_calls', " + none + ")"
     rows = order_lines(spark, folder).withColumn("_m", F.expr(f"concat(array({ask}), transform(filter(array(1, 2, 3), i -> i <= gap), i -> {filler}), array({answer}))"))
     return (rows.groupBy("run", "instance", "trajectory").agg(F.flatten(F.collect_list("_m")).alias("_all"))
             .select("run", "instance", "trajectory", F.expr(

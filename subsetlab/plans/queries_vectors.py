@@ -1,5 +1,5 @@
 """Queries on step vectors, instance vectors and geometric selection."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import arrays
 from ..functions.arrays import clean
@@ -277,23 +277,24 @@ def rbf_bandwidth(spark, folder):
     return blocks.median_positive_distance(points, ["stratum"]).select("stratum", clean(F.col("bandwidth")).alias("bandwidth"))
 
 
-@register("shortlist_draws", sql(POINTS, query=f"""
+@register("shortlist_draws", sql(POINTS, f"""pool AS (SELECT n, least(n, greatest({SLOTS_BY_LABEL} + 1, CAST(floor({SLOTS_BY_LABEL} * 2.0::DOUBLE) AS BIGINT))) AS slots FROM (SELECT sum(m) AS n FROM sizes)),
+pool_share AS (SELECT g, m, slots, slots * m / pool.n::DOUBLE AS share, floor(slots * m / pool.n::DOUBLE) AS base FROM sizes, pool),
+pool_quota AS (SELECT g, CAST(base AS BIGINT) + CASE WHEN base < m AND row_number() OVER (ORDER BY base < m DESC, share - base DESC, g) <= slots - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM pool_share),
+near AS (SELECT p.g, p.id, k, row_number() OVER (PARTITION BY p.g ORDER BY round(list_distance(v, c), 9), id) AS place FROM points p JOIN pool_quota USING (g)
+  JOIN (SELECT g, list(a ORDER BY i) AS c FROM (SELECT g, i, avg(x) AS a FROM (SELECT g, unnest(v) AS x, unnest(range(len(v))) AS i FROM points) GROUP BY g, i) GROUP BY g) USING (g))""", query=f"""
 SELECT g AS stratum, draw, id AS instance FROM (
-  SELECT g, draw, id, k, row_number() OVER (PARTITION BY g, draw ORDER BY md5('shortlist|' || g || '|' || draw || '|' || id), id) AS place
-  FROM (SELECT p.*, k, least(m, greatest(k + 1, CAST(floor(k * 2.0::DOUBLE) AS BIGINT))) AS pool,
-               row_number() OVER (PARTITION BY p.g ORDER BY round(list_distance(v, c), 9), id) AS near
-        FROM points p JOIN quota USING (g) JOIN sizes USING (g)
-        JOIN (SELECT g, list(a ORDER BY i) AS c FROM (SELECT g, i, avg(x) AS a FROM (SELECT g, unnest(v) AS x, unnest(range(len(v))) AS i FROM points) GROUP BY g, i) GROUP BY g) USING (g)),
-       (SELECT unnest(range(20)) AS draw)
-  WHERE near <= pool) WHERE place <= k"""))
+  SELECT g, draw, id, row_number() OVER (PARTITION BY draw ORDER BY md5('shortlist|0|' || draw || '|' || id), id) AS place FROM near, (SELECT unnest(range(20)) AS draw) WHERE place <= k)
+WHERE place <= {SLOTS_BY_LABEL}"""))
 def shortlist_draws(spark, folder):
-    """A centroid shortlist of twice the size, then seeded draws from it."""
-    points, quotas = labelled_points(spark, folder)
-    sizes = points.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    rows = (points.join(quotas, ["population", "stratum"]).join(sizes, "stratum").withColumn("size", F.col("quota"))
-            .withColumn("quota", selection.shortlist_size(F.col("_n"), F.col("size"), 2.0)).withColumn("in_group", F.lit(True)))
-    pool = rounds.geometric_selection(rows, ["stratum"], "centroid").join(quotas.select("stratum", F.col("quota").alias("size")), "stratum")
-    return (selection.draw_from_pool(pool.drop("pick"), "size", 20, ["stratum"])
+    """One centroid shortlist of twice the size, spread over the strata by largest remainders, then seeded draws of the size from the united pool."""
+    points, _ = labelled_points(spark, folder)
+    sizes = points.groupBy("population", "stratum").agg(F.count(F.lit(1)).alias("members"))
+    whole = F.sum("members").over(Window.partitionBy("population"))
+    slots = sizes.withColumn("slots", selection.shortlist_size(whole, F.lit(SLOTS_BY_LABEL), 2.0))
+    quotas = strata.proportional_quotas(slots, ["population"]).select("population", "stratum", "quota")
+    rows = points.join(quotas, ["population", "stratum"]).withColumn("in_group", F.lit(True))
+    pool = rounds.geometric_selection(rows, ["population", "stratum"], "centroid").withColumn("size", F.lit(SLOTS_BY_LABEL))
+    return (selection.draw_from_pool(pool.drop("pick"), "size", 20, ["population"])
             .select("stratum", F.col("draw").cast("long").alias("draw"), "instance"))
 
 

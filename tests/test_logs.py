@@ -97,11 +97,37 @@ def test_masking_rules(spark):
     assert masked(spark, None) == ""
 
 
-def test_large_term_sets_give_the_same_text(spark, monkeypatch):
-    df = spark.createDataFrame([("acme kit other acme", "acme/kit"), ("", "some/name"), ("name word 7 8", "some/name")], "text string, repository string")
-    plain = [r["text"] for r in masking.mask_texts(df, ["text"], rules.RULE_SETS["single_setup"], df).collect()]
-    monkeypatch.setattr(masking, "MAX_LITERAL_TERMS", 1)
-    assert sorted(r["text"] for r in masking.mask_texts(df, ["text"], rules.RULE_SETS["single_setup"], df).collect()) == sorted(plain)
+def test_repository_terms_are_removed_in_any_number(spark):
+    df = spark.createDataFrame([("acme kit other acme", "acme/kit"), ("", "some/name"), ("name word 7 8", "some/name"), (None, None)], "text string, repository string")
+    many = df.select("repository").unionByName(spark.range(3000).selectExpr("concat('owner', id, '/project', id) AS repository"))
+    masked = masking.mask_texts(df.withColumn("more", F.lit("kit project7 word")), ["text", "more"], rules.RULE_SETS["single_setup"], many).collect()
+    assert sorted(r["text"] for r in masked)[:2] == ["", ""] and len(masked) == 4
+    left = {w for r in masked for w in (r["text"] + " " + r["more"]).split()}
+    assert {"other", "word"} <= left and not left & {"acme", "kit", "project7", "name"}
+
+
+def test_content_type_decides_what_is_a_list(spark):
+    raw = spark.createDataFrame([('[{"role":"tool","content":"[{\\"id\\": 1}]"},{"role":"user","content":[{"type":"text","text":"part"},{"text":"two"}]},{"role":"user","content":null},{"role":"user","content":[]}]',)], "v string")
+    messages = raw.select(F.from_json("v", logs.RAW_MESSAGE).alias("messages"))
+    got = messages.select(F.transform("messages", lambda m: logs.message_text(m["content"])).alias("t"), F.transform("messages", lambda m: logs.message_text(m["content"], True)).alias("a")).first()
+    assert got["t"] == ['[{"id": 1}]', "part", "", ""] and got["a"] == ['[{"id": 1}]', "part\ntwo", "", ""]
+
+
+def test_escapes_of_dictionary_arguments_are_decoded(spark):
+    df = spark.createDataFrame([("{'file_text': 'a\\nb\\nit\\'s \\\\n'}",), ("file_text='a\\nb'",), ("x",)], "arguments string")
+    assert [r[0] for r in df.select(logs._quoted(F.col("arguments"), "file_text")).collect()] == ["a\nb\nit's \\n", "a\\nb", None]
+
+
+def test_evaluation_without_a_verdict_is_not_resolved(spark):
+    trees = spark.createDataFrame([('{"trajectory_id":"t","evaluation_result":{},"nodes":[{"node_id":1,"action_steps":[{"action":"{}"}]}]}',), ('{"trajectory_id":"u","nodes":[{"node_id":1,"action_steps":[{"action":"{}"}]}]}',)], "v string")
+    steps = logs.parse_node_trees(trees.select(F.from_json("v", logs.NODE_SCHEMA).alias("t")).select("t.*"))
+    assert {r["trajectory_id"]: r["evaluated"] for r in steps.collect()} == {"t": False, "u": None}
+
+
+def test_steps_without_raw_text_are_reported(spark):
+    steps = spark.createDataFrame([("r", "t", 1, "bash", "bash: ls", "", "")], "run string, trajectory string, step_index int, action_header string, action string, observation string, error_message string")
+    raw = spark.createDataFrame([], "run string, trajectory string, raw_text string")
+    assert [r["problems"] for r in logs.step_problems(steps, raw).collect()] == [["no raw text"]]
 
 
 def test_shapes_and_types(spark):
@@ -154,4 +180,4 @@ def test_unreadable_logs_are_null(spark, tmp_path):
         folder.mkdir(exist_ok=True)
         (folder / f"{name}.json").write_text(text)
     rows = {r["trajectory"]: r["messages"] for r in scans.scan_message_logs(spark, str(tmp_path), r"run_(\d+)/", r"/(\w+)\.json").collect()}
-    assert rows["b"] is None and rows["a"][0]["content"] == "hi"
+    assert rows["b"] is None and rows["a"][0]["content"].toPython() == "hi"
