@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsetlab.llm.common import batch_of, content_key, partitions
-from subsetlab.session import cut_lineage
+from subsetlab.llm.common import batch_of, content_key, partitions, written
 
 THRESHOLD = 100
 DIGIT = 32
@@ -290,7 +289,7 @@ def repeated_marks(docs: DataFrame, threshold: int, digit: int) -> DataFrame:
         for entries, _ in grouped(batches):
             yield judged_runs(entries)
 
-    marks = cut_lineage(docs.mapInArrow(runs, BLOB_DDL).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, MARK_DDL))
+    marks = written(docs.mapInArrow(runs, BLOB_DDL).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, MARK_DDL), "marks")
     compare = marks.filter(F.col("kind") != WHOLE).groupBy("doc", "content").agg(F.collect_list(F.struct("start", "windows", "kind", "anchor", "offset")).alias("runs"))
     asked = docs.join(compare.hint("shuffle_hash"), ["doc", "content"])
 
