@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.ranking import group_quantiles
 
 CHARACTERS_PER_TOKEN = 4
-MAX_OBSERVATION_TOKENS = 10_000
 SUBSET_PERCENTAGES = (5, 10, 20, 30)
 
 
@@ -24,22 +23,26 @@ def message_tokens(messages: DataFrame) -> DataFrame:
     return messages.withColumn("tokens", own)
 
 
-def trajectory_costs(messages: DataFrame, keys=("run", "instance")) -> DataFrame:
+def trajectory_costs(messages: DataFrame, keys=("run", "instance"), observation_cap=None) -> DataFrame:
     """Flat and triangular cost per conversation.
 
-    Every assistant turn pays for the context before it; tool messages enter the context capped. The context is a running sum
-    per conversation, which Spark streams over the sorted turns.
+    Every assistant turn pays for the context before it. The context is a running sum per conversation, which Spark streams over the
+    sorted turns. With ``observation_cap``, tool messages enter the context with at most so many tokens and ``cut_tokens`` counts the rest.
     """
     counted = message_tokens(messages)
-    context = F.when(F.col("role") == "tool", F.least(F.col("tokens"), F.lit(MAX_OBSERVATION_TOKENS))).otherwise(F.col("tokens"))
+    cut = F.lit(0).cast("long")
+    if observation_cap is not None:
+        cut = F.when(F.col("role") == "tool", F.greatest(F.col("tokens") - observation_cap, F.lit(0).cast("long"))).otherwise(cut)
+    context = F.col("tokens") - cut
     before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_context", F.coalesce(F.sum(context).over(before), F.lit(0)))
     spoken = F.col("role") == "assistant"
-    return (placed.groupBy(*keys)
-            .agg(F.sum(spoken.cast("long")).alias("num_steps"), F.sum("tokens").alias("flat_tokens"),
+    costs = (placed.withColumn("_cut", cut).groupBy(*keys)
+            .agg(F.sum("_cut").alias("cut_tokens"), F.sum(spoken.cast("long")).alias("num_steps"), F.sum("tokens").alias("flat_tokens"),
                  F.sum(F.when(spoken, F.col("_context")).otherwise(0)).alias("input_tokens"),
                  F.sum(F.when(spoken, F.col("tokens")).otherwise(0)).alias("output_tokens"))
             .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens")))
+    return costs if observation_cap is not None else costs.drop("cut_tokens")
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:

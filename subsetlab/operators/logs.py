@@ -10,7 +10,6 @@ from pyspark.sql.types import VariantType
 XML_CALL_ID = "xml_parsed"
 RESULT_MARKER = "EXECUTION RESULT"
 LOOK_AHEAD = 3
-MAX_ERROR_LINE = 300
 EXIT_CODE = r"(?:exit code|finished with exit code)\s*(\d+)"
 TRACEBACK = r"(?s)(Traceback \(most recent call last\):.*)"
 ERROR_KEYWORDS = ("error", "exception", "traceback", "failed", "fatal", "syntaxerror",
@@ -141,13 +140,13 @@ def edit_size(before: Column, after: Column) -> Column:
     return differing + F.abs(F.size(a) - F.size(b))
 
 
-def error_message(observation: Column) -> Column:
-    """Error of an observation: none at exit code 0, else the traceback, else the short keyword lines of a failed command."""
+def error_message(observation: Column, longest_line=None) -> Column:
+    """Error of an observation: none at exit code 0, else the traceback, else the keyword lines of a failed command (shorter than ``longest_line``, if given)."""
     code = F.regexp_extract(observation, EXIT_CODE, 1)
     trace = F.regexp_extract(observation, TRACEBACK, 1)
     lines = F.transform(F.split(observation, "\n"), strip)
     keyword = lambda line: F.lower(line).rlike("|".join(ERROR_KEYWORDS))
-    short = F.array_distinct(F.filter(lines, lambda l: (l != "") & (F.length(l) < MAX_ERROR_LINE) & keyword(l)))
+    short = F.array_distinct(F.filter(lines, lambda l: (l != "") & (F.length(l) < longest_line if longest_line else F.lit(True)) & keyword(l)))
     failed = F.concat(F.lit("Command failed with exit code "), F.regexp_replace(code, "^0+(?=\\d)", ""))
     is_zero = code.rlike("^0+$")
     return (F.when(F.coalesce(observation, F.lit("")) == "", "").when(is_zero, "").when(trace != "", strip(trace)).when(code == "", "")
@@ -280,20 +279,25 @@ THINKING = r"(?s)### \x{1F914} Thinking\n(.*?)" + SECTION_END
 EITHER = r"(?s)### (?:\x{1F441}\x{FE0F} Observation|\x{1F914} Thinking)\n(.*?)" + SECTION_END
 ACTION = r"(?s)### (?:\x{1F3AF} Action|\x{1F4CB} Conclusion)\n(.*?)" + SECTION_END
 CONCLUSIONS = ("<observation>", "diff --git", "## Summary", "The final patch")
-SHOWN_CHARACTERS = 100
 
 
-def _shorten(text: Column) -> Column:
-    """Display form of a long text."""
-    return F.when(F.length(text) < SHOWN_CHARACTERS, text).otherwise(F.concat(F.substring(text, 1, SHOWN_CHARACTERS - 3), F.lit("...")))
+def _shorten(text: Column, shown_characters=None) -> Column:
+    """The text, or its display form when a number of characters is given."""
+    if shown_characters is None:
+        return text
+    return F.when(F.length(text) < shown_characters, text).otherwise(F.concat(F.substring(text, 1, shown_characters - 3), F.lit("...")))
 
 
 def _unescaped(text: Column) -> Column:
     """Text of a quoted literal: escaped line ends, tabs, quotes and backslashes decoded."""
     parts = F.split(text, r"\\\\", -1)   # between doubled backslashes
-    for escape, character in (("n", "\n"), ("t", "\t"), ("r", "\r"), ("'", "'"), ('"', '"')):
-        parts = F.transform(parts, lambda p, e=escape, c=character: F.replace(p, F.lit("\\" + e), F.lit(c)))
-    return F.array_join(parts, "\\")
+
+    def decoded(part):
+        for escape, character in (("n", "\n"), ("t", "\t"), ("r", "\r"), ("'", "'"), ('"', '"')):
+            part = F.replace(part, F.lit("\\" + escape), F.lit(character))
+        return part
+
+    return F.array_join(F.transform(parts, decoded), "\\")
 
 
 def _quoted(arguments: Column, key: str) -> Column:
@@ -306,8 +310,11 @@ def _quoted(arguments: Column, key: str) -> Column:
     return F.coalesce(value(rf"(?s)\b{key}\s*=\s*" + literal), _unescaped(value(rf"""(?s)['"]{key}['"]\s*:\s*""" + literal)))
 
 
-def parse_text_logs(logs: DataFrame, text: str = "text") -> DataFrame:
-    """Text logs → one row per ``## Step n`` section of the solver block; a tool result is the next section's observation."""
+def parse_text_logs(logs: DataFrame, text: str = "text", shown_characters=None) -> DataFrame:
+    """Text logs → one row per ``## Step n`` section of the solver block; a tool result is the next section's observation.
+
+    Actions are whole unless ``shown_characters`` asks for their display form.
+    """
     solver = strip(F.regexp_extract(text, r"(?s)<problem_solver 0>(.*?)</problem_solver 0>", 1))
     described = logs.withColumn("task_description", strip(F.regexp_extract(text, r"(?s)<issue_description>(.*?)</issue_description>", 1)))
     sections = F.split(solver, r"\n## Step \d+\n")
@@ -336,12 +343,12 @@ def parse_text_logs(logs: DataFrame, text: str = "text") -> DataFrame:
     path = F.when(editor, arg("path")).when(viewer, arg("file_name", "dir_path", "directory"))
     observation = (F.when(shell | asked, F.col("_either")).when((editor | viewer) & (F.col("_result") != ""), F.col("_result"))
                    .when(final & ~called, F.col("_action")).otherwise(F.col("_own")))
-    shown = lambda prefix, value: F.concat(F.lit(prefix), _shorten(value))
+    shown = lambda prefix, value: F.concat(F.lit(prefix), _shorten(value, shown_characters))
     action = (F.when(~has, "think").when(shell, F.concat(F.lit("execute_bash: "), line))
               .when(thought, shown("think: ", F.coalesce(arg("thought"), F.col("arguments"))))
               .when(asked, shown("ask_repository_agent: ", F.coalesce(arg("query"), F.col("arguments"))))
               .when(final, "Conclusion: [See final patch / summary]")
-              .otherwise(F.concat(F.col("name"), F.lit(": "), _shorten(F.col("arguments")))))
+              .otherwise(F.concat(F.col("name"), F.lit(": "), _shorten(F.col("arguments"), shown_characters))))
     size = (F.when(editor & (verb == "create") & (F.coalesce(arg("file_text"), F.lit("")) != ""), line_count(arg("file_text")))
             .when(editor & (verb == "str_replace"), edit_size(F.coalesce(arg("old_str"), F.lit("")), F.coalesce(arg("new_str"), F.lit("")))).otherwise(0))
     ran = test_name(line)

@@ -90,8 +90,12 @@ def _without_terms(df: DataFrame, columns, terms: DataFrame) -> DataFrame:
             .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_column", "_at", "_token"))).alias("_all")))
     joined = keyed.drop(*columns).join(left, "_row", "left").drop("_row")
     none = F.array().cast("array<string>")
+
+    def tokens_in(number):
+        return F.transform(F.filter("_all", lambda t: t["_column"] == number), lambda t: t["_token"])
+
     for i, c in enumerate(columns):
-        joined = joined.withColumn(c, F.coalesce(F.transform(F.filter("_all", lambda t, i=i: t["_column"] == i), lambda t: t["_token"]), none))
+        joined = joined.withColumn(c, F.coalesce(tokens_in(i), none))
     return joined.drop("_all")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import arrays
 
-MAX_CHARACTERS, HEAD_CHARACTERS, TAIL_CHARACTERS = 30_000, 15_000, 10_000
 WINDOW_TOKENS, WINDOW_OVERLAP = 8_092, 200
 SERIES_LENGTH = 8
 
@@ -16,10 +15,11 @@ def step_text(action: Column, observation: Column) -> Column:
     return F.concat(F.lit("Action: "), F.coalesce(action, F.lit("")), F.lit(" | Result: "), F.coalesce(observation, F.lit("")))
 
 
-def embedding_input(text: Column) -> Column:
-    """Very long step texts keep their head and tail (the encoder's own input rule, part of its definition)."""
-    return F.when(F.length(text) > MAX_CHARACTERS,
-                  F.concat(F.substring(text, 1, HEAD_CHARACTERS), F.lit(" ... "), F.substring(text, -TAIL_CHARACTERS, TAIL_CHARACTERS))).otherwise(text)
+def embedding_input(text: Column, longest=None, head: int = 15_000, tail: int = 10_000) -> Column:
+    """Text that is embedded; with ``longest``, texts above so many characters keep their head and tail (``token_windows`` covers whole ones)."""
+    if longest is None:
+        return text
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, head), F.lit(" ... "), F.substring(text, -tail, tail))).otherwise(text)
 
 
 def token_windows(df: DataFrame, tokens: str = "tokens", size: int = WINDOW_TOKENS, overlap: int = WINDOW_OVERLAP) -> DataFrame:

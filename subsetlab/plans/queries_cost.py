@@ -33,7 +33,7 @@ COSTS = f"""tokens AS (
   SELECT CAST(conv_id % {COST_RUNS} AS INTEGER) AS run, conv_id // {COST_RUNS} AS instance, turn AS pos, role,
          CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, round_even(length(text) / 4, 0)) END AS BIGINT) AS tokens FROM conversations),
 contexts AS (
-  SELECT *, coalesce(sum(CASE WHEN role = 'tool' THEN least(tokens, 10000) ELSE tokens END) OVER (PARTITION BY run, instance ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS context FROM tokens),
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY run, instance ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS context FROM tokens),
 costs AS (
   SELECT run, instance, count(*) FILTER (role = 'assistant') AS num_steps, CAST(sum(tokens) AS BIGINT) AS flat_tokens,
          CAST(sum(CASE WHEN role = 'assistant' THEN context ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN tokens ELSE 0 END) AS BIGINT) AS output_tokens,

@@ -236,7 +236,7 @@ def text_logs(spark, folder):
     """Orders as plain-text logs: one section per line, the result of a call in the next section."""
     section = F.expr("""concat('\\n## Step ', n, '\\n', '### 👁️ Observation\\n', output, '\\n',
         CASE kind WHEN 0 THEN concat('### 🎯 Action\\nbash(command=\\'cd /w/', part, ' && pytest tests/test_', supp, '.py\\')')
-                  WHEN 1 THEN concat('### 🎯 Action\\nstr_replace_based_edit_tool({\\'command\\': \\'create\\', \\'path\\': \\'/w/f', part, '.py\\', \\'file_text\\': \\'x\\'})')
+                  WHEN 1 THEN concat('### 🎯 Action\\nstr_replace_based_edit_tool({\\'command\\': \\'create\\', \\'path\\': \\'/w/f', part, '.py\\', \\'file_text\\': \\'', array_join(array_repeat('x', q), '\\\\n'), '\\'})')
                   WHEN 2 THEN concat('### 🎯 Action\\nview_file_content(file_name=\\'/w/f', part, '.py\\')')
                   WHEN 3 THEN concat('### 🎯 Action\\nthink(thought=\\'', repeat('idea ', q), '\\')')
                   WHEN 4 THEN '### 📋 Conclusion\\nThe final patch is done' ELSE '' END)""")
@@ -249,11 +249,11 @@ def text_logs(spark, folder):
   SELECT *, lead(trim(output, ' ' || chr(10))) OVER (PARTITION BY trajectory ORDER BY n) AS next_output, trim(output, ' ' || chr(10)) AS own FROM lines)""", query="""
 SELECT run, trajectory, n AS step_index, CASE kind WHEN 0 THEN 'bash' WHEN 1 THEN 'str_replace_based_edit_tool' WHEN 2 THEN 'view_file_content' WHEN 4 THEN 'Conclusion' ELSE 'think' END AS action_header,
        CASE kind WHEN 0 THEN 'execute_bash: cd /w/' || part || ' && pytest tests/test_' || supp || '.py'
-         WHEN 1 THEN 'str_replace_based_edit_tool: {''command'': ''create'', ''path'': ''/w/f' || part || '.py'', ''file_text'': ''x''}' WHEN 2 THEN 'view_file_content: file_name=''/w/f' || part || '.py'''
-         WHEN 3 THEN 'think: ' || CASE WHEN q * 5 < 100 THEN repeat('idea ', q) ELSE substr(repeat('idea ', q), 1, 97) || '...' END
+         WHEN 1 THEN 'str_replace_based_edit_tool: {''command'': ''create'', ''path'': ''/w/f' || part || '.py'', ''file_text'': ''' || rtrim(repeat('x\\n', q), '\\n') || '''}' WHEN 2 THEN 'view_file_content: file_name=''/w/f' || part || '.py'''
+         WHEN 3 THEN 'think: ' || repeat('idea ', q)
          WHEN 4 THEN 'Conclusion: [See final patch / summary]' ELSE 'think' END AS action,
        CASE kind WHEN 0 THEN 'pytest' WHEN 1 THEN 'create' WHEN 2 THEN 'view_file_content' WHEN 4 THEN 'Conclusion' ELSE 'think' END AS action_command,
-       CASE WHEN kind IN (1, 2) THEN '/w/f' || part || '.py' ELSE '' END AS files, CASE WHEN kind = 0 THEN 'test_' || supp || '.py' ELSE '' END AS tests_run, CASE WHEN kind = 1 THEN 1 ELSE 0 END AS edit_size,
+       CASE WHEN kind IN (1, 2) THEN '/w/f' || part || '.py' ELSE '' END AS files, CASE WHEN kind = 0 THEN 'test_' || supp || '.py' ELSE '' END AS tests_run, CASE WHEN kind = 1 THEN q ELSE 0 END AS edit_size,
        length(CASE WHEN kind = 0 THEN coalesce(next_output, '') WHEN kind IN (1, 2) THEN coalesce(next_output, own) WHEN kind = 4 THEN 'The final patch is done' ELSE own END) AS observation_length FROM sectioned"""))
 def text_log_steps(spark, folder):
     """Sections of plain-text logs."""

@@ -102,10 +102,11 @@ SELECT CAST(conv_id % 5 AS VARCHAR) AS run, CAST(conv_id AS VARCHAR) AS trajecto
 def message_log_scan(spark, folder):
     """Conversations written as one JSON array per file and scanned back."""
     path = scratch(spark)
-    message = F.struct("role", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text")))).alias("content"))
+    parts = F.array(F.struct(F.lit("text").alias("type"), "text"))
+    message = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role", F.col("text").alias("content")))).otherwise(F.to_json(F.struct("role", parts.alias("content"))))
     table = inputs.table(spark, folder, "conversations")
     files = table.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("_m")).select(
-        F.pmod("conv_id", F.lit(5)).alias("run"), F.col("conv_id").alias("trajectory"), F.to_json("_m.m").alias("value"))
+        F.pmod("conv_id", F.lit(5)).alias("run"), F.col("conv_id").alias("trajectory"), F.concat(F.lit("["), F.array_join("_m.m", ","), F.lit("]")).alias("value"))
     files.write.partitionBy("run", "trajectory").text(path)
     scanned = scans.scan_message_logs(spark, path, r"run=(\d+)/", r"trajectory=(\d+)/")
     text = F.transform("messages", lambda m: F.length(logs.message_text(m["content"])))

@@ -77,7 +77,10 @@ def test_triangular_cost_caps_tool_messages(spark):
     rows = [("r", 1, 0, "user", "x" * 40, None), ("r", 1, 1, "assistant", "y" * 8, [{"id": "a", "function": {"name": "abcd", "arguments": "z" * 10}}]),
             ("r", 1, 2, "tool", "t" * 100_000, None), ("r", 1, 3, "assistant", "w" * 4, None)]
     schema = "run string, instance long, pos long, role string, text string, tool_calls array<struct<id:string,function:struct<name:string,arguments:string>>>"
-    row = cost.trajectory_costs(spark.createDataFrame(rows, schema)).first()
+    whole = cost.trajectory_costs(spark.createDataFrame(rows, schema)).first()
+    assert whole["input_tokens"] == 10 + (10 + 5 + 25_000) and "cut_tokens" not in whole.asDict()
+    row = cost.trajectory_costs(spark.createDataFrame(rows, schema), observation_cap=10_000).first()
+    assert row["cut_tokens"] == 15_000
     assert row["output_tokens"] == (2 + 1 + 2) + 1          # 10 / 4 = 2.5 rounds to 2
     assert row["input_tokens"] == 10 + (10 + 5 + 10_000)
     assert row["flat_tokens"] == 10 + 5 + 25_000 + 1
