@@ -8,17 +8,24 @@ from subsetlab.llm.common import partitions
 from subsetlab.session import cut_lineage
 
 BUFFER_ROWS = 20_000     # rows of whole units that a task works on at once
+BROADCAST_KEYS = 50_000  # large keys that are broadcast, under 2 MB
 
 
 def deal(rows: DataFrame, *carried, shard: int) -> DataFrame:
-    """Rows (key, node, carried..) of keys that have company, dealt to units (key, i, j) and sorted by them; ``part`` is i or j.
+    """Rows (key, node, carried..) dealt to units (key, i, j) and sorted by them; ``part`` is i or j.
 
     A key of at most ``shard`` rows is one unit. Sizes are counted with map-side sums; a larger key has a part per ``shard`` rows, to which a
-    hash of the node deals them, so no unit has many more than twice ``shard`` rows.
+    hash of the node deals them, so no unit has many more than twice ``shard`` rows. The table of large keys is broadcast if it is counted
+    to be short, else joined by a shuffle of its own, which can be split at a large key. ``rows`` is read twice and should be cheap to redo.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / shard).cast("int").alias("parts"))
-    sizes = cut_lineage(sizes)   # a shuffle of its own, so that the join can be split at large keys
-    parts = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard)
+    large = cut_lineage(large.select("key", F.ceil(F.col("n") / shard).cast("int").alias("parts")))
+    n_large = large.count()
+    if n_large:
+        sized = rows.join(F.broadcast(large) if n_large <= BROADCAST_KEYS else large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        sized = rows.withColumn("parts", F.lit(1))
+    parts = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j")))
     units = parts.select("key", "node", "part", *carried, F.inline(F.array_distinct(meets)))
     return (units.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")

@@ -132,6 +132,10 @@ class Forest:
 
 def forest_links(unit, part, tree_part, fps, node, radius):
     """Spanning links (a, b) inside whole units: rows of the tree's part are the tree, rows of the other part look themselves up in it."""
+    company = np.bincount(unit)[unit] > 1
+    unit, part, tree_part, fps, node = unit[company], part[company], tree_part[company], fps[company], node[company]
+    if not len(unit):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     _, unit = np.unique(unit, return_inverse=True)
     in_tree = part == tree_part
     looking = ~in_tree | (np.bincount(unit, ~in_tree)[unit] == 0)   # in a unit of one part the tree's rows look themselves up
@@ -162,7 +166,7 @@ def near_links(distinct: DataFrame, radius: int, width: int) -> DataFrame:
             take = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
             yield batch_of(key_schema, [keys.reshape(-1), batch.column(0).take(take), batch.column(1).take(take)])
 
-    keys = cut_lineage(distinct.select("fp", "node").mapInArrow(keyed, "key bigint, fp binary, node bigint"))
+    keys = distinct.select("fp", "node").mapInArrow(keyed, "key bigint, fp binary, node bigint")
     dealt = deal(keys, "fp", shard=SHARD)
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -178,7 +182,7 @@ def near_links(distinct: DataFrame, radius: int, width: int) -> DataFrame:
 def near_duplicates(df: DataFrame, size: int, radius: int, width: int = 1, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest id reachable over links of at most ``radius`` differing bits."""
     prints = cut_lineage(fingerprints(df, size, width, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     components = connected_components(near_links(distinct.filter("node is not null"), radius, width))
     of_print = distinct.join(components, "node", "left").select(F.col("fp").alias("print"), F.coalesce("component", "node").alias("component_id"))
     return prints.join(of_print, prints["fp"] == of_print["print"]).select("doc_id", "fp", "component_id")

@@ -143,6 +143,8 @@ def near_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding", cosine=
             parent, links = np.arange(len(unit)), np.zeros(len(unit), np.int64)
             begins = np.nonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))[0]
             for begin, end in zip(begins, [*begins[1:], len(unit)]):
+                if end - begin < 2:
+                    continue
                 x = unit_vectors(raw[begin:end], kind)
                 keys = np.frombuffer(b"".join(cells[begin:end]), np.int32).reshape(end - begin, -1)
                 windows = x @ directions(seed + 1, x.shape[1], COUNTED)
