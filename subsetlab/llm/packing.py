@@ -2,7 +2,7 @@
 
 Every part of the pieces is packed best-fit decreasing, and a lower bound from dual-feasible functions certifies its number of bins.
 Parts that stay above their bound, and the open bins of all parts while the whole is above its bound, exchange their pieces: they are
-dealt anew by another hash and packed again; the new bins are kept where they are fewer. Parts have a bounded expected number of pieces,
+dealt anew by another hash to parts of twice the size and packed again; the new bins are kept if they are fewer. Parts have a bounded expected number of pieces,
 because a hash of document and piece deals them, so one frequent length or source fills no part more than another.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed once each; ties go to the smaller document and
@@ -143,7 +143,10 @@ def count_bins(placed: DataFrame) -> int:
 
 
 def pack(pieces: DataFrame, capacity=CAPACITY, pieces_per_part=PIECES_PER_PART, rounds=ROUNDS) -> DataFrame:
-    """Pieces with sequence_id and offset; at most ``rounds`` exchanges, fewer when the bound is met or an exchange gains nothing."""
+    """Pieces with sequence_id and offset; at most ``rounds`` exchanges, fewer when the bound is met.
+
+    Parts double in size from round to round, up to ``pieces_per_part`` times 2 to the ``rounds``.
+    """
     pieces = cut_lineage(pieces)
     histogram = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():   # at most ``capacity`` rows
@@ -157,11 +160,10 @@ def pack(pieces: DataFrame, capacity=CAPACITY, pieces_per_part=PIECES_PER_PART,
             break
         kept, moved = placed.filter("not open"), placed.filter("open")
         n_moved, before = moved.count(), count_bins(moved)
-        again = cut_lineage(pack_parts(moved, max(1, -(-n_moved // pieces_per_part)), round_no, capacity))
+        again = cut_lineage(pack_parts(moved, max(1, -(-n_moved // (pieces_per_part << round_no))), round_no, capacity))
         after = count_bins(again)
-        if after >= before:
-            break
-        placed, bins = kept.unionByName(again), bins - before + after
+        if after < before:
+            placed, bins = kept.unionByName(again), bins - before + after
     return placed.drop("open", "part_gap")
 
 
