@@ -35,18 +35,26 @@ MIN_CONTEXTS = 3        # different contexts in which term and entity meet
 REMOVE_AT = 1.0         # disclosure from which a term is removed rather than generalised
 
 
-def matches_with_context(df: DataFrame, kind_no: int, pattern: str, hint: Column, reach: int) -> DataFrame:
-    """(doc, content, kind_no, start, value, before, after): matches in order, with what stands around them."""
-    text = F.col("text")
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = df.filter(hint).select("doc", "content", F.posexplode(F.arrays_zip(found.alias("value"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))).alias("i", "m"))
-    row = (parts.filter(F.col("m.value").isNotNull())
-           .select("doc", "content", "i", F.col("m.value").alias("value"), F.length("m.gap").alias("skip"), F.expr(f"right(m.gap, {reach})").alias("before"), F.expr(f"left(m.next, {reach})").alias("after")))
-    row = row.repartition("doc", "content").dropDuplicates(["doc", "content", "i"])   # repeated rows, in the one exchange that the window needs anyway
-    order = Window.partitionBy("doc", "content").orderBy("i")
-    start = F.sum(F.col("skip") + F.length("value")).over(order) - F.length("value")
-    return row.select("doc", "content", F.lit(kind_no).alias("kind_no"), start.cast("int").alias("start"), (start + F.length("value")).cast("int").alias("end"), "value", "before", "after")
+def matches(docs: DataFrame, patterns, reach: int) -> DataFrame:
+    """(doc, content, kind_no, start, end, value, before, after): matches of (kind_no, pattern, hint) triples with what stands around them.
+
+    A text is read once for all kinds; a pattern runs where its hint, a cheaper test, holds.
+    """
+    none = F.array().cast("array<string>")
+    texts = docs.select("doc", "content", *[F.when(hint, F.split("text", pattern, -1)).otherwise(none).alias(f"gaps{k}") for k, pattern, hint in patterns],
+                        *[F.when(hint, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"found{k}") for k, pattern, hint in patterns])
+
+    def placed(k):
+        gaps = F.col(f"gaps{k}")
+        return F.transform(F.col(f"found{k}"), lambda value, i: F.struct(F.lit(k).alias("kind_no"), i.alias("i"), F.length(F.get(gaps, i)).alias("skip"), value.alias("value"),
+                                                                         F.right(F.get(gaps, i), F.lit(reach)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(reach)).alias("after")))
+
+    found = texts.select("doc", "content", F.inline(F.concat(*[placed(k) for k, _, _ in patterns])))
+    # repeated rows go in the one shuffle that the running sum of lengths needs anyway
+    once = found.repartition("doc", "content").dropDuplicates(["doc", "content", "kind_no", "i"])
+    in_order = Window.partitionBy("doc", "content", "kind_no").orderBy("i")
+    end = F.sum(F.col("skip") + F.length("value")).over(in_order)
+    return once.select("doc", "content", "kind_no", (end - F.length("value")).cast("int").alias("start"), end.cast("int").alias("end"), "value", "before", "after")
 
 
 def luhn(digits: Column) -> Column:
@@ -60,13 +68,11 @@ def base_spans(df: DataFrame, id_col="doc_id", text_col="text", reach=REACH) ->
     """Spans of personal data: (doc, content, kind_no, start, end, value, before, after), positions in code points, end exclusive."""
     docs = df.select(F.col(id_col).alias("doc"), content_key(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digit = F.col("text").rlike("[0-9]")
-    email = matches_with_context(docs, 0, EMAIL, F.contains("text", F.lit("@")), reach)
+    found = matches(docs, [(0, EMAIL, F.contains("text", F.lit("@"))), (1, IP, digit & F.contains("text", F.lit("."))), (2, CARD, digit), (3, PHONE, F.contains("text", F.lit("+")))], reach)
     octets_fit = F.forall(F.split("value", r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
-    ip = matches_with_context(docs, 1, IP, digit & F.contains("text", F.lit(".")), reach).filter(octets_fit)
     digits = F.regexp_replace("value", "[^0-9]", "")
-    card = matches_with_context(docs, 2, CARD, digit, reach).filter(F.length(digits).between(14, 19)).filter(luhn(digits))
-    phone = matches_with_context(docs, 3, PHONE, F.contains("text", F.lit("+")), reach).filter(F.length(digits).between(10, 15))
-    return email.unionByName(ip).unionByName(card).unionByName(phone)
+    card = F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(F.lit(False))
+    return found.filter(F.when(F.col("kind_no") == 1, octets_fit).when(F.col("kind_no") == 2, card).when(F.col("kind_no") == 3, F.length(digits).between(10, 15)).otherwise(F.lit(True)))
 
 
 def near_terms(spans: DataFrame, terms_per_side=TERMS_PER_SIDE) -> DataFrame:
@@ -95,7 +101,8 @@ def disclosures(near: DataFrame, spans: DataFrame, df: DataFrame, text_col="text
     pairs = (near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("contexts"))
              .filter(F.col("contexts") >= min_contexts))
-    words = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("word")).groupBy(F.xxhash64(F.lower("word")).alias("term")).agg(F.count(F.lit(1)).alias("occurrences"))
+    counted_words = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("word")).groupBy(F.xxhash64(F.lower("word")).alias("term")).agg(F.count(F.lit(1)).alias("occurrences"))
+    words = cut_lineage(counted_words)   # read for the total and for the join
     mentions = spans.groupBy(F.xxhash64("kind_no", "value").alias("entity")).agg(F.count(F.lit(1)).alias("mentions"))
     total = words.agg(F.sum("occurrences").alias("total"))   # one row
     counted = pairs.join(words, "term").join(mentions, "entity").join(F.broadcast(total))
@@ -109,7 +116,7 @@ def all_spans(df: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHO
     """Base spans and disclosing terms: (doc, content, kind_no, start, end, disclosure, reached); ``reached`` is the furthest end of earlier spans."""
     spans = cut_lineage(base_spans(df, id_col, text_col))   # used four times, matched once
     near = near_terms(spans)
-    found = disclosures(near, spans, df, text_col, threshold, min_contexts)
+    found = cut_lineage(disclosures(near, spans, df, text_col, threshold, min_contexts))   # a shuffle of its own: the join can be split at a frequent entity
     terms = (near.join(found, ["entity", "term"]).groupBy("doc", "content", "start", "end").agg(F.max("disclosure").alias("disclosure"))
              .select("doc", "content", F.lit(4).alias("kind_no"), "start", "end", "disclosure"))
     both = spans.select("doc", "content", "kind_no", "start", "end", F.lit(None).cast("double").alias("disclosure")).unionByName(terms)
