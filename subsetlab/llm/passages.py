@@ -24,8 +24,8 @@ from subsetlab.llm.common import batch_of, content_key, partitions, written
 
 THRESHOLD = 100
 DIGIT = 32
-SEGMENT = 1 << 20        # bytes hashed at once; longer texts are cut into overlapping segments
-FLUSH = 1 << 19          # entries that a task settles at once
+SEGMENT = 1 << 18        # bytes hashed at once; longer texts are cut into overlapping segments
+FLUSH = 1 << 18          # entries that a task settles at once
 BUCKET_BYTES = 2 << 20   # input bytes per radix bucket
 MANY_RUNS = 64           # different runs of one anchor in a task from which the anchor counts as hot
 
