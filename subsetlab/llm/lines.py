@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsetlab.llm.common import ASCII_SPACE, content_key, lower_ascii, partitions
+from subsetlab.session import cut_lineage
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -32,9 +33,11 @@ def keep_bitmaps(df: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN_
              .select("doc", "content", "pos", line_key(F.col("line")).alias("key"))
              .filter(F.length("key") >= min_chars)
              .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "content", "pos"))
+    lines = cut_lineage(lines)   # read by the sampling of the range cuts, by the counts and by the join, but taken from the texts once
     ranged = lines.repartitionByRange(partitions(df.sparkSession), "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "content", "pos")
     held = ranged.groupBy("h1", "h2", "doc", "content").agg(F.collect_set("pos").alias("positions"))   # one row per line and document; no exchange
     common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("documents"), F.max("doc").alias("last")).filter(F.col("documents") >= min_documents).drop("documents")
+    common = cut_lineage(common)   # a shuffle of its own, so that the join can be split where one line has very many documents
     dropped = (held.join(common, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("last")))
                .select("doc", "content", F.explode("positions").alias("pos")))
     words = dropped.groupBy("doc", "content", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone"))
