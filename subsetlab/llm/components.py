@@ -10,24 +10,25 @@ def connected_components(links: DataFrame, a="a", b="b") -> DataFrame:
     """(node, component): every node of the links with the smallest node of its component.
 
     In a round every node joins the neighbour (or itself) that comes first in a random order of the round, two steps along; links inside
-    merged nodes vanish. The expected number of rounds grows with the logarithm of the nodes, also for long chains. Links and labels are
-    checkpointed per round; nothing but "any links left?" reaches the driver.
+    merged nodes vanish. The expected number of rounds grows with the logarithm of the nodes, also for long chains. Moves and remaining
+    links are checkpointed per round; nothing but "any links left?" reaches the driver.
     """
-    edges = cut_lineage(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct())
-    labels = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
-    round_no = 0
+    first = edges = cut_lineage(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct())
+    moves = []
     while not edges.isEmpty():
-        round_no += 1
-
         def order(node):
-            return F.struct(F.xxhash64(F.lit(round_no), node).alias("place"), node.alias("node"))
+            return F.struct(F.xxhash64(F.lit(len(moves)), node).alias("place"), node.alias("node"))
 
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut_lineage(both.groupBy("a").agg(F.least(F.min(order(F.col("b"))), order(F.col("a")))["node"].alias("to")).select(F.col("a").alias("node"), "to"))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        step = both.groupBy("a").agg(F.least(F.min(order(F.col("b"))), order(F.col("a")))["node"].alias("to")).select(F.col("a").alias("node"), "to")
         twice = cut_lineage(step.alias("x").join(step.alias("y"), F.col("x.to") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.to").alias("to")))
-        labels = cut_lineage(labels.join(twice.withColumnRenamed("node", "old"), F.col("root") == F.col("old"), "left").select("node", F.coalesce("to", "root").alias("root")))
         edges = cut_lineage(edges.join(twice.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(twice.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
                             .filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        moves.append(twice)
+    labels = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    for move in moves:
+        labels = labels.join(move.withColumnRenamed("node", "old"), F.col("root") == F.col("old"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    labels = cut_lineage(labels)
     least = cut_lineage(labels.groupBy("root").agg(F.min("node").alias("component")))   # a shuffle of its own: the join can be split at a large component
     return labels.join(least, "root").select("node", "component")
 
