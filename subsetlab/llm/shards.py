@@ -32,15 +32,15 @@ def deal(rows: DataFrame, *carried, shard: int) -> DataFrame:
             .select("key", "i", "j", "part", "node", *carried))
 
 
-def whole_units(batches):
-    """Tables of one or more whole units from record batches that are sorted by unit."""
+def whole_units(batches, rows=BUFFER_ROWS):
+    """Tables of one or more whole units, of about ``rows`` rows, from record batches that are sorted by unit."""
     held, count = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         count += batch.num_rows
-        if count >= BUFFER_ROWS:
+        if count >= rows:
             table = pa.Table.from_batches(held).combine_chunks()
             last = int(np.nonzero(starts_of(table))[0][-1])   # the last unit may go on
             if last:

@@ -74,3 +74,17 @@ def test_whole_pipeline_is_its_stages(spark):
     assert placed.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() == 0
     assert placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
     assert 150 < placed.select("doc_id").distinct().count() <= docs.select("text").distinct().count()
+
+
+def test_near_dedup_links_isolated_pairs_at_the_similarity_and_no_others(spark):
+    """Pairs of texts with a shingle similarity of exactly 0.8 are linked, pairs just below it are not; lengths from 8 words on."""
+    rows, want = [], []
+    for k, n in enumerate([4, 8, 12, 40, 80, 120, 200] * 40):   # common shingles; n / 4 more make 0.8, one more than that makes less
+        words = [f"p{k}w{i}" for i in range(n + 4 + n // 4)]
+        rows += [(10 * k, " ".join(words[:n + 4])), (10 * k + 1, " ".join(words))]
+        words = [f"q{k}w{i}" for i in range(n + 5 + n // 4)]
+        rows += [(10 * k + 2, " ".join(words[:n + 4])), (10 * k + 3, " ".join(words))]
+        want += [10 * k, 10 * k + 2, 10 * k + 3]
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, edge.frame(spark, rows), None).collect()}
+    assert set(want) <= kept
+    assert len(kept - set(want)) <= 0.01 * 280
