@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsetlab.llm import langid, lines, packing, pii, simhash
-from subsetlab.llm.common import table, written
+from subsetlab.llm.common import content_key, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,11 +34,16 @@ def line_dedup(spark, docs: DataFrame, sf_dir) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; rows that repeat an id become one."""
-    groups = simhash.near_duplicates(docs, SHINGLE_WORDS, RADIUS, FINGERPRINT_WORDS)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.select(*COLUMNS).join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates, the one with the smallest id, without an id the last; rows that repeat id and text become one.
+
+    Rows that share an id, or have none, are told apart by a hash of the text.
+    """
+    groups = simhash.similar_documents(docs, SHINGLE_WORDS, RADIUS, FINGERPRINT_WORDS)
+    first = groups.filter("kept").select(F.col("doc_id").alias("first_id"), F.col("content").alias("first_content")).distinct()
+    keyed = docs.select(*COLUMNS, content_key(F.col("text")).alias("content"))
+    kept = keyed.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("content") == F.col("first_content")), "left_semi")
+    one = kept.groupBy("doc_id", "content").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
+    return one.select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars")
 
 
 def sanitise(spark, docs: DataFrame, sf_dir) -> DataFrame:

@@ -88,3 +88,10 @@ def test_near_dedup_links_isolated_pairs_at_the_similarity_and_no_others(spark):
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, edge.frame(spark, rows), None).collect()}
     assert set(want) <= kept
     assert len(kept - set(want)) <= 0.01 * 280
+
+
+def test_near_dedup_tells_rows_without_or_with_a_repeated_id_apart(spark):
+    text = {name: " ".join(f"{name}{k}" for k in range(40)) for name in "abcde"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"]), (3, text["c"]), (5, text["c"]), (5, text["d"]), (5, text["e"])]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, edge.frame(spark, rows), None).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept) == sorted((d is None, d, text[t]) for d, t in [(None, "a"), (None, "b"), (3, "c"), (5, "d"), (5, "e")])
