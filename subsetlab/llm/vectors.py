@@ -2,8 +2,8 @@
 
 Vectors are projected on random directions. Groups of directions cut their sorted projections at the origin, so that a table of cells with
 ``bits`` directions each brings close vectors together; the number of tables is the one at which a pair at the threshold shares a cell with
-the wanted recall. Inside a cell the vectors are sorted by their projections, a window of fixed half-width is centred on every query, and the
-number of projections whose window holds the other vector is counted per pair. Only pairs at or above a count calibrated to that recall are
+the wanted recall. Inside a cell a window of fixed half-width is centred on every query's projections, and the number of projections whose
+window holds the other vector is counted per pair. Only pairs at or above a count calibrated to that recall are
 verified, by the cosine in double precision.
 
 Identical vectors are one vector with a number of copies. A pair is counted only in the first table in which it meets, so a task returns
@@ -82,14 +82,10 @@ def packed_vectors(df: DataFrame, id_col, vector_col):
 def close_pairs(x, windows, rows_a, rows_b, half_width, least, cosine, keys=None, table=None):
     """Yields index pairs (a, b) with a cosine of at least ``cosine`` among pairs whose windows collide often enough and that no earlier table has."""
     same = rows_a is rows_b
-    rows_a, rows_b = (rows[np.argsort(windows[rows, 0], kind="stable")] for rows in (rows_a, rows_b))
-    sorted_b = windows[rows_b, 0]
     for begin in range(0, len(rows_a), TILE):
         queries = rows_a[begin:begin + TILE]
-        low = np.searchsorted(sorted_b, windows[queries[0], 0] - half_width)
-        high = np.searchsorted(sorted_b, windows[queries[-1], 0] + half_width, "right")
-        for at in range(max(low, begin) if same else low, high, 8 * TILE):
-            others = rows_b[at:min(at + 8 * TILE, high)]
+        for at in range(begin if same else 0, len(rows_b), 8 * TILE):   # every tile: the count alone decides, no projection must collide
+            others = rows_b[at:at + 8 * TILE]
             count = np.zeros((len(queries), len(others)), np.int8)
             for k in range(windows.shape[1]):
                 count += np.abs(windows[queries, k][:, None] - windows[others, k]) <= half_width

@@ -100,3 +100,20 @@ def test_calibration_reaches_the_recall():
     for n in (100, 10_000, 10 ** 8):
         bits, tables, width, least = vectors.calibration(n)
         assert 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables >= vectors.RECALL and least >= 1 and width > 0
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_the_count_alone_decides_in_a_large_cell(split):
+    pick = np.random.default_rng(3)
+    x = pick.standard_normal((4000, 64))
+    x[1::2] = x[::2] + 0.45 * pick.standard_normal((2000, 64))   # pairs at a cosine about the threshold
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    windows = x @ vectors.directions(8, 64, vectors.COUNTED)
+    _, _, half_width, least = vectors.calibration(4000)
+    rows = np.arange(4000)
+    rows_a, rows_b = (rows[::2], rows[1::2]) if split else (rows, rows)
+    got = {tuple(sorted(p)) for a, b in vectors.close_pairs(x, windows, rows_a, rows_b, half_width, least, 0.9) for p in zip(a.tolist(), b.tolist())}
+    close = (x[::2] * x[1::2]).sum(axis=1) >= 0.9
+    counted = (np.abs(windows[::2] - windows[1::2]) <= half_width).sum(axis=1) >= least
+    assert got == {(2 * k, 2 * k + 1) for k in np.nonzero(close & counted)[0]}
+    assert len(got) >= 0.98 * close.sum() > 500
