@@ -16,7 +16,7 @@ class TextEncoder:
         self.find_matches, self.encode_matches, self.cache = find_matches, encode_matches, {}
 
     def chunks(self, text):
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+        if text.split() != text.replace("\n", " ").split(" ") or "\0" in text:   # equal lists: every part is whole and free of other white space
             return self.find_matches(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 

@@ -124,3 +124,14 @@ def test_held_out_accuracy_on_the_given_documents(spark):
     model = langid.learn(docs.filter(langid.fold() != 0))
     held = langid.predict(docs.filter(langid.fold() == 0), model, keep=("lang",))
     assert held.filter("lang_pred = lang").count() >= 0.97 * held.count() > 100
+
+
+def test_white_space_that_offsets_other_white_space(spark):
+    import tiktoken
+    from subsetlab.llm.tokens import TextEncoder
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(MULTI), special_tokens={})
+    texts = ["foo\tbar\n", " foo\tbar", "a\n\nb\tc", "a b\tc\td", "x \t a\tb", "a\xa0b\n"]
+    got = bpe.encode_documents(edge.frame(spark, list(enumerate(texts))), MULTI, PATTERN).collect()
+    assert {r.doc_id: r.ids for r in got} == {k: library.encode_ordinary(t) for k, t in enumerate(texts)}
+    encoder = TextEncoder(lambda text: [text], None)
+    assert all(encoder.chunks(t) == [t] for t in texts) and encoder.chunks("a b\nc") == ["a", " b", "\n", "c"]
