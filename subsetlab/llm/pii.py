@@ -36,25 +36,43 @@ REMOVE_AT = 1.0         # disclosure from which a term is removed rather than ge
 
 
 def matches(docs: DataFrame, patterns, reach: int) -> DataFrame:
-    """(doc, content, kind_no, start, end, value, before, after): matches of (kind_no, pattern, hint) triples with what stands around them.
+    """(doc, content, kind_no, start, end, value, before, after): matches of (kind_no, pattern, hint) triples with the text around them.
 
-    A text is read once for all kinds; a pattern runs where its hint, a cheaper test, holds.
+    A text is read once for all kinds; a pattern runs where its hint, a cheaper test, holds. ``before`` and ``after`` have up to ``reach`` + 1
+    code points, so that one of at most ``reach`` is known to end with the text. They go on over other matches: a match has two code points
+    at least, so a bounded number of pieces, each cut to the same length, holds them.
     """
+    most, pieces = reach + 1, reach // 2 + 1
     none = F.array().cast("array<string>")
     texts = docs.select("doc", "content", *[F.when(hint, F.split("text", pattern, -1)).otherwise(none).alias(f"gaps{k}") for k, pattern, hint in patterns],
                         *[F.when(hint, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"found{k}") for k, pattern, hint in patterns])
 
+    def cut(k, side):
+        """Each gap with the match behind it, or the match before it and the gap, as far as a context may need it."""
+        gaps, found = F.col(f"gaps{k}"), F.col(f"found{k}")
+        return F.when(F.size(found) > 0, F.zip_with(gaps, found, lambda gap, value: side(F.concat(gap, F.coalesce(value, F.lit(""))), F.lit(most)))).otherwise(none)
+
+    texts = texts.select("*", *[cut(k, F.right).alias(f"tails{k}") for k, _, _ in patterns], *[cut(k, F.left).alias(f"heads{k}") for k, _, _ in patterns])
+
     def placed(k):
-        gaps = F.col(f"gaps{k}")
-        return F.transform(F.col(f"found{k}"), lambda value, i: F.struct(F.lit(k).alias("kind_no"), i.alias("i"), F.length(F.get(gaps, i)).alias("skip"), value.alias("value"),
-                                                                         F.right(F.get(gaps, i), F.lit(reach)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(reach)).alias("after")))
+        gaps, tails, heads = (F.col(f"{name}{k}") for name in ("gaps", "tails", "heads"))
+
+        def one(value, i):
+            first = F.greatest(i - pieces, F.lit(0))
+            before = F.concat(F.array_join(F.slice(tails, first + 1, i - first), ""), F.right(F.get(gaps, i), F.lit(most)))
+            after = F.array_join(F.slice(heads, i + 2, F.lit(pieces)), "")
+            return F.struct(F.lit(k).alias("kind_no"), i.alias("i"), F.length(F.get(gaps, i)).alias("skip"), value.alias("value"),
+                            F.when(passes(k, value), F.right(before, F.lit(most))).alias("before"), F.when(passes(k, value), F.left(after, F.lit(most))).alias("after"))
+
+        return F.transform(F.col(f"found{k}"), one)
 
     found = texts.select("doc", "content", F.inline(F.concat(*[placed(k) for k, _, _ in patterns])))
     # repeated rows go in the one shuffle that the running sum of lengths needs anyway
     once = found.repartition("doc", "content").dropDuplicates(["doc", "content", "kind_no", "i"])
     in_order = Window.partitionBy("doc", "content", "kind_no").orderBy("i")
     end = F.sum(F.col("skip") + F.length("value")).over(in_order)
-    return once.select("doc", "content", "kind_no", (end - F.length("value")).cast("int").alias("start"), end.cast("int").alias("end"), "value", "before", "after")
+    placed_once = once.select("doc", "content", "kind_no", (end - F.length("value")).cast("int").alias("start"), end.cast("int").alias("end"), "value", "before", "after")
+    return placed_once.filter("before is not null")
 
 
 def luhn(digits: Column) -> Column:
@@ -64,19 +82,25 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def passes(kind_no: int, value: Column) -> Column:
+    """Whether a match of the kind's pattern passes its number check."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    if kind_no == 1:
+        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
+    if kind_no == 2:
+        return F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(F.lit(False))
+    return F.length(digits).between(10, 15) if kind_no == 3 else F.lit(True)
+
+
 def base_spans(df: DataFrame, id_col="doc_id", text_col="text", reach=REACH) -> DataFrame:
     """Spans of personal data: (doc, content, kind_no, start, end, value, before, after), positions in code points, end exclusive."""
     docs = df.select(F.col(id_col).alias("doc"), content_key(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digit = F.col("text").rlike("[0-9]")
-    found = matches(docs, [(0, EMAIL, F.contains("text", F.lit("@"))), (1, IP, digit & F.contains("text", F.lit("."))), (2, CARD, digit), (3, PHONE, F.contains("text", F.lit("+")))], reach)
-    octets_fit = F.forall(F.split("value", r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255))
-    digits = F.regexp_replace("value", "[^0-9]", "")
-    card = F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(F.lit(False))
-    return found.filter(F.when(F.col("kind_no") == 1, octets_fit).when(F.col("kind_no") == 2, card).when(F.col("kind_no") == 3, F.length(digits).between(10, 15)).otherwise(F.lit(True)))
+    return matches(docs, [(0, EMAIL, F.contains("text", F.lit("@"))), (1, IP, digit & F.contains("text", F.lit("."))), (2, CARD, digit), (3, PHONE, F.contains("text", F.lit("+")))], reach)
 
 
-def near_terms(spans: DataFrame, terms_per_side=TERMS_PER_SIDE) -> DataFrame:
-    """Words near mentions: (doc, content, entity, context, term, start, end). Words cut by the reach or glued to the mention do not count."""
+def near_terms(spans: DataFrame, terms_per_side=TERMS_PER_SIDE, reach=REACH) -> DataFrame:
+    """Words near mentions: (doc, content, entity, context, term, start, end). Words cut by the reach or glued to the mention do not count; where the text ends nothing is cut."""
 
     def words(side, base):
         """Array of (word, start) of a context string; the string is bounded, so are these sums over its pieces."""
@@ -85,8 +109,8 @@ def near_terms(spans: DataFrame, terms_per_side=TERMS_PER_SIDE) -> DataFrame:
         return F.transform(found, lambda w, i: F.struct(w.alias("word"), (base + F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) - F.length(w)).alias("start")))
 
     before, after = F.col("before"), F.col("after")
-    left = F.filter(words(before, F.col("start") - F.length(before)), lambda w: (w["start"] > F.col("start") - F.length(before)) & (w["start"] + F.length(w["word"]) < F.col("start")))
-    right = F.filter(words(after, F.col("end")), lambda w: (w["start"] > F.col("end")) & (w["start"] + F.length(w["word"]) < F.col("end") + F.length(after)))
+    left = F.filter(words(before, F.col("start") - F.length(before)), lambda w: ((w["start"] > F.col("start") - F.length(before)) | (F.length(before) <= reach)) & (w["start"] + F.length(w["word"]) < F.col("start")))
+    right = F.filter(words(after, F.col("end")), lambda w: (w["start"] > F.col("end")) & ((w["start"] + F.length(w["word"]) < F.col("end") + F.length(after)) | (F.length(after) <= reach)))
     near = F.concat(F.slice(F.reverse(left), 1, terms_per_side), F.slice(right, 1, terms_per_side))
     rows = spans.select("doc", "content", F.xxhash64("kind_no", "value").alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w"))
     return (rows.select("doc", "content", "entity", "context", F.xxhash64(F.lower("w.word")).alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"), F.col("w.word").alias("word"))

@@ -104,3 +104,13 @@ def test_empty_tables(spark):
     assert lines.keep_lines(df).count() == passages.remove_repeats(df).count() == pii.sanitise(df).count() == 0
     counts = quality.features(df)
     assert quality.judge(counts, quality.choose_cutoffs(counts, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))).count() == 0
+
+
+def test_words_at_the_ends_of_a_text_and_beside_failing_matches_are_near(spark):
+    filler = ["the report was long", "we met again today", "nothing else was said", "some other words here", "and the weather was fine"]
+    mail = [(k, t) for k, t in enumerate(["Janeroe <jane@x.org> wrote", "so said jane@x.org Janeroe", "Janeroe <jane@x.org>", "today jane@x.org Janeroe"])]
+    card = [(10 + k, f"{filler[k]} Zoltanov, flat {42 + k}, card 4111 1111 1111 1111, {filler[k + 1]}") for k in range(4)]
+    rest = [(100 + k, f"{filler[k % 5]} flat card so said wrote today and {filler[(k + 2) % 5]}") for k in range(200)]
+    got = pii.with_spans(edge.frame(spark, mail + card + rest)).collect()
+    terms = {(r.doc_id, r.text[s.start:s.end]) for r in got for s in r.pii_spans if s.kind_no == 4}
+    assert terms == {(k, "Janeroe") for k in range(4)} | {(10 + k, "Zoltanov") for k in range(4)}
