@@ -4,7 +4,7 @@ Base spans are the leftmost non-overlapping matches of four patterns that also p
 protected entity. Terms are words near a mention of it. Over the whole corpus, a term's disclosure of an entity is the share of the
 entity's information that the term carries: pointwise mutual information of term and entity over the information content of the entity,
 1 when the term never occurs without it. Terms at or above the threshold, seen with the entity in enough different contexts, are spans of
-kind ``term``: ``sanitise`` replaces base spans by their kind and generalises or removes terms.
+kind ``term`` wherever they stand, near a mention or not: ``sanitise`` replaces base spans by their kind and generalises or removes terms.
 
 Everything is DataFrame functions. Texts are matched where they are read; what is shuffled are spans with a bounded context, hashes of
 words with counts added up beforehand, and, for ``sanitise`` alone, the texts.
@@ -32,6 +32,7 @@ REACH = 80              # code points of context on each side of a mention
 TERMS_PER_SIDE = 5      # words of it that count as near
 THRESHOLD = 0.9         # share of the entity's information
 MIN_CONTEXTS = 3        # different contexts in which term and entity meet
+BROADCAST_TERMS = 50_000   # disclosing terms that are broadcast, under 2 MB
 REMOVE_AT = 1.0         # disclosure from which a term is removed rather than generalised
 
 
@@ -100,7 +101,7 @@ def base_spans(df: DataFrame, id_col="doc_id", text_col="text", reach=REACH) ->
 
 
 def near_terms(spans: DataFrame, terms_per_side=TERMS_PER_SIDE, reach=REACH) -> DataFrame:
-    """Words near mentions: (doc, content, entity, context, term, start, end). Words cut by the reach or glued to the mention do not count; where the text ends nothing is cut."""
+    """Words near mentions: (entity, context, term). Words cut by the reach or glued to the mention do not count; where the text ends nothing is cut."""
 
     def words(side, base):
         """Array of (word, start) of a context string; the string is bounded, so are these sums over its pieces."""
@@ -112,9 +113,8 @@ def near_terms(spans: DataFrame, terms_per_side=TERMS_PER_SIDE, reach=REACH) ->
     left = F.filter(words(before, F.col("start") - F.length(before)), lambda w: ((w["start"] > F.col("start") - F.length(before)) | (F.length(before) <= reach)) & (w["start"] + F.length(w["word"]) < F.col("start")))
     right = F.filter(words(after, F.col("end")), lambda w: (w["start"] > F.col("end")) & ((w["start"] + F.length(w["word"]) < F.col("end") + F.length(after)) | (F.length(after) <= reach)))
     near = F.concat(F.slice(F.reverse(left), 1, terms_per_side), F.slice(right, 1, terms_per_side))
-    rows = spans.select("doc", "content", F.xxhash64("kind_no", "value").alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w"))
-    return (rows.select("doc", "content", "entity", "context", F.xxhash64(F.lower("w.word")).alias("term"), F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end"), F.col("w.word").alias("word"))
-            .filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{N}_]{2,}$")).drop("word"))
+    rows = spans.select(F.xxhash64("kind_no", "value").alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w"))
+    return rows.filter(F.col("w.word").rlike(r"^\p{L}[\p{L}\p{N}_]{2,}$")).select("entity", "context", F.xxhash64(F.lower("w.word")).alias("term"))
 
 
 def disclosures(near: DataFrame, spans: DataFrame, df: DataFrame, text_col="text", threshold=THRESHOLD, min_contexts=MIN_CONTEXTS) -> DataFrame:
@@ -136,13 +136,35 @@ def disclosures(near: DataFrame, spans: DataFrame, df: DataFrame, text_col="text
             .filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"))
 
 
+def occurrences(df: DataFrame, terms: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc, content, start, end, disclosure) of every word of every text that is one of the terms (term, disclosure), one row per term.
+
+    Different words of a text are looked up first; places are counted in the texts that hold a term. A short table of terms is broadcast, a
+    long one is joined by a shuffle.
+    """
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    texts = df.select(F.col(id_col).alias("doc"), content_key(F.col(text_col)).alias("content"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    held = texts.select("doc", "content", F.explode(F.array_distinct(words)).alias("word")).select("doc", "content", F.xxhash64(F.lower("word")).alias("term"))
+    holders = cut_lineage(held.join(terms, "term", "left_semi").select(F.col("doc").alias("held_doc"), F.col("content").alias("held_content")).distinct())
+    chosen = texts.join(holders.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("held_doc")) & (F.col("content") == F.col("held_content")), "left_semi")
+    gaps = F.split("text", WORD, -1)
+    placed = chosen.select("doc", "content", F.inline(F.zip_with(words, F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda gap, i: F.struct(F.length(gap).alias("skip"), i.alias("i"))),
+                                                                 lambda word, at: F.struct(at["i"].alias("i"), at["skip"].alias("skip"), F.length(word).alias("size"), F.xxhash64(F.lower(word)).alias("term")))))
+    once = placed.repartition("doc", "content").dropDuplicates(["doc", "content", "i"])
+    end = F.sum(F.col("skip") + F.col("size")).over(Window.partitionBy("doc", "content").orderBy("i"))
+    return (once.select("doc", "content", "term", (end - F.col("size")).cast("int").alias("start"), end.cast("int").alias("end"))
+            .join(terms, "term").select("doc", "content", "start", "end", "disclosure"))
+
+
 def all_spans(df: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD, min_contexts=MIN_CONTEXTS) -> DataFrame:
     """Base spans and disclosing terms: (doc, content, kind_no, start, end, disclosure, reached); ``reached`` is the furthest end of earlier spans."""
-    spans = cut_lineage(base_spans(df, id_col, text_col))   # used four times, matched once
+    spans = cut_lineage(base_spans(df, id_col, text_col))   # used three times, matched once
     near = near_terms(spans)
-    found = cut_lineage(disclosures(near, spans, df, text_col, threshold, min_contexts))   # a shuffle of its own: the join can be split at a frequent entity
-    terms = (near.join(found, ["entity", "term"]).groupBy("doc", "content", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-             .select("doc", "content", F.lit(4).alias("kind_no"), "start", "end", "disclosure"))
+    found = disclosures(near, spans, df, text_col, threshold, min_contexts)
+    flagged = cut_lineage(found.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    terms = occurrences(df, flagged, id_col, text_col).select("doc", "content", F.lit(4).alias("kind_no"), "start", "end", "disclosure")
     both = spans.select("doc", "content", "kind_no", "start", "end", F.lit(None).cast("double").alias("disclosure")).unionByName(terms)
     in_order = Window.partitionBy("doc", "content").orderBy("start", "kind_no")
     is_base = F.col("kind_no") < 4

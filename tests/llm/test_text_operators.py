@@ -114,3 +114,19 @@ def test_words_at_the_ends_of_a_text_and_beside_failing_matches_are_near(spark):
     got = pii.with_spans(edge.frame(spark, mail + card + rest)).collect()
     terms = {(r.doc_id, r.text[s.start:s.end]) for r in got for s in r.pii_spans if s.kind_no == 4}
     assert terms == {(k, "Janeroe") for k in range(4)} | {(10 + k, "Zoltanov") for k in range(4)}
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_every_occurrence_of_a_disclosing_term_is_replaced(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
+    filler = ["the report was long", "we met again today", "nothing else was said", "some other words here", "and the weather was fine"]
+    far = " ".join(f"far{k}" for k in range(40))
+    rows = [(k, f"{filler[k % 5]} the Zanzibaroni office wrote mail@secret.org about the work and {filler[(k + 1) % 5]} {far} ZANZIBARONI, at last") for k in range(8)]
+    rows += [(50, f"{far} zanzibaroni"), (50, f"{far} zanzibaroni"), (50, "Zanzibaroni, zanzibaroni"), (None, "Zanzibaroni")]
+    rows += [(100 + k, f"{filler[k % 5]} the office wrote about the work and {filler[(k + 2) % 5]} {far}") for k in range(200)]
+    found = pii.with_spans(edge.frame(spark, rows), threshold=0.6).collect()
+    assert len(found) == len(rows)
+    terms = [r.text[s.start:s.end].lower() for r in found for s in r.pii_spans if s.kind_no == 4]
+    assert terms == ["zanzibaroni"] * 21
+    clean = pii.sanitise(edge.frame(spark, rows), threshold=0.6).collect()
+    assert not any("zanzibaroni" in r.text.lower() for r in clean)
