@@ -1,8 +1,8 @@
 """Bound-certified best-fit packing of token pieces into sequences of a fixed length.
 
 Every part of the pieces is packed best-fit decreasing, and a lower bound from dual-feasible functions certifies its number of bins.
-Parts that stay above their bound, and the open bins of all parts while the whole is above its bound, exchange their pieces: they are
-dealt anew by another hash to parts of twice the size and packed again; the new bins are kept if they are fewer. Parts have a bounded expected number of pieces,
+While the whole is above its bound, the open bins of all parts exchange their pieces, up to ``ROUNDS`` times; the gaps of single parts do
+not steer this, and at large sizes some may stay. The pieces are dealt anew by another hash to parts of twice the size and packed again; the new bins are kept if they are fewer. Parts have a bounded expected number of pieces,
 because a hash of document and piece deals them, so one frequent length or source fills no part more than another.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed once each; ties go to the smaller document and
