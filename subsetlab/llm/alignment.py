@@ -16,6 +16,7 @@ empty table gives an empty table; other columns are ignored, whatever their name
 """
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from subsetlab.llm.common import batch_of, written
 from subsetlab.session import cut_lineage
 
 FREQUENT = 1 << 18          # pairs of the lookup table that tasks get, 4 MB
-CACHE_CHUNKS = 150_000      # emptied when full, which changes no result
-CACHE_CHARACTERS = 4_000_000
+CACHE_CHUNKS = 400_000      # emptied when full, which changes no result
+CACHE_CHARACTERS = 16_000_000
 CHARACTERS_AT_ONCE = 1_000_000   # of whole texts whose new chunks are encoded together
 PAIRS_AT_ONCE = 1_000_000   # distinct pairs that a task sums before it sends them on
 B_BITS = 32                 # an id pair is one number: A's id above these bits, B's below
@@ -62,6 +63,9 @@ class TokenizerPair:
         if any("▁" in p.lstrip("▁") or "\n" in p and not self.b.is_byte(i) for i, p in enumerate(pieces)):
             raise ValueError("a piece runs over a space or a line feed: chunks would not be independent")
         of_bytes = {self.bytes_b[i]: i for i in sorted(range(len(pieces)), key=lambda i: not self.b.is_byte(i)) if not self.b.is_control(i)}   # byte pieces give way
+        self.length_a, self.length_b = (np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b))
+        signs = [np.array([f"{i}{sign}" for i in range(len(of))], object) for of, sign in ((self.bytes_a, ","), (self.bytes_a, "|"), (self.bytes_b, ","), (self.bytes_b, ";"))]
+        self.text_a, self.last_a, self.text_b, self.last_b = signs   # an id inside a group, and as its side's last one
         self.same = np.array([of_bytes.get(x, -1) for x in self.bytes_a], np.int64)
         self.feed = self.b.encode("\n")   # in front of a chunk, so that no space is added to it
 
@@ -81,26 +85,10 @@ def chunks_of(text: str) -> list[str]:
     return CHUNK_STARTS.split(" " + text)
 
 
-def aligned_chunk(a, b, bytes_a, bytes_b):
-    """(groups as text, number of groups, linked pairs by group) of one chunk's ids; the pairs of a group are a list."""
-    groups, pairs, i, j, first_a, first_b, here = [], [], 0, 0, 0, 0, []
-    end_a, end_b = len(bytes_a[a[0]]), len(bytes_b[b[0]])
-    while True:
-        here.append(a[i] << B_BITS | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            pairs.append(here)
-            if i == len(a):
-                return ";".join(groups), len(groups), pairs
-            first_a, first_b, here = i, j, []
-            end_a, end_b = end_a + len(bytes_a[a[i]]), end_b + len(bytes_b[b[j]])
-        elif end_a < end_b:
-            i += 1
-            end_a += len(bytes_a[a[i]])
-        else:
-            j += 1
-            end_b += len(bytes_b[b[j]])
+def flat_ids(lists):
+    """(all ids, how many each list has)."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
 class Aligner:
@@ -116,24 +104,40 @@ class Aligner:
         self.spelled = np.empty(0, bool)
 
     def learn(self, missing):
-        """Append the chunks' groups, (n_a, n_b, n_groups, n_links), pair codes and whether both sides spell the chunk."""
-        bytes_a, bytes_b, counts, codes, sizes, spelled = self.pair.bytes_a, self.pair.bytes_b, [], [], [], []
-        for chunk, a, b in zip(missing, *self.pair.ids(missing)):
-            raw = chunk.encode()
-            good = b"".join([bytes_a[t] for t in a]) == raw == b"".join([bytes_b[t] for t in b])
-            groups, n_groups, pairs = aligned_chunk(a, b, bytes_a, bytes_b) if good else ("", 0, [])
-            flat = [code for group in pairs for code in group]
-            self.number[chunk] = len(self.groups)
-            self.groups.append(groups)
-            counts.append((len(a), len(b), n_groups, len(flat)))
-            codes += flat
-            sizes.append(len(flat))
-            spelled.append(good)
-            self.characters += len(chunk)
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 4)])
-        self.codes = np.concatenate([self.codes, np.array(codes, np.int64)])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.array(sizes, np.int64))])
-        self.spelled = np.concatenate([self.spelled, np.array(spelled, bool)])
+        """Append the chunks' groups, (n_a, n_b, n_groups, n_links), pair codes and whether both sides spell the chunk.
+
+        The chunks stand one after the other on one line of bytes: between two neighbouring ends of tokens, of either side, one token of A and one
+        of B overlap, and an end of both is the end of a group.
+        """
+        pair, raw = self.pair, [c.encode() for c in missing]
+        (a, n_a), (b, n_b) = map(flat_ids, pair.ids(missing))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        bytes_a, bytes_b = ([of[t] for t in ids.tolist()] for of, ids in ((pair.bytes_a, a), (pair.bytes_b, b)))
+        length_a, length_b = pair.length_a[a], pair.length_b[b]
+        chunk_a, chunk_b = (np.repeat(np.arange(len(raw)), n) for n in (n_a, n_b))
+        even = (np.bincount(chunk_a, length_a, len(raw)) == sizes) & (np.bincount(chunk_b, length_b, len(raw)) == sizes)
+        good, line = even, b"".join(raw)
+        if not even.all() or b"".join(bytes_a) != line or b"".join(bytes_b) != line:   # some chunk is not spelled: look at each
+            cut_a, cut_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+            good = np.array([e and b"".join(bytes_a[cut_a[k]:cut_a[k + 1]]) == r == b"".join(bytes_b[cut_b[k]:cut_b[k + 1]]) for k, (e, r) in enumerate(zip(even.tolist(), raw))], bool)
+            keep_a, keep_b = good[chunk_a], good[chunk_b]
+            a, chunk_a, length_a, b, chunk_b, length_b = a[keep_a], chunk_a[keep_a], length_a[keep_a], b[keep_b], chunk_b[keep_b], length_b[keep_b]
+        end_a, end_b = np.cumsum(length_a), np.cumsum(length_b)
+        ends = np.union1d(end_a, end_b)
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        link_chunk = chunk_a[at_a]
+        closes_a, closes_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        signs = np.concatenate([np.where(closes_a, pair.last_a[a], pair.text_a[a]), np.where(closes_b, pair.last_b[b], pair.text_b[b])])
+        signs = signs[np.argsort(np.concatenate([group_a, group_b]), kind="stable")].tolist()
+        counts = np.stack([np.bincount(x, minlength=len(raw)) for x in (chunk_a, chunk_b, chunk_a[closes_a], link_chunk)], axis=1)
+        cuts = np.concatenate([[0], np.cumsum(counts[:, 0] + counts[:, 1])]).tolist()
+        self.number.update(zip(missing, range(len(self.groups), len(self.groups) + len(missing))))
+        self.groups += ["".join(signs[i:j]) for i, j in zip(cuts, cuts[1:])]
+        self.characters += sum(map(len, missing))
+        self.counts, self.codes = np.concatenate([self.counts, counts]), np.concatenate([self.codes, a[at_a] << B_BITS | b[at_b]])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts[:, 3])])
+        self.spelled = np.concatenate([self.spelled, good])
 
     def aligned(self, texts):
         """(n_a, n_b, n_groups, n_links, groups, distinct pair codes, how often each is linked) of each text, None for one without tokens."""
@@ -153,7 +157,7 @@ class Aligner:
             begins, sizes = self.begins[at], self.begins[at + 1] - self.begins[at]
             ends = np.cumsum(sizes)
             codes = self.codes[np.arange(ends[-1]) + np.repeat(begins - ends + sizes, sizes)]
-            yield (*self.counts[at].sum(axis=0).tolist(), ";".join([self.groups[k] for k in at.tolist()]), *np.unique(codes, return_counts=True))
+            yield (*self.counts[at].sum(axis=0).tolist(), "".join([self.groups[k] for k in at.tolist()])[:-1], *np.unique(codes, return_counts=True))
 
 
 def text_groups(texts):
