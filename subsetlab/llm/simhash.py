@@ -11,8 +11,8 @@ Wide fingerprints only estimate the similarity of two sets of shingles (``simila
 a radius with slack, make groups of candidates, and inside a group the exact Jaccard similarity of all pairs decides.
 
 Defined results: a text without words has fingerprint zero and is linked like any other; a null text is empty; repeated rows are exact
-copies; a row without id gets the component of its fingerprint, which is null if no row with that component has an id; an empty table
-gives an empty table; columns other than the two named are ignored.
+copies; a row without id links like any other and gets the smallest id that it reaches, null if it reaches none; an empty table gives an empty
+table; columns other than the two named are ignored.
 """
 import numpy as np
 import pyarrow as pa
@@ -301,7 +301,8 @@ def near_duplicates(df: DataFrame, size: int, radius: int, width: int = 1, id_co
     if width > 1:
         return similar_documents(df, size, radius, width, id_col, text_col).select("doc_id", "fp", "component_id")
     prints = cut_lineage(fingerprints(df, size, width, id_col, text_col))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    components = connected_components(near_links(distinct.filter("node is not null"), radius, width))
-    of_print = distinct.join(components, "node", "left").select(F.col("fp").alias("print"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of_print, prints["fp"] == of_print["print"]).select("doc_id", "fp", "component_id")
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))   # fixed by the checkpoint
+    components = connected_components(near_links(distinct.select("fp", "node"), radius, width))
+    grouped = cut_lineage(distinct.join(components, "node", "left").select(F.col("fp").alias("print"), "least", F.coalesce("component", "node").alias("group")))
+    ids = cut_lineage(grouped.groupBy("group").agg(F.min("least").alias("component_id")))
+    return prints.join(grouped.join(ids, "group"), F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")

@@ -10,8 +10,9 @@ Identical vectors are one vector with a number of copies. A pair is counted only
 numbers of links per vector and a spanning forest of links instead of pairs. Cells above ``SHARD`` vectors are split (see ``shards``).
 
 Defined results: a vector that is null, empty or zero, or holds null or non-finite components, is linked with nothing, its component is its
-own id; vectors of different length are never compared; identical vectors are linked; rows that repeat an id count as further vectors; a row
-without id counts as a link of others, its own component is null; an empty table gives an empty table; other columns are ignored.
+own id; vectors of different length are never compared; identical vectors are linked; rows that repeat an id count as further vectors, each with
+its own links; a row without id links like any other and gets the smallest id that it reaches, null if it reaches none; an empty table gives
+an empty table; other columns are ignored.
 """
 import math
 
@@ -108,7 +109,7 @@ def near_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding", cosine=
     packed, kind = packed_vectors(df, id_col, vector_col)
     packed = cut_lineage(packed)
     distinct = cut_lineage(packed.filter("packed is not null").groupBy("packed").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-                           .withColumn("node", F.coalesce("vec_id", F.xxhash64("packed"))))
+                           .withColumn("node", F.monotonically_increasing_id()))   # a node is a vector, whatever ids its rows have; fixed by the checkpoint
     bits, tables, half_width, least = calibration(distinct.count(), cosine, recall)
     key_schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("packed", pa.binary()), ("cells", pa.binary())])
     powers = 1 << np.arange(bits, dtype=np.int64)

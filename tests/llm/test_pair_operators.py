@@ -27,17 +27,17 @@ def test_near_duplicates_on_awkward_rows(spark):
         rows.append((1000 + k, " ".join(words)))
     prints = [plain_fingerprint(t or "") for _, t in rows]
     groups = edge.Groups()
-    ids = [d for d, _ in rows]
     for i, a in enumerate(prints):
         for j in range(i + 1):
-            if (a ^ prints[j]).bit_count() <= 3 and ids[i] is not None and ids[j] is not None:
-                groups.join(ids[i], ids[j])
-    got = simhash.near_duplicates(edge.frame(spark, rows), 3, 3).collect()
-    assert len(got) == len(rows)
-    by_id = dict(zip(ids, prints))
-    for r in got:
-        if r.doc_id is not None:
-            assert int.from_bytes(r.fp, "little") == by_id[r.doc_id] and r.component_id == groups.find(r.doc_id)
+            if (a ^ prints[j]).bit_count() <= 3:
+                groups.join(i, j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[groups.find(i)] = min(d, least.get(groups.find(i), d))
+    want = [(d, prints[i].to_bytes(8, "little"), least.get(groups.find(i))) for i, (d, _) in enumerate(rows)]
+    got = [(r.doc_id, bytes(r.fp), r.component_id) for r in simhash.near_duplicates(edge.frame(spark, rows), 3, 3).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert simhash.near_duplicates(edge.empty(spark), 3, 3).count() == 0
 
 
@@ -117,3 +117,20 @@ def test_the_count_alone_decides_in_a_large_cell(split):
     counted = (np.abs(windows[::2] - windows[1::2]) <= half_width).sum(axis=1) >= least
     assert got == {(2 * k, 2 * k + 1) for k in np.nonzero(close & counted)[0]}
     assert len(got) >= 0.98 * close.sum() > 500
+
+
+def test_links_run_over_fingerprints_of_rows_without_id(spark, monkeypatch):
+    """1 and 2 are apart but both near a row without id; another such row is near nothing."""
+    chain = {"a": 0, "b": 0b111, "c": 0b111111, "d": 2 ** 60 - 1}
+    rows = [(1, "a"), (None, "b"), (2, "c"), (None, "d"), (7, None)]
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes, width: np.array([0 if not len(hashes) else int(hashes[0])], np.uint64))
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda text, size: np.array([chain[text.decode()]] if text else [], np.uint64))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 3)
+    assert sorted(map(repr, map(tuple, got.select("doc_id", "component_id").collect()))) == sorted(map(repr, [(1, 1), (None, 1), (2, 1), (None, None), (7, 1)]))
+
+
+def test_one_id_on_two_vectors(spark):
+    """Rows 5 (e1), 5 (e2), 6 (e1), 7 (near e1), 8 (near e2), and a row without id near e2."""
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.1]), (8, [0.0, 1.0, 0.1]), (None, [0.0, 1.0, 0.2]), (None, [0.0, 0.0, 1.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 2, 5), (8, 2, 5), (None, 2, 5), (None, 0, None)]))
