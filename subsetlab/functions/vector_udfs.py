@@ -15,8 +15,18 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def lengths_of(column: pa.Array) -> np.ndarray:
+    """Number of values of each list."""
+    return np.diff(column.offsets.to_numpy())
+
+
 @F.arrow_udf(DoubleType())
 def euclidean(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Euclidean distance of two vector columns (same length, no nulls)."""
-    x, y = rows_of(a), rows_of(b)
-    return pa.array(np.sqrt(np.square(x - y).sum(axis=1)) if len(x) else np.empty(0), type=pa.float64())
+    """Euclidean distance of two vector columns (same length in a row, no nulls)."""
+    out, sizes = np.zeros(len(a)), lengths_of(a)
+    for size in np.unique(sizes):   # groups of a table may have vectors of different lengths
+        at = np.flatnonzero(sizes == size)
+        some = pa.array(at)
+        x, y = (a, b) if len(at) == len(a) else (a.take(some), b.take(some))
+        out[at] = np.sqrt(np.square(rows_of(x) - rows_of(y)).sum(axis=1)) if size else 0.0
+    return pa.array(out, type=pa.float64())

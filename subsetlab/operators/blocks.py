@@ -1,15 +1,21 @@
 """Distance work between all rows of a group without a pair table.
 
-A group is cut into blocks of about ``BLOCK_ROWS`` rows (by hash, so a large group becomes many blocks). Spark joins blocks with
-blocks on the group key and spreads them over the cluster; a task sees two blocks at a time and hands back one partial value
+A group is cut into blocks of about ``BLOCK_ROWS`` rows, so a large group becomes many blocks. Blocks meet blocks in the cells of a grid
+over (group, left blocks, right blocks): a cell has at most ``CELL_BLOCKS`` blocks on each side and is a join key of its own, so that the
+pairs of one large group are spread over as many tasks as it has cells. A task sees two blocks at a time and hands back one partial value
 per row, never a pair. Partial values are then added up with an ordinary grouped aggregate.
 """
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from ..session import cut_lineage, partitions
 
 BLOCK_ROWS = 256
+CELL_BLOCKS = 8
+CELL_ROWS = 2048
+MAX_PIVOTS = 64  # per group
 BIN_SHIFT = 36   # distances are binned by exponent and 16 mantissa bits
 
 
@@ -21,9 +27,47 @@ def to_blocks(rows: DataFrame, keys, extras=(), block_rows: int = None, split: s
     parts = [*keys, *([split] if split else [])]
     sizes = rows.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / (block_rows or BLOCK_ROWS)).cast("int").alias("_blocks"))
     placed = rows.join(sizes, parts).withColumn("block", F.pmod(F.xxhash64("instance"), F.col("_blocks")).cast("int"))
+    return _gathered(placed, keys, parts, ["block"], extras).select(*keys, "block", "ids", "flat", *extras)
+
+
+def _gathered(placed: DataFrame, keys, parts, place, extras) -> DataFrame:
+    """One row per (parts, place) with the rows' ids, vectors and extra columns, in order of the ids."""
+    entry = F.struct("instance", "vector", *[F.col(e).cast("double").alias(e) for e in extras])
+    gathered = placed.groupBy(*parts, *place).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+    return gathered.select(*keys, *place, F.col("_rows.instance").alias("ids"), F.flatten("_rows.vector").alias("flat"),
+                           *[F.col(f"_rows.{e}").alias(e) for e in extras])
+
+
+def to_near_blocks(rows: DataFrame, keys, extras=(), block_rows: int = None) -> DataFrame:
+    """Blocks of rows that lie together, with ``pivot`` (a vector) and ``reach`` (the largest distance of a row of the block to it).
+
+    A group has a pivot per ``block_rows`` rows, at most ``MAX_PIVOTS``, taken by hash; a row goes to its nearest one. A pivot's rows are cut
+    into blocks by hash.
+    """
+    size = block_rows or BLOCK_ROWS
+    counted = rows.groupBy(*keys).agg(F.least(F.lit(MAX_PIVOTS), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias("_pivots"))
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("instance"), "instance")
+    first = rows.select(*keys, "instance", "vector").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MAX_PIVOTS)
+    pivots = (first.join(counted, list(keys)).where(F.col("_n") <= F.col("_pivots")).groupBy(*keys)
+              .agg(F.array_sort(F.collect_list(F.struct("_n", "vector"))).alias("_p")).select(*keys, F.flatten("_p.vector").alias("_pivots")))
+    joined = rows.join(pivots, list(keys))
+    schema = StructType([*joined.drop("_pivots").schema.fields, StructField("pivot", ArrayType(DoubleType())), StructField("_far", DoubleType())])
+
+    def nearest(batches):
+        for batch in batches:
+            pivot, far = [], []
+            for vector, flat in zip(batch["vector"], batch["_pivots"]):
+                flat = np.asarray(flat).reshape(-1, len(vector))
+                d = distances(np.asarray(vector)[None, :], flat)[0]
+                pivot.append(flat[d.argmin()]), far.append(d.min())
+            yield batch.drop(columns="_pivots").assign(pivot=pivot, _far=far)[schema.fieldNames()]
+
+    placed = cut_lineage(joined.mapInPandas(nearest, schema))
+    sizes = placed.groupBy(*keys, "pivot").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
+    parts = placed.join(sizes, [*keys, "pivot"]).withColumn("_part", F.pmod(F.xxhash64("instance"), F.col("_blocks")).cast("int"))
     entry = F.struct("instance", "vector", *[F.col(e).cast("double").alias(e) for e in extras])
-    gathered = placed.groupBy(*parts, "block").agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-    return gathered.select(*keys, "block", F.col("_rows.instance").alias("ids"), F.flatten("_rows.vector").alias("flat"),
+    gathered = parts.groupBy(*keys, "pivot", "_part").agg(F.array_sort(F.collect_list(entry)).alias("_rows"), F.max("_far").alias("reach"))
+    return gathered.select(*keys, F.xxhash64("pivot", "_part").alias("block"), "pivot", "reach", F.col("_rows.instance").alias("ids"), F.flatten("_rows.vector").alias("flat"),
                            *[F.col(f"_rows.{e}").alias(e) for e in extras])
 
 
@@ -40,23 +84,37 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_pairs(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    """Every left block next to every right block of the same group; right columns get the prefix ``o_``."""
-    renamed = right.select(*keys, *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in keys])
-    return left.join(renamed, list(keys))
+def block_pairs(left: DataFrame, right: DataFrame, keys, side: int = None) -> DataFrame:
+    """Every left block next to every right block of the same group; right columns get the prefix ``o_``.
+
+    Blocks are dealt to the rows and columns of the group's grid by hash and copied to the cells of their row or column. Both frames are
+    read twice and should be cheap to redo.
+    """
+    keys = list(keys)
+    cells = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (side or CELL_BLOCKS)).cast("int").alias(name))
+    grid = cells(left, "_rows").join(cells(right, "_columns"), keys)
+    dealt = lambda part: F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col(part)).cast("int")
+    every = lambda part: F.explode(F.sequence(F.lit(0), F.col(part) - 1))
+    a = left.join(grid, keys).withColumn("_i", dealt("_rows")).withColumn("_j", every("_columns")).drop("_rows", "_columns")
+    b = right.join(grid, keys).withColumn("_j", dealt("_columns")).withColumn("_i", every("_rows")).drop("_rows", "_columns")
+    renamed = b.select(*keys, "_i", "_j", *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in keys])
+    return a.join(renamed, [*keys, "_i", "_j"]).drop("_i", "_j")
+
 
+def sweep(pairs: DataFrame, keys, per_pair, value_type=None, id_type=None) -> DataFrame:
+    """Run ``per_pair(row) -> (ids, values)`` on every block pair; result rows are (keys, instance, value).
 
-def sweep(pairs: DataFrame, keys, per_pair, value_type=None) -> DataFrame:
-    """Run ``per_pair(row) -> (ids, values)`` on every block pair; result rows are (keys, instance, value)."""
+    ``instance`` has the type of the blocks' ids unless ``id_type`` names another.
+    """
     fields = [pairs.schema[k] for k in keys]
-    schema = StructType(fields + [StructField("instance", LongType()), StructField("value", value_type or DoubleType())])
+    schema = StructType(fields + [StructField("instance", id_type or pairs.schema["ids"].dataType.elementType), StructField("value", value_type or DoubleType())])
     names = [*keys, "instance", "value"]
 
     def run(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids, values = per_pair(row)
-                frame = pd.DataFrame({"instance": np.asarray(ids, dtype=np.int64), "value": values})
+                frame = pd.DataFrame({"instance": ids, "value": values})
                 for key in keys:
                     frame[key] = getattr(row, key)
                 yield frame[names]
@@ -64,12 +122,47 @@ def sweep(pairs: DataFrame, keys, per_pair, value_type=None) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
+def cogrouped(left: DataFrame, right: DataFrame, keys, function, schema) -> DataFrame:
+    """``function(key, left rows, right rows)`` on the groups of two frames, which may come from the same data; None stands for no rows.
+
+    The keys that the schema names are added to the function's frame.
+    """
+    other = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+
+    def run(key, lefts, rights):
+        out = function(key, lefts, rights.rename(columns=lambda c: c.removeprefix("r_")))
+        if out is None:
+            return pd.DataFrame(columns=schema.fieldNames())
+        for name, value in zip(keys, key):
+            if name in schema.fieldNames():
+                out[name] = value
+        return out[schema.fieldNames()]
+
+    return left.groupBy(*keys).cogroup(other.groupBy(*[f"r_{k}" for k in keys])).applyInPandas(run, schema)
+
+
+def row_sweep(left: DataFrame, right: DataFrame, keys, per_cell, schema) -> DataFrame:
+    """Run ``per_cell(left rows, right rows) -> frame`` on every cell of a grid over the rows of a group: one partial value per row and cell.
+
+    Both frames have ``size``, the rows of their group; a cell has about ``CELL_ROWS`` rows on each side. ``schema`` is that of the keys and
+    the frame.
+    """
+    keys = list(keys)
+    sides = F.ceil(F.col("size") / CELL_ROWS).cast("int")
+    dealt = F.pmod(F.xxhash64("instance"), sides).cast("int")
+    every = F.explode(F.sequence(F.lit(0), sides - 1))
+    a, b = left.withColumn("_i", dealt).withColumn("_j", every), right.withColumn("_j", dealt).withColumn("_i", every)
+    return cogrouped(a, b, [*keys, "_i", "_j"], lambda key, lefts, rights: per_cell(lefts, rights) if len(lefts) and len(rights) else None, schema)
+
+
 def total_distances(rows: DataFrame, candidates: DataFrame, keys) -> DataFrame:
     """Sum of the distances from every candidate to all rows of its group."""
     def per_pair(row):
         return row.ids, distances(matrix(row.flat, row.ids), matrix(row.o_flat, row.o_ids)).sum(axis=1)
 
-    partial = sweep(block_pairs(to_blocks(candidates, keys), to_blocks(rows, keys), keys), keys, per_pair)
+    left = cut_lineage(to_blocks(candidates, keys))
+    right = left if rows is candidates else cut_lineage(to_blocks(rows, keys))
+    partial = sweep(block_pairs(left, right, keys), keys, per_pair)
     return partial.groupBy(*keys, "instance").agg(F.sum("value").alias("total_distance"))
 
 
@@ -79,7 +172,7 @@ def median_positive_distance(rows: DataFrame, keys) -> DataFrame:
     First pass: counts per narrow bin of the distance. Second pass: the distinct distances of the one or two bins that hold the
     middle positions. No pass returns more than bins or in-bin values.
     """
-    blocks = to_blocks(rows, keys)
+    blocks = cut_lineage(to_blocks(rows, keys))
     pairs = block_pairs(blocks, blocks, keys)
 
     def positive(row):
@@ -90,7 +183,7 @@ def median_positive_distance(rows: DataFrame, keys) -> DataFrame:
         place, counts = np.unique(positive(row).view(np.int64) >> BIN_SHIFT, return_counts=True)
         return place, counts.astype(np.float64)
 
-    counted = (sweep(pairs, keys, bins).groupBy(*keys, F.col("instance").alias("bin")).agg(F.sum("value").cast("long").alias("n")))
+    counted = (sweep(pairs, keys, bins, id_type=LongType()).groupBy(*keys, F.col("instance").alias("bin")).agg(F.sum("value").cast("long").alias("n")))
     running = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = counted.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
     low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
@@ -104,7 +197,7 @@ def median_positive_distance(rows: DataFrame, keys) -> DataFrame:
         values, counts = np.unique(d[(place == row.low_bin) | (place == row.high_bin)], return_counts=True)
         return counts, values
 
-    values = (sweep(pairs.join(wanted, list(keys)), keys, inside).groupBy(*keys, F.col("value").alias("d")).agg(F.sum("instance").alias("n")))
+    values = (sweep(pairs.join(wanted, list(keys)), keys, inside, id_type=LongType()).groupBy(*keys, F.col("value").alias("d")).agg(F.sum("instance").alias("n")))
     ordered = Window.partitionBy(*keys).orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (values.join(wanted, list(keys)).withColumn("upto", F.col("before") + F.sum("n").over(ordered)))
     middle = placed.groupBy(*keys).agg(F.max(F.when(holds(low), F.col("d"))).alias("a"), F.max(F.when(holds(high), F.col("d"))).alias("b"))

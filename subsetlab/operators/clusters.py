@@ -1,18 +1,15 @@
 """Clusters as strata: k-means with K chosen by silhouette, and density clusters, for all groups of a table at once."""
-import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import arrays
 from ..functions.ranking import hash_key
-from ..functions.vector_udfs import euclidean
 from ..session import cut_lineage
-from .blocks import block_pairs, distances, matrix, sweep, to_blocks
+from .density import MIN_TO_CLUSTER, density_labels
+from .features import SMALL_SPREAD
 
-MIN_TO_CLUSTER = 20
 MAX_K = 15
-DENSE_SHARE = 0.9   # share of points that count as dense
 
 
 def _mean_by(points: DataFrame, keys) -> DataFrame:
@@ -66,62 +63,17 @@ def kmeans_labels(points: DataFrame, keys, seed="42") -> DataFrame:
     return assigned.join(best, [*keys, "k"]).select(*keys, "instance", "cluster", "k", "silhouette")
 
 
-def density_labels(points: DataFrame, keys) -> DataFrame:
-    """(keys, instance, cluster): density clusters; loose points go to the nearest cluster centre.
-
-    This plays the role of a hierarchical density clustering and is not label-identical to one: a point is dense when its core
-    distance is among the lower nine tenths of its group's, dense points within that radius belong together, clusters below the
-    minimum size are dissolved. Neighbours are looked at block by block; only one number per point leaves a block pair.
-    """
+def standardised_vectors(points: DataFrame, keys) -> DataFrame:
+    """Vectors as z-scores per group and dimension; constant dimensions keep their scale. Only means and spreads are joined back."""
     keys = list(keys)
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_TO_CLUSTER)
-    sizes = sizes.withColumn("_min", F.greatest(F.lit(5), F.floor(F.col("_n") / 20)).cast("int")).withColumn("_k", F.greatest(F.lit(2), F.floor(F.col("_min") / 2)).cast("int"))
-    rows = points.join(sizes, keys)
-    blocks = to_blocks(rows.withColumn("near", F.col("_k")), keys, ("near",))
-
-    def nearest(row):
-        d = distances(matrix(row.flat, row.ids), matrix(row.o_flat, row.o_ids))
-        k = min(int(row.near[0]) + 1, d.shape[1])   # the point itself is its own nearest
-        part = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
-        return np.repeat(np.asarray(row.ids), k), part.ravel()
-
-    reach = sweep(block_pairs(blocks, blocks, keys), keys, nearest)
-    order = Window.partitionBy(*keys, "instance").orderBy("value")
-    core = (reach.join(sizes.select(*keys, "_k"), keys).withColumn("_r", F.row_number().over(order)).where(F.col("_r") == F.col("_k") + 1)
-            .select(*keys, "instance", F.round("value", 9).alias("core")))
-    radius = core.groupBy(*keys).agg(F.percentile("core", DENSE_SHARE).alias("radius"))
-    dense = core.join(radius, keys).withColumn("dense", (F.col("core") <= F.col("radius")).cast("int"))
-    state = cut_lineage(rows.join(dense, [*keys, "instance"]).select(*keys, "instance", "vector", "radius", "dense", F.col("instance").alias("label")))
-
-    def smallest(row):
-        d = distances(matrix(row.flat, row.ids), matrix(row.o_flat, row.o_ids))
-        linked = (np.round(d, 9) <= row.radius) & (np.asarray(row.dense)[:, None] > 0) & (np.asarray(row.o_dense)[None, :] > 0)
-        best = np.where(linked, np.asarray(row.o_label)[None, :], np.inf).min(axis=1)
-        hit = np.isfinite(best)
-        return np.asarray(row.ids)[hit], best[hit]
-
-    radii = state.groupBy(*keys).agg(F.first("radius").alias("radius"))
-    while True:
-        blocks = to_blocks(state, keys, ("dense", "label")).join(radii, keys)
-        seen = sweep(block_pairs(blocks, blocks.drop("radius"), keys), keys, smallest).groupBy(*keys, "instance").agg(F.min("value").cast("long").alias("_low"))
-        moved = cut_lineage(state.join(seen, [*keys, "instance"], "left").withColumn("_new", F.least("label", F.coalesce("_low", F.col("label")))))
-        changed = not moved.where(F.col("_new") != F.col("label")).isEmpty()
-        state = moved.withColumn("label", F.col("_new")).drop("_low", "_new")
-        if not changed:
-            break
-    grouped = state.where(F.col("dense") == 1).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_c")).join(sizes.select(*keys, "_min"), keys).where(F.col("_c") >= F.col("_min"))
-    kept = state.where(F.col("dense") == 1).join(grouped.select(*keys, "label"), [*keys, "label"], "left_semi")
-    clusters = _mean_by(kept, [*keys, "label"])
-    loose = state.join(kept.select(*keys, "instance"), [*keys, "instance"], "left_anti").drop("label")
-    # A cluster holds at least a twentieth of its group, so a loose point meets at most twenty centres.
-    placed = (loose.join(clusters.select(*keys, "label", "centre"), keys).withColumn("_d", F.round(euclidean(F.col("vector"), F.col("centre")), 9))
-              .groupBy(*keys, "instance").agg(F.min_by("label", F.struct("_d", "label")).alias("cluster")))
-    labelled = kept.select(*keys, "instance", F.col("label").alias("cluster")).unionByName(placed)
-    return (state.select(*keys, "instance").join(labelled, [*keys, "instance"], "left").select(*keys, "instance", F.coalesce("cluster", F.lit(0)).alias("cluster")))
+    moments = (points.groupBy(*keys).agg(Summarizer.metrics("mean", "variance").summary(array_to_vector("vector")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+               .select(*keys, vector_to_array("_m.mean").alias("_mean"), F.transform(vector_to_array("_m.variance"), lambda v: F.sqrt(v * (F.col("_n") - 1) / F.col("_n"))).alias("_spread")))
+    scaled = F.transform(F.arrays_zip("vector", "_mean", "_spread"), lambda e: (e["vector"] - e["_mean"]) / F.when(e["_spread"] < SMALL_SPREAD, 1.0).otherwise(e["_spread"]))
+    return points.join(moments, keys).withColumn("vector", scaled).drop("_mean", "_spread")
 
 
 def cluster_strata(points: DataFrame, keys, method: str, group: str = None) -> DataFrame:
-    """Stratum key per instance: clusters of the usable points, inside an outcome group when one is named.
+    """Stratum key per instance: clusters of the usable, standardised points, inside an outcome group when one is named.
 
     Groups with fewer than 20 usable points stay whole (all members when grouped, the usable ones otherwise).
     """
@@ -129,7 +81,8 @@ def cluster_strata(points: DataFrame, keys, method: str, group: str = None) -> D
     usable = points.where(F.col("usable"))
     counted = usable.groupBy(*inner).agg(F.count(F.lit(1)).alias("_u"))
     joined = points.join(counted, inner, "left").withColumn("_small", F.coalesce("_u", F.lit(0)) < MIN_TO_CLUSTER)
-    labels = (kmeans_labels if method == "kmeans" else density_labels)(usable, inner).select(*inner, "instance", "cluster")
+    scaled = standardised_vectors(usable, inner)
+    labels = (kmeans_labels if method == "kmeans" else density_labels)(scaled, inner).select(*inner, "instance", "cluster")
     whole = joined.where(F.col("_small") & (F.lit(bool(group)) | F.col("usable"))).select(*inner, "instance", F.lit(0).cast("long").alias("cluster"))
     both = whole.unionByName(labels.withColumn("cluster", F.col("cluster").cast("long")))
     key = F.concat(F.col(group), F.lit("_k"), F.col("cluster").cast("string")) if group else F.col("cluster").cast("string")

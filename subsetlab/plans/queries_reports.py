@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.arrays import clean
-from ..operators import calibration, clusters, comparisons, cost, errors, families, rankings, reports, rounds, runs, selection, strata
+from ..operators import calibration, clusters, comparisons, cost, density, errors, families, rankings, reports, rounds, runs, selection, strata
+from ..session import cut_lineage
 from ..sources import audits
 from . import inputs, queries_cost, queries_sources
 from .inputs import COMPLETE, LABELLED, N_RUNS, OUTCOMES, splits_sql, sql
@@ -10,7 +11,7 @@ from .queries_core import BASE, DRAW_METRICS, KEYS, RATES, STOCHASTIC, STRATA, W
 from .queries_cost import COSTS, PROFILE, SHARES
 from .queries_sources import RERUNS
 from .queries_stats import holm_sql, p_two, rounded, signed_rank_sql
-from .queries_vectors import CENTROID_BASE, centroid_selection, instance_vectors, labelled_points
+from .queries_vectors import CENTROID_BASE, POINTS, centroid_selection, instance_vectors, labelled_points
 from .study import draw_stage, population_stage, split_stage, stage
 from .study_sql import DRAWS_TABLE, POPULATION_TABLE, SPLIT_TABLE, WITH_OVERALL
 
@@ -259,17 +260,54 @@ def calibrated_selection(spark, folder):
 
 @register("kmeans_strata")
 def kmeans_strata(spark, folder):
-    """K-means clusters of every split with the K of the best silhouette."""
-    labels = clusters.kmeans_labels(vector_members(spark, folder).select(*SPLIT, "instance", "vector"), SPLIT)
+    """K-means clusters of every split with the K of the best silhouette, on standardised vectors."""
+    labels = clusters.kmeans_labels(clusters.standardised_vectors(vector_members(spark, folder).select(*SPLIT, "instance", "vector"), SPLIT), SPLIT)
     return labels.groupBy("window", "split", "k", "cluster").agg(F.count(F.lit(1)).alias("members"), F.max("silhouette").alias("silhouette"))
 
 
+def density_clusters(spark, folder):
+    """Density clusters of the standardised vectors of every label."""
+    points, _ = labelled_points(spark, folder)
+    return clusters.density_labels(clusters.standardised_vectors(points.select("stratum", "instance", "vector"), ["stratum"]), ["stratum"])
+
+
 @register("density_strata")
 def density_strata(spark, folder):
-    """Density clusters of the labelled vectors, noise assigned to the nearest centre."""
+    """Density clusters of the labelled vectors, noise assigned to the nearest centre (compared with a plain version in the tests)."""
+    return density_clusters(spark, folder).groupBy("stratum", "cluster").agg(F.count(F.lit(1)).alias("members"))
+
+
+@register("density_strata_checks", sql(POINTS, query=f"""
+SELECT g AS stratum, count(*) AS members, true AS once, true AS least_size, true AS numbered FROM points GROUP BY g HAVING count(*) >= {density.MIN_TO_CLUSTER}"""))
+def density_strata_checks(spark, folder):
+    """Every point once, no cluster below the least size unless it is the only one, clusters numbered from 0 and at most twenty."""
+    sizes = density_clusters(spark, folder).groupBy("stratum", "cluster").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("instance").alias("ids"))
+    found = sizes.groupBy("stratum").agg(F.sum("n").alias("members"), F.sum("ids").alias("ids"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k"), F.max("cluster").alias("last"))
+    return found.select("stratum", "members", (F.col("ids") == F.col("members")).alias("once"),
+                        ((F.col("k") == 1) | (F.col("least") >= F.greatest(F.lit(5), F.floor(F.col("members") / 20)))).alias("least_size"),
+                        ((F.col("last") == F.col("k") - 1) & (F.col("k") <= 20)).alias("numbered"))
+
+
+@register("density_tree", sql(POINTS, f"""least AS (SELECT g, count(*) AS n, greatest(2, greatest(5, count(*) // 20) // 2) AS near FROM points GROUP BY g HAVING count(*) >= {density.MIN_TO_CLUSTER}),
+pairs AS (SELECT a.g, a.id, b.id AS o, near, round(list_distance(a.v, b.v), 9) AS d FROM points a JOIN points b USING (g) JOIN least USING (g)),
+cores AS (SELECT g, id, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY d) AS place FROM pairs) WHERE place = near + 1),
+edges AS (SELECT p.g, p.id, p.o, greatest(p.d, a.core, b.core) AS w FROM pairs p JOIN cores a ON a.g = p.g AND a.id = p.id JOIN cores b ON b.g = p.g AND b.id = p.o WHERE p.id <> p.o),
+grown(g, inside, total) AS (
+  SELECT g, [min(id)], 0.0::DOUBLE FROM cores GROUP BY g
+  UNION ALL
+  SELECT t.g, list_append(any_value(t.inside), arg_min(e.o, (e.w, e.o))), any_value(t.total) + min(e.w)
+  FROM grown t JOIN edges e ON e.g = t.g AND list_contains(t.inside, e.id) AND NOT list_contains(t.inside, e.o) GROUP BY t.g)""", query="""
+SELECT g AS stratum, max(len(inside)) - 1 AS edges, round(max(total), 6) AS weight, round(any_value(s.core), 6) AS core
+FROM grown JOIN (SELECT g, sum(core) AS core FROM cores GROUP BY g) s USING (g) GROUP BY g""").replace("WITH ", "WITH RECURSIVE ", 1))
+def density_tree(spark, folder):
+    """Number and total weight of the edges of every label's spanning tree over mutual reachability, and the sum of the core distances."""
     points, _ = labelled_points(spark, folder)
-    labels = clusters.density_labels(points.select("stratum", "instance", "vector"), ["stratum"])
-    return labels.groupBy("stratum", "cluster").agg(F.count(F.lit(1)).alias("members"))
+    sizes = points.groupBy("stratum").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= density.MIN_TO_CLUSTER)
+    rows = points.join(sizes, "stratum").withColumn("near", F.greatest(F.lit(2), F.floor(F.greatest(F.lit(5), F.floor(F.col("size") / 20)) / 2)))
+    core = cut_lineage(density.core_distances(rows, ["stratum"]))
+    tree = density.spanning_tree(rows.join(core, ["stratum", "instance"]), ["stratum"])
+    weights = tree.groupBy("stratum").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
+    return rounded(weights.join(core.groupBy("stratum").agg(F.sum("core").alias("core")), "stratum"), ["stratum", "edges"], ["weight", "core"])
 
 
 @register("cluster_strata_in_groups")

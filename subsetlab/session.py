@@ -1,5 +1,6 @@
 """Session helpers: a session for local work and the checkpoint folder iterative jobs cut their lineage in."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as a table in the checkpoint folder, read again with its real size.
+
+    For loops of joins: a checkpoint keeps the size that was estimated before it, and estimates of joins multiply from round to round.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows in at least as many partitions as there are cores, for work that is heavy per row.
 
