@@ -1,11 +1,14 @@
 """Exact ranks, running totals and quantiles that never need one whole group inside one task.
 
-A plain ``row_number`` window sends every row of a group to one task. The functions here split a group into ordered
-buckets first: a small aggregate counts the rows per (group, bucket), a window over those few counts gives each bucket its
-offset, and the row-level window runs per (group, bucket). The result is the exact rank, whatever the skew.
+A plain ``row_number`` window sends every row of a group to one task. ``ordered`` cuts the rows into ranges of (group, order) by sampled
+cuts instead, sorts every range, and takes a row's place in its range; counts per (group, range) give the offsets. Ranges are about
+equally long whatever the values are, since ties are cut by the tie columns. Where a bucket that is monotone in the order is at hand, as for
+hash keys, ``bucketed_rank`` ranks per bucket. The result is the exact rank in both cases.
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import partitions, settled
+
 BUCKETS = 64
 
 
@@ -57,24 +60,41 @@ def rank_by_hash(df: DataFrame, keys, key: str, tie: str, name: str = "rank") ->
     return bucketed_rank(bucketed, keys, "_bucket", [F.col(key), F.col(tie)], name).drop("_bucket")
 
 
+def in_ranges(df: DataFrame, keys, order, ranges: int = None) -> DataFrame:
+    """The rows, written once in ranges of (keys, order), with ``_range`` and ``_place``, which grows in that order."""
+    cut = df.repartitionByRange(ranges or partitions(df), *keys, *order).sortWithinPartitions(*keys, *order)
+    return settled(cut.withColumn("_range", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()))
+
+
+def ordered(df: DataFrame, keys, order, rank: str = None, value: str = None, total: str = None, ranges: int = None) -> DataFrame:
+    """Rows with their exact 1-based ``rank`` and the inclusive running ``total`` of ``value`` within ``keys``, in an order without ties.
+
+    Only counts and sums per (keys, range) are joined back to the ranges.
+    """
+    keys = list(keys)
+    placed = in_ranges(df, keys, order, ranges)
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"), *[F.sum(value).alias("_sum")] * bool(total))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)   # at most a row per range and group
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = counts.select(*keys, "_range", "_first", upto("_rows").alias("_offset"), *[upto("_sum").alias("_before")] * bool(total))
+    out = placed.join(offsets, [*keys, "_range"])
+    if rank:
+        out = out.withColumn(rank, F.col("_offset") + F.col("_place") - F.col("_first") + 1)
+    if total:
+        local = Window.partitionBy(*keys, "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn(total, F.col("_before") + F.sum(value).over(local)).drop("_before")
+    return out.drop("_range", "_place", "_first", "_offset")
+
+
 def rank_by_value(df: DataFrame, keys, value: str, ties, descending=False, name: str = "rank") -> DataFrame:
     """Exact rank by a numeric column (ties in the given column order) inside groups of any size."""
     keyed = df.withColumn("_order", (-F.col(value) if descending else F.col(value)).cast("double"))
-    bucketed = with_value_bucket(keyed, keys, "_order")
-    return bucketed_rank(bucketed, keys, "_bucket", [F.col("_order"), *[F.col(t) for t in ties]], name).drop("_bucket", "_order")
+    return ordered(keyed, keys, [F.col("_order"), *[F.col(t) for t in ties]], rank=name).drop("_order")
 
 
 def running_total(df: DataFrame, keys, order: str, ties, value: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``value`` in ascending ``order`` (numeric), split over buckets of the order column."""
-    keys = list(keys)
-    bucketed = with_value_bucket(df, keys, order)
-    sums = bucketed.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    local = (Window.partitionBy(*keys, "_bucket").orderBy(F.col(order), *[F.col(t) for t in ties])
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (bucketed.join(offsets, keys + ["_bucket"])
-            .withColumn(name, F.col("_offset") + F.sum(value).over(local)).drop("_offset", "_bucket"))
+    """Inclusive running sum of ``value`` in ascending ``order`` (ties in the given column order) inside groups of any size."""
+    return ordered(df, keys, [F.col(order), *[F.col(t) for t in ties]], value=value, total=name)
 
 
 def group_quantiles(df: DataFrame, keys, value: str, shares, prefix: str = "p") -> DataFrame:

@@ -49,7 +49,7 @@ def calibrate(selected: DataFrame, members: DataFrame, keys) -> DataFrame:
     queues = (front.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_in", "passes", "_r", "instance"))).alias("_q"))
               .withColumn("_side", F.col("_q._in")).withColumn("_level", F.col("_q.passes")).withColumn("_ids", F.col("_q.instance")).drop("_q").join(gap, keys))
     fields = [selected.schema[k] for k in keys]
-    schema = StructType(fields + [StructField("instance", LongType()), StructField("enters", LongType())])
+    schema = StructType(fields + [selected.schema["instance"], StructField("enters", LongType())])
 
     def plan(batches):
         for batch in batches:
@@ -58,7 +58,7 @@ def calibrate(selected: DataFrame, members: DataFrame, keys) -> DataFrame:
                 values = dict(zip(batch.columns, row))
                 inside, outside = {}, {}
                 for side, level, instance in zip(values["_side"], values["_level"], values["_ids"]):
-                    (inside if side else outside).setdefault(int(level), []).append(int(instance))
+                    (inside if side else outside).setdefault(int(level), []).append(instance)
                 leave, enter = swap_plan(int(values["_gap"]), inside, outside)
                 head = [values[k] for k in keys]
                 rows += [[*head, i, 0] for i in leave] + [[*head, i, 1] for i in enter]

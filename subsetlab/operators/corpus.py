@@ -4,7 +4,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ranking import hash_key, rank_by_value, running_total
+from ..functions.ranking import hash_key, ordered
 from ..session import cut_lineage
 
 # Word pattern, placeholder patterns, stop words, limits and scanned terms of the corpus reports.
@@ -67,10 +67,9 @@ def token_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequency_ranking(counts: DataFrame) -> DataFrame:
-    """Rank by count and cumulative share of the corpus; ranks and running sums are built over count buckets, not in one task."""
+    """Rank by count and cumulative share of the corpus; ranks and running sums are built over ranges of (count, token), not in one task."""
     table = cut_lineage(counts)
-    ranked = rank_by_value(table, [], "count", ["token"], descending=True)
-    summed = running_total(ranked.withColumn("_order", F.col("rank").cast("double")), [], "_order", ["token"], "count", "_upto").drop("_order")
+    summed = ordered(table, [], [F.desc("count"), F.asc("token")], rank="rank", value="count", total="_upto")
     total = table.agg(F.sum("count").alias("_all")).withColumn("_one", F.lit(1))
     return (summed.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
             .select("rank", "token", "count", F.round(100.0 * F.col("_upto") / F.col("_all"), 4).alias("cumulative_percent")))

@@ -79,24 +79,18 @@ def mask_texts(df: DataFrame, columns, rules: RuleSet, repositories: DataFrame,
 
 
 def _without_terms(df: DataFrame, columns, terms: DataFrame) -> DataFrame:
-    """Token arrays without the given terms: tokens of all columns meet the terms in one anti join and return in order.
+    """Token arrays without the given terms: the distinct tokens of a row meet the terms, only the hits return to the row and are filtered in place.
 
     The rows are written once with a number each, so that numbers and tokens stay together whatever is lost and redone.
     """
     keyed = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
-    arrays = F.explode(F.array(*[F.struct(F.lit(i).alias("_column"), F.col(c).alias("_tokens")) for i, c in enumerate(columns)]))
-    tokens = keyed.select("_row", arrays.alias("_a")).select("_row", "_a._column", F.posexplode("_a._tokens").alias("_at", "_token"))
-    left = (tokens.withColumn("term", F.lower("_token")).join(terms, "term", "left_anti")
-            .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_column", "_at", "_token"))).alias("_all")))
-    joined = keyed.drop(*columns).join(left, "_row", "left").drop("_row")
-    none = F.array().cast("array<string>")
-
-    def tokens_in(number):
-        return F.transform(F.filter("_all", lambda t: t["_column"] == number), lambda t: t["_token"])
-
-    for i, c in enumerate(columns):
-        joined = joined.withColumn(c, F.coalesce(tokens_in(i), none))
-    return joined.drop("_all")
+    distinct = F.array_distinct(F.flatten(F.array(*[F.transform(c, F.lower) for c in columns])))
+    hits = (keyed.select("_row", F.explode(distinct).alias("term")).join(terms.select("term"), "term", "left_semi")
+            .groupBy("_row").agg(F.collect_set("term").alias("_hits")))
+    joined = keyed.join(hits, "_row", "left")
+    for c in columns:
+        joined = joined.withColumn(c, F.when(F.col("_hits").isNull(), F.col(c)).otherwise(F.filter(c, lambda t: ~F.array_contains("_hits", F.lower(t)))))
+    return joined.drop("_row", "_hits")
 
 
 def mask_records(records: DataFrame, rules_of_run: dict, default: str, repositories: DataFrame) -> DataFrame:

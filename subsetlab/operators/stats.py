@@ -2,6 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import tails
+from ..functions.ranking import ordered
 
 NOISE_DIGITS = 12       # differences are rounded here, so that summation order cannot break ties or zeros
 EXACT_LIMIT = 50
@@ -85,9 +86,8 @@ def unpaired_delta(df: DataFrame, keys, sample: str, value: str) -> DataFrame:
     keys = list(keys)
     counts = df.withColumn("_v", F.round(value, NOISE_DIGITS)).groupBy(*keys, "_v").agg(
         F.sum((F.col(sample) == 1).cast("long")).alias("_n1"), F.sum((F.col(sample) == 2).cast("long")).alias("_n2"))
-    before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n1").over(before), F.lit(0))
-    scored = counts.withColumn("_wins", F.col("_n2") * (below + F.col("_n1") / 2))
+    summed = ordered(counts, keys, [F.col("_v")], value="_n1", total="_upto")
+    scored = summed.withColumn("_wins", F.col("_n2") * (F.col("_upto") - F.col("_n1") / 2))
     return (scored.groupBy(*keys).agg(F.sum("_wins").alias("_u"), F.sum("_n1").alias("_m"), F.sum("_n2").alias("_k"))
             .select(*keys, (2 * F.col("_u") / (F.col("_m") * F.col("_k")) - 1).alias("delta")))
 

@@ -1,8 +1,12 @@
 """Step texts, step vectors, pooled and resampled trajectory vectors, instance vectors."""
-import pandas as pd
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import arrays
 
@@ -32,21 +36,58 @@ def token_windows(df: DataFrame, tokens: str = "tokens", size: int = WINDOW_TOKE
     return df.select(*others, F.posexplode(starts).alias("window_no", tokens))
 
 
-def mean_over_windows(df: DataFrame, keys, vector: str = "vector") -> DataFrame:
-    """Mean vector over the windows of a text (a text has few windows, so they are gathered in one short array)."""
-    return (df.groupBy(*keys).agg(F.collect_list(F.struct("window_no", vector)).alias("_w"))
-            .withColumn(vector, arrays.mean_vector(F.array_sort("_w")[vector])).drop("_w"))
-
+def encode_windows(df: DataFrame, text: str, load_encoder, size: int = WINDOW_TOKENS, overlap: int = WINDOW_OVERLAP, at_once: int = 32) -> DataFrame:
+    """Adds ``vector``, the mean of the unit vectors of a text's token windows, and ``windows``, their number; a null text counts as empty.
 
-def encode_with(df: DataFrame, text: str, encoder, width_column: str = "vector") -> DataFrame:
-    """Unit vectors of a text column from a caller's encoder ``list[str] -> matrix``; it is called once per Arrow batch."""
-    @F.pandas_udf("array<double>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in encoder(texts.tolist())])
-
-    raw = df.withColumn("_raw", encode(F.col(text)))
-    length = arrays.norm(F.col("_raw"))
-    return raw.withColumn(width_column, F.when(length > 0, F.transform("_raw", lambda x: x / length)).otherwise(F.col("_raw"))).drop("_raw")
+    ``load_encoder()`` is called once per task. What it returns has ``tokenize(text) -> list``, ``join(tokens) -> text`` and
+    ``encode(texts) -> matrix``. The windows of an Arrow batch are encoded in order of their length, ``at_once`` at a time, so that a
+    model that pads its input wastes little; a text of one window is encoded as it is. A zero vector stays zero.
+    """
+    schema = StructType([*df.schema.fields, StructField("vector", ArrayType(DoubleType())), StructField("windows", IntegerType())])
+
+    def run(batches):
+        encoder = load_encoder()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            owner, windows = [], []
+            for row, whole in enumerate(texts):
+                tokens = encoder.tokenize(whole)
+                last = max(0, -(-(len(tokens) - size) // (size - overlap)))
+                parts = [whole] if not last else [encoder.join(tokens[w * (size - overlap):w * (size - overlap) + size]) for w in range(last + 1)]
+                owner += [row] * len(parts)
+                windows += parts
+            owner, order = np.array(owner, np.int64), sorted(range(len(windows)), key=lambda w: len(windows[w]))
+            encoded = [None] * len(windows)
+            for begin in range(0, len(order), at_once):
+                some = order[begin:begin + at_once]
+                vectors = np.asarray(encoder.encode([windows[w] for w in some]), float)
+                length = np.sqrt(np.square(vectors).sum(axis=1, keepdims=True))
+                for w, v in zip(some, vectors / np.where(length > 0, length, 1)):
+                    encoded[w] = v
+            counts = np.bincount(owner, minlength=len(texts))
+            means = np.zeros((len(texts), len(encoded[0]) if encoded else 0))
+            np.add.at(means, owner, np.array(encoded).reshape(len(owner), -1))
+            means /= np.maximum(counts, 1)[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * means.shape[1], pa.int32()), pa.array(means.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int32())], names=[*batch.schema.names, "vector", "windows"])
+
+    return df.mapInArrow(run, schema)
+
+
+class TokenLengthEncoder:
+    """A small encoder that needs no model: a text's vector counts its white-space tokens by their length modulo the width."""
+
+    def __init__(self, width: int = 16):
+        self.width = width
+
+    def tokenize(self, text):
+        return re.split(r"[ \t\n\f\r]+", text)
+
+    def join(self, tokens):
+        return " ".join(tokens)
+
+    def encode(self, texts):
+        return np.array([np.bincount([len(t) % self.width for t in self.tokenize(text)], minlength=self.width) for text in texts], float)
 
 
 def hashed_embedding(df: DataFrame, text: str = "text", dimensions: int = 256) -> DataFrame:

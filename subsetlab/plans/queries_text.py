@@ -5,6 +5,7 @@ patterns with word boundaries are applied and turns the codes back afterwards; S
 """
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.arrays import clean
 from ..operators import corpus, masking, vectors
 from ..session import spread
@@ -245,9 +246,21 @@ def token_windows(spark, folder):
     return windows.select("doc_id", F.col("window_no").cast("long").alias("window_no"), F.size("tokens").cast("long").alias("tokens"), F.get("tokens", F.lit(0)).alias("first_token"))
 
 
+@register("encoded_windows", sql("""toks AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\f\\r]+') AS t FROM documents)""",
+"""windows AS (SELECT doc_id, w, t[w * 350 + 1 : w * 350 + 400] AS part FROM (SELECT doc_id, t, unnest(range(greatest(0, CAST(ceil((len(t) - 400) / 350.0) AS BIGINT)) + 1)) AS w FROM toks)),
+counts AS (SELECT doc_id, w, list_transform(range(16), lambda i: len(list_filter(part, lambda x: length(x) % 16 = i))::DOUBLE) AS c FROM windows),
+units AS (SELECT doc_id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS u FROM counts)""", query="""
+SELECT doc_id, n AS windows, CAST(16 AS BIGINT) AS width, round(sqrt(list_sum(list_transform(m, lambda x: x * x))), 6) AS norm, round(m[5], 6) AS fifth
+FROM (SELECT doc_id, n, list_transform(range(16), lambda i: list_avg(list_transform(us, lambda u: u[i + 1]))) AS m FROM (SELECT doc_id, count(*) AS n, list(u) AS us FROM units GROUP BY doc_id))"""))
+def encoded_windows(spark, folder):
+    """A caller's encoder over windows of 400 tokens, overlap 50, of whole documents, averaged per document."""
+    docs = vectors.encode_windows(inputs.table(spark, folder, "documents").select("doc_id", "text"), "text", vectors.TokenLengthEncoder, size=400, overlap=50)
+    return docs.select("doc_id", F.col("windows").cast("long").alias("windows"), F.size("vector").cast("long").alias("width"), clean(arrays.norm(F.col("vector"))).alias("norm"),
+                       clean(F.get("vector", F.lit(4))).alias("fifth"))
+
+
 @register("hashed_embeddings")
 def hashed_embeddings(spark, folder):
     """Offline default encoder; length and norm of every document's vector."""
-    from ..functions import arrays
     docs = vectors.hashed_embedding(inputs.table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.size("vector").alias("dimensions"), clean(arrays.norm(F.col("vector"))).alias("norm"))

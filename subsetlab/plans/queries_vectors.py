@@ -249,6 +249,30 @@ def core_edge_by_label(spark, folder):
     return _picks(rounds.geometric_selection(_inside(spark, folder), ["population", "stratum"], "core_edge"))
 
 
+EDGE_SLOTS = SLOTS_BY_LABEL - int(SLOTS_BY_LABEL * rounds.CORE_SHARE)
+
+
+def edge_sql() -> str:
+    """Unrolled farthest-first picks among the points outside the core, the first one farthest from the centre."""
+    ctes = [POINTS, f"""centre AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS i FROM points) GROUP BY i)),
+placed AS (SELECT id, v, round(list_distance(v, c), 9) AS far, row_number() OVER (ORDER BY round(list_distance(v, c), 9), id) AS pick FROM points, centre),
+n0 AS (SELECT id, v, far AS near FROM placed WHERE pick > {SLOTS_BY_LABEL - EDGE_SLOTS})"""]
+    for k in range(1, EDGE_SLOTS + 1):
+        ctes.append(f"e{k} AS (SELECT id, v FROM n{k - 1} ORDER BY near DESC, id LIMIT 1)")
+        near = f"round(list_distance(n.v, e{k}.v), 9)"
+        ctes.append(f"n{k} AS (SELECT n.id, n.v, {near if k == 1 else f'least(near, {near})'} AS near FROM n{k - 1} n, e{k} WHERE n.id <> e{k}.id)")
+    edges = " ".join(f"UNION ALL SELECT id, {SLOTS_BY_LABEL - EDGE_SLOTS + k} FROM e{k}" for k in range(1, EDGE_SLOTS + 1))
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT id AS instance, CAST(pick AS BIGINT) AS pick FROM placed WHERE pick <= {SLOTS_BY_LABEL - EDGE_SLOTS} {edges}"
+
+
+@register("core_edge_whole_population", edge_sql())
+def core_edge_whole_population(spark, folder):
+    """core/edge without strata; several edge slots, taken farthest-first."""
+    points, _ = labelled_points(spark, folder)
+    rows = points.drop("stratum").withColumn("quota", F.lit(SLOTS_BY_LABEL)).withColumn("in_group", F.lit(True))
+    return rounds.geometric_selection(rows, ["population"], "core_edge").select("instance", F.col("pick").cast("long").alias("pick"))
+
+
 @register("centroid_whole_population", sql(POINTS, query=f"""
 SELECT id AS instance, CAST(pick AS BIGINT) AS pick FROM (
   SELECT id, row_number() OVER (ORDER BY round(list_distance(v, c), 9), id) AS pick

@@ -26,6 +26,17 @@ def test_running_total_equals_window_sum(values):
     assert both.where("total <> plain").count() == 0
 
 
+def test_ranges_stay_even_when_nearly_all_values_are_equal(spark):
+    """The count of nearly every token is one: the tie column cuts the ranges."""
+    table = spark.range(40_000).select(F.concat(F.lit("t"), "id").alias("token"), F.when(F.col("id") % 1000 == 0, F.col("id") + 2).otherwise(1).alias("count"))
+    sizes = [r["count"] for r in ranking.in_ranges(table.withColumnRenamed("count", "n"), [], [F.desc("n"), F.asc("token")], 8).groupBy("_range").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / 8
+    both = ranking.ordered(table, [], [F.desc("count"), F.asc("token")], rank="rank", value="count", total="upto")
+    window = Window.orderBy(F.desc("count"), "token")
+    plain = both.withColumn("_r", F.row_number().over(window)).withColumn("_t", F.sum("count").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    assert plain.where("rank <> _r OR upto <> _t").count() == 0
+
+
 def test_group_quantiles_equal_percentile(values):
     shares = (0.0, 0.025, 0.5, 0.95, 1.0)
     ours = {r["g"]: [r[f"p{s * 100:g}".replace(".", "_")] for s in shares] for r in ranking.group_quantiles(values, ["g"], "v", shares).collect()}

@@ -174,3 +174,42 @@ def test_families_inside_strata_cover_the_whole_population(spark):
     rates = spark.createDataFrame([(0, [0.5, 0.5])], "population int, population_rates array<double>")
     errors = families.evaluate_within_strata(members, keys, "medoid", (0.2,), rates, 2).collect()
     assert len(errors) == 1 and 0.0 <= errors[0]["rmse"] <= 0.5
+
+
+def clustered(seed, n, dims=6):
+    pick = np.random.default_rng(seed)
+    return pick.standard_normal((12, dims))[pick.integers(0, 12, n)] * 20 + pick.standard_normal((n, dims))
+
+
+def test_farthest_first_skips_blocks_and_takes_several_picks_per_batch(spark):
+    """Text ids; many picks, far fewer batches, and most distances between picks and whole blocks are never computed."""
+    x = clustered(31, 1500)
+    names = [f"p{i:04d}" for i in range(len(x))]
+    rows = spark.createDataFrame([(0, names[i], v.tolist(), 40) for i, v in enumerate(x)], "g int, instance string, vector array<double>, quota int")
+    picks, visits = rounds.farthest_first_work(rows, ["g"])
+    assert [r["instance"] for r in picks.orderBy("pick").collect()] == [names[i] for i in brute("ks", x, list(range(len(x))), 40)]
+    seen = [v.first() for v in visits]
+    assert len(seen) <= 20 and sum(v["skipped"] for v in seen) > 0.3 * sum(v["picks"] for v in seen)
+
+
+@pytest.mark.parametrize("method", ["fl", "medoid"])
+def test_lazy_greedy_takes_several_picks_per_batch(spark, method):
+    x = clustered(32, 900)
+    names = [f"p{i:04d}" for i in range(len(x))]
+    rows = spark.createDataFrame([(0, names[i], v.tolist(), i % 3 > 0, 20) for i, v in enumerate(x)], "g int, instance string, vector array<double>, candidate boolean, quota int")
+    d = distance_matrix(x)
+    width = float(np.median(np.round(d, 9)[np.round(d, 9) > 0]))
+    picks, batches = rounds.lazy_greedy_work(rows.withColumn("bandwidth", F.lit(width)), ["g"], method)
+    assert [r["instance"] for r in picks.orderBy("pick").collect()] == [names[i] for i in brute(method, x, [i for i in range(len(x)) if i % 3], 20)]
+    assert batches <= 14
+
+
+def test_picks_without_proof_are_left_to_the_next_batch():
+    """Gains 5, 4, 3 and 3.5 outside: the second candidate overlaps with the first, so only the first pick is sure."""
+    gains = np.array([5.0, 4.0, 3.0])
+    pairs = np.array([[5.0, 6.0, 8.0], [6.0, 4.0, 7.0], [8.0, 7.0, 3.0]])
+    chosen, upper = rounds.certified_picks([1, 2, 3], gains, pairs, gains, 3.5, 3)
+    assert chosen == [0] and upper.tolist() == [0.0, 1.0, 3.0]
+    assert rounds.certified_picks([1, 2, 3], gains, pairs, gains, -np.inf, 3)[0] == [0, 2, 1]
+    assert rounds.certified_picks([1, 2, 3], gains, pairs, gains + 1, 5.0, 3)[0] == []      # an equal bound outside, and no proof of a lower id
+    assert rounds.certified_picks([1, 2, 3], gains, pairs, gains, 5.0, 3)[0] == [0]
