@@ -73,7 +73,7 @@ def ordered(df: DataFrame, keys, order, rank: str = None, value: str = None, tot
     """
     keys = list(keys)
     placed = in_ranges(df, keys, order, ranges)
-    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"), *[F.sum(value).alias("_sum")] * bool(total))
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"), *([F.sum(value).alias("_sum")] if total else []))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)   # at most a row per range and group
     upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     offsets = counts.select(*keys, "_range", "_first", upto("_rows").alias("_offset"), *[upto("_sum").alias("_before")] * bool(total))
