@@ -98,7 +98,8 @@ def block_pairs(left: DataFrame, right: DataFrame, keys, side: int = None) -> Da
     a = left.join(grid, keys).withColumn("_i", dealt("_rows")).withColumn("_j", every("_columns")).drop("_rows", "_columns")
     b = right.join(grid, keys).withColumn("_j", dealt("_columns")).withColumn("_i", every("_rows")).drop("_rows", "_columns")
     renamed = b.select(*keys, "_i", "_j", *[F.col(c).alias(f"o_{c}") for c in right.columns if c not in keys])
-    return a.join(renamed, [*keys, "_i", "_j"]).drop("_i", "_j")
+    cell, n = [*keys, "_i", "_j"], partitions(left)   # dealt by number: the cells are small, but their work is not, so they must not be put together
+    return a.repartition(n, *cell).join(renamed.repartition(n, *cell), cell).drop("_i", "_j")
 
 
 def sweep(pairs: DataFrame, keys, per_pair, value_type=None, id_type=None) -> DataFrame:
@@ -138,7 +139,8 @@ def cogrouped(left: DataFrame, right: DataFrame, keys, function, schema) -> Data
                 out[name] = value
         return out[schema.fieldNames()]
 
-    return left.groupBy(*keys).cogroup(other.groupBy(*[f"r_{k}" for k in keys])).applyInPandas(run, schema)
+    n, right_keys = partitions(left), [f"r_{k}" for k in keys]
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(other.repartition(n, *right_keys).groupBy(*right_keys)).applyInPandas(run, schema)
 
 
 def row_sweep(left: DataFrame, right: DataFrame, keys, per_cell, schema) -> DataFrame:
