@@ -17,12 +17,14 @@ CONTENT_PATTERNS = (
     (r"(?U)#\d+", "[ISSUE_ID]"), (r"(?U)file_\d+\.txt", "[GEN_FILE]"),
     (r"(?U)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "[UUID]"),
     (r"(?U)\/[\w\-\.\/]+", "[PATH]"), (r"(?U)\b\d+\.\d+\b", "[FLOAT]"), (r"(?U)\b\d+\b", "[NUM]"))
-CONTENT_STOP_WORDS = ("_ = # - [ ] && + == 0] 1 execute_bash: [The [Python interpreter: [Command [Current "
-                      "/opt/conda/envs/testbed/bin/python] directory: command working cd completed finished result File str_replace_editor: "
-                      "0.] exit code the in with to of if is for and a not as on or be").split()
+CONTENT_STOP_WORDS = (
+    "_", "=", "#", "-", "[", "]", "&&", "+", "==", "0]", "1", "execute_bash:", "[The", "[Python", "interpreter:", "[Command", "[Current",
+    "/opt/conda/envs/testbed/bin/python]", "directory:", "command", "working", "cd", "completed", "finished", "result", "File", "str_replace_editor:",
+    "0.]", "exit", "code", "the", "in", "with", "to", "of", "if", "is", "for", "and", "a", "not", "as", "on", "or", "be")
 SCANNED_TERMS = ("passed", "failed", "dvc", "stix2", "beetbox", "scrapy", "xarray", "pylint", "tox")
-ABLATION_TERMS = ("test tests testing tested pytest unittest mock fixture fixtures assert assertion assertions hypothesis bdd asyncio "
-                  "setup teardown database db_field import").split()
+ABLATION_TERMS = (
+    "test", "tests", "testing", "tested", "pytest", "unittest", "mock", "fixture", "fixtures", "assert", "assertion", "assertions", "hypothesis", "bdd",
+    "asyncio", "setup", "teardown", "database", "db_field", "import")
 
 
 def trajectory_text(steps: DataFrame, keys=("run", "trajectory")) -> DataFrame:

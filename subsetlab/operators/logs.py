@@ -273,11 +273,12 @@ def parse_messages(raw: DataFrame, log_format: str, column: str = "messages") ->
 
 # Text logs
 
+# Section signs of the text logs.
 SECTION_END = r"(?=\n##|\n###|\z)"
-OBSERVATION = r"(?s)### \x{1F441}\x{FE0F} Observation\n(.*?)" + SECTION_END
-THINKING = r"(?s)### \x{1F914} Thinking\n(.*?)" + SECTION_END
-EITHER = r"(?s)### (?:\x{1F441}\x{FE0F} Observation|\x{1F914} Thinking)\n(.*?)" + SECTION_END
-ACTION = r"(?s)### (?:\x{1F3AF} Action|\x{1F4CB} Conclusion)\n(.*?)" + SECTION_END
+OBSERVATION = r"(?s)### 👁️ Observation\n(.*?)" + SECTION_END
+THINKING = r"(?s)### 🤔 Thinking\n(.*?)" + SECTION_END
+EITHER = r"(?s)### (?:👁️ Observation|🤔 Thinking)\n(.*?)" + SECTION_END
+ACTION = r"(?s)### (?:🎯 Action|📋 Conclusion)\n(.*?)" + SECTION_END
 CONCLUSIONS = ("<observation>", "diff --git", "## Summary", "The final patch")
 
 
@@ -365,6 +366,7 @@ def parse_text_logs(logs: DataFrame, text: str = "text", shown_characters=None)
 
 # Node trees
 
+# Actions on files and the schema of a node tree.
 FILE_ACTIONS = ("ReadFile", "StringReplace", "CreatePythonFile", "CreateFile")
 NODE_SCHEMA = ("trajectory_id string, evaluation_result struct<resolved:boolean>, nodes array<struct<node_id:long,user_message:string,"
                "action_steps:array<struct<action:string,observation:struct<message:string>>>>>")
@@ -398,6 +400,7 @@ def outcome_with_fallback(evaluated: Column, listed: Column) -> Column:
 
 # Validation
 
+# Names and payloads that the parsers derive and no raw text holds.
 DERIVED_NAMES = ("think", "unknown", "Conclusion", "bash")
 DERIVED_PAYLOADS = ("None", "N/A", "think", "finish", "project", "[See final patch / summary]")
 

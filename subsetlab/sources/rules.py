@@ -5,12 +5,13 @@ Only entries that can match are listed: tokens are words or upper-case placehold
 from dataclasses import dataclass
 
 # Fixed values of the masking rules.
-FUNCTION_WORDS = "the in with to of if is for and a not as on or be".split()
-MONTHS = "apr may jun jul aug".split()
-HARNESS_WORDS = "_ 1 command working cd completed finished result exit".split()
-PROTECTED = ("python java cpp asyncio test tests testing hypothesis fixture mock pytest unittest doc docs "
-             "bug issue error fix patch code run profile loop").split()
-PROTECTED_MORE = "creating cloning destroying default database alias".split()
+FUNCTION_WORDS = ("the", "in", "with", "to", "of", "if", "is", "for", "and", "a", "not", "as", "on", "or", "be")
+MONTHS = ("apr", "may", "jun", "jul", "aug")
+HARNESS_WORDS = ("_", "1", "command", "working", "cd", "completed", "finished", "result", "exit")
+PROTECTED = (
+    "python", "java", "cpp", "asyncio", "test", "tests", "testing", "hypothesis", "fixture", "mock", "pytest", "unittest", "doc", "docs", "bug", "issue",
+    "error", "fix", "patch", "code", "run", "profile", "loop")
+PROTECTED_MORE = ("creating", "cloning", "destroying", "default", "database", "alias")
 
 REPO_ID = (r"(?iU)\b\w+__\w+__\d+\b", "[REPO_ID]")
 HASH_SEED = (r"(?iU)PYTHONHASHSEED=\d+", "[RANDOM_SEED]")
@@ -30,19 +31,23 @@ FLOAT = (r"(?U)\b\d+\.\d+\b", "[FLOAT]")
 NUMBER = (r"(?U)\b\d+\b", "[NUM]")
 PROGRESS_BAR = r"(?U)[\d\[\]]*\*\([\d\[\]a\*\(\)]+"
 
-OUTCOME_TERMS = ("passed failed failures errors skipped xfailed xpassed fail pass success resolved successfully fixed tox pylint").split()
-LIBRARY_TERMS = "xarray dvc stix2 scrapy beetbox".split()
+OUTCOME_TERMS = (
+    "passed", "failed", "failures", "errors", "skipped", "xfailed", "xpassed", "fail", "pass", "success", "resolved", "successfully", "fixed", "tox",
+    "pylint")
+LIBRARY_TERMS = ("xarray", "dvc", "stix2", "scrapy", "beetbox")
 ERROR_TAGS = {
     "traceback": "[LOG_TRACE]", "assertionerror": "[ERR_ASSERT]", "keyerror": "[ERR_KEY]", "valueerror": "[ERR_VALUE]",
     "attributeerror": "[ERR_ATTR]", "modulenotfounderror": "[ERR_IMPORT]", "importerror": "[ERR_IMPORT]", "typeerror": "[ERR_TYPE]",
     "nameerror": "[ERR_NAME]", "indexerror": "[ERR_INDEX]", "syntaxerror": "[ERR_SYNTAX]", "indentationerror": "[ERR_INDENT]",
     "timeouterror": "[ERR_TIMEOUT]", "exception": "[ERR_GENERIC]", "fatal": "[ERR_FATAL]", "error": "[ERR_GENERIC]",
 }
-NOISE = ("benchmark benchmarks timer calibration_precision min_rounds min_time max_time mean stddev rounds iterations warmup warmup_iterations "
-         "disable_gc cpu msec pytestdeprecationwarning warnings warn default_loop_scope asyncio_default_fixture_loop_scope collected items "
-         "session starts most recent call last randomly random_seed random seed assertequal assertequals assert_equal").split()
-FIXTURES = "fixture fixtures".split()
-PERMISSION_TERMS = "permission auth azimuth_time".split()
+NOISE = (
+    "benchmark", "benchmarks", "timer", "calibration_precision", "min_rounds", "min_time", "max_time", "mean", "stddev", "rounds", "iterations", "warmup",
+    "warmup_iterations", "disable_gc", "cpu", "msec", "pytestdeprecationwarning", "warnings", "warn", "default_loop_scope",
+    "asyncio_default_fixture_loop_scope", "collected", "items", "session", "starts", "most", "recent", "call", "last", "randomly", "random_seed",
+    "random", "seed", "assertequal", "assertequals", "assert_equal")
+FIXTURES = ("fixture", "fixtures")
+PERMISSION_TERMS = ("permission", "auth", "azimuth_time")
 
 
 @dataclass(frozen=True)
@@ -62,18 +67,18 @@ class RuleSet:
 # Which rules each dataset kind uses.
 RULE_SETS = {
     "multi_model": RuleSet(
-        protected=tuple(PROTECTED + PROTECTED_MORE), stop_words=tuple(HARNESS_WORDS + ["code", "root"] + FUNCTION_WORDS + MONTHS),
+        protected=PROTECTED + PROTECTED_MORE, stop_words=HARNESS_WORDS + ("code", "root") + FUNCTION_WORDS + MONTHS,
         patterns=(REPO_ID, HASH_SEED, RANDOM_SEED, TIMESTAMP, OBJECT_ID, ISSUE_ID, GENERATED_FILE, UUID, PATH, FLOAT, NUMBER),
-        leakage=tuple(OUTCOME_TERMS + LIBRARY_TERMS + ["execution", "result", "observation", "antlr", "w0201", "attribute-defined-outside-init", "noqa", "f811", "a*([num]*a"]),
-        noise=tuple(NOISE + FIXTURES + PERMISSION_TERMS), mask_compounds=True),
+        leakage=OUTCOME_TERMS + LIBRARY_TERMS + ("execution", "result", "observation", "antlr", "w0201", "attribute-defined-outside-init", "noqa", "f811", "a*([num]*a"),
+        noise=NOISE + FIXTURES + PERMISSION_TERMS, mask_compounds=True),
     "single_setup": RuleSet(
-        protected=tuple(PROTECTED), stop_words=tuple(HARNESS_WORDS + ["code"] + FUNCTION_WORDS),
+        protected=PROTECTED, stop_words=HARNESS_WORDS + ("code",) + FUNCTION_WORDS,
         patterns=(REPO_ID, RANDOM_SEED, TIMESTAMP, OBJECT_ID, ISSUE_ID, GENERATED_FILE, UUID, PATH, FLOAT, NUMBER),
-        leakage=tuple(OUTCOME_TERMS + LIBRARY_TERMS), noise=tuple(NOISE + FIXTURES), mask_compounds=False),
+        leakage=OUTCOME_TERMS + LIBRARY_TERMS, noise=NOISE + FIXTURES, mask_compounds=False),
     "multi_agent": RuleSet(
-        protected=tuple(PROTECTED + PROTECTED_MORE), stop_words=tuple(HARNESS_WORDS + ["root"] + FUNCTION_WORDS + MONTHS),
+        protected=PROTECTED + PROTECTED_MORE, stop_words=HARNESS_WORDS + ("root",) + FUNCTION_WORDS + MONTHS,
         patterns=(REPO_ID, HASH_SEED, RANDOM_SEED, TIMESTAMP, DATETIME, OBJECT_ID, ISSUE_ID, GENERATED_FILE, UUID, ADDRESS, LINE_RANGE, STEP_MARKER, ENV_PATH, FLOAT, NUMBER),
-        leakage=tuple(OUTCOME_TERMS + ["noqa", "f811", "w0201", "attribute-defined-outside-init"]),
-        noise=tuple(NOISE + PERMISSION_TERMS + LIBRARY_TERMS + ["findfont", "scalable", "running", "creating", "table", "root"]),
+        leakage=OUTCOME_TERMS + ("noqa", "f811", "w0201", "attribute-defined-outside-init"),
+        noise=NOISE + PERMISSION_TERMS + LIBRARY_TERMS + ("findfont", "scalable", "running", "creating", "table", "root"),
         mask_compounds=True, progress_bar=PROGRESS_BAR),
 }
