@@ -101,7 +101,7 @@ def content_tokens(text: Column) -> Column:
     for pattern, tag in CONTENT_PATTERNS:
         text = F.regexp_replace(text, pattern, tag)
     bare = F.transform(F.split(text, r"(?U)\s+"), lambda t: F.btrim(t, F.lit(STRIPPED)))
-    return F.filter(bare, lambda t: (F.length(t) >= MIN_LENGTH) & ~t.isin(CONTENT_STOP_WORDS))
+    return F.filter(bare, lambda t: (F.length(t) >= MIN_LENGTH) & ~t.isin(*CONTENT_STOP_WORDS))
 
 
 def keyness(documents: DataFrame, text: str = "text", passed: str = "passed", min_count: int = MIN_COUNT) -> DataFrame:

@@ -1,11 +1,13 @@
 """Flattening of raw message logs into steps.
 
 A conversation is one row (one raw file) with an array of messages; it becomes one row per step. Everything is column
-expressions; the only sequential part, the moving cursor of the observation search, is a fold over that row's own array.
+expressions; the only sequential part, the search for the message that answers a call, sees the ids of that row's messages.
 """
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import VariantType
 
+from ..functions import answers
+
 # Markers, keywords and patterns of the supported log formats.
 XML_CALL_ID = "xml_parsed"
 RESULT_MARKER = "EXECUTION RESULT"
@@ -83,39 +85,43 @@ def explode_computed(rows: DataFrame, others, array: Column) -> DataFrame:
     return rows.select(*others, F.posexplode_outer(array).alias("_at", "_s")).where(F.col("_at").isNotNull())
 
 
+def answered_steps(messages: DataFrame, found: Column, column: str) -> DataFrame:
+    """One row per (message, call, answer) position in ``found``; a call without an answer has an empty observation.
+
+    The texts are read from the row's own message array before it is exploded, so the array is not copied per step.
+    """
+    others = [c for c in messages.columns if c not in (column, "_found")]
+
+    def step(at):
+        call = F.get(F.get(column, at["message"])["calls"], at["call"])
+        return F.struct(call["name"].alias("name"), call["arguments"].alias("arguments"),
+                        F.when(at["answer"] < 0, "").otherwise(F.get(column, at["answer"])["text"]).alias("observation"))
+    located = messages.withColumn("_found", found)
+    return (explode_computed(located, others, F.transform("_found", step))
+            .select(*others, (F.col("_at") + 1).alias("step_index"), "_s.name", "_s.arguments", "_s.observation"))
+
+
+def call_ids(column: str) -> Column:
+    """Ids of the calls of every message."""
+    return F.transform(column, lambda m: F.transform(m["calls"], lambda c: c["id"]))
+
+
 def steps_by_look_ahead(messages: DataFrame, column: str = "messages", look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """One row per call; the observation is the first of the next messages that answers it.
 
     The search starts behind the last used observation and messages before a found observation are skipped, so the calls of one
-    conversation depend on each other: a fold over the message array carries the cursor and the steps found so far.
+    conversation depend on each other. The kinds and ids of a conversation's messages, not its texts, pass through one linear search.
     """
-    offsets = ", ".join(str(i) for i in range(1, look_ahead + 1))
-    answers = (f"(m[a.pos + k].role = 'tool' AND m[a.pos + k].tool_call_id <=> c.id) OR "
-               f"(c.id = '{XML_CALL_ID}' AND m[a.pos + k].role = 'user' AND contains(m[a.pos + k].text, '{RESULT_MARKER}'))")
-    found = f"get(filter(array({offsets}), k -> a.pos + k < size(m) AND ({answers})), 0)"
-    step = "struct<name:string,arguments:string,observation:string>"
-    fold = f"""aggregate(if(size(m) > 0, sequence(0, size(m) - 1), cast(array() AS array<int>)),
-        named_struct('pos', -1, 'steps', cast(array() AS array<{step}>)),
-        (acc, i) -> if(i <= acc.pos OR size(m[i].calls) = 0, acc,
-            aggregate(m[i].calls, named_struct('pos', i, 'steps', acc.steps), (a, c) ->
-                named_struct('pos', a.pos + coalesce({found}, 0),
-                             'steps', array_append(a.steps, named_struct('name', c.name, 'arguments', c.arguments,
-                                      'observation', if({found} IS NULL, '', m[a.pos + {found}].text)))))),
-        acc -> acc.steps)""".replace("m[", f"`{column}`[").replace("size(m)", f"size(`{column}`)")
-    others = [c for c in messages.columns if c != column]
-    return (explode_computed(messages, others, F.expr(fold))
-            .select(*others, (F.col("_at") + 1).alias("step_index"), "_s.name", "_s.arguments", "_s.observation"))
+    marked = lambda m: (m["role"] == "user") & F.contains(m["text"], F.lit(RESULT_MARKER))
+    kinds = F.transform(column, lambda m: F.when(m["role"] == "tool", answers.TOOL).when(marked(m), answers.MARKED).otherwise(answers.OTHER).cast("tinyint"))
+    find = answers.by_look_ahead(look_ahead, XML_CALL_ID)
+    return answered_steps(messages, find(kinds, F.transform(column, lambda m: m["tool_call_id"]), call_ids(column)), column)
 
 
 def steps_by_id(messages: DataFrame, column: str = "messages") -> DataFrame:
-    """One row per call; the observation is the last tool message with the call's id."""
-    others = [c for c in messages.columns if c != column]
-    calls = F.flatten(F.transform(column, lambda m: m["calls"]))
-    answer = lambda c: F.element_at(F.filter(column, lambda m: (m["role"] == "tool") & (m["tool_call_id"] == c["id"])), -1)
-    answered = F.transform(calls, lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"),
-                                                     F.when(F.exists(column, lambda m: (m["role"] == "tool") & (m["tool_call_id"] == c["id"])), answer(c)["text"]).otherwise("").alias("observation")))
-    return (explode_computed(messages, others, answered)
-            .select(*others, (F.col("_at") + 1).alias("step_index"), "_s.name", "_s.arguments", "_s.observation"))
+    """One row per call; the observation is the last tool message with the call's id, found by one linear search over the ids."""
+    kinds = F.transform(column, lambda m: F.when(m["role"] == "tool", answers.TOOL).otherwise(answers.OTHER).cast("tinyint"))
+    return answered_steps(messages, answers.by_id(kinds, F.transform(column, lambda m: m["tool_call_id"]), call_ids(column)), column)
 
 
 def command_name(line: Column) -> Column:

@@ -184,3 +184,56 @@ def test_unreadable_logs_are_null(spark, tmp_path):
         (folder / f"{name}.json").write_text(text)
     rows = {r["trajectory"]: r["messages"] for r in scans.scan_message_logs(spark, str(tmp_path), r"run_(\d+)/", r"/(\w+)\.json").collect()}
     assert rows["b"] is None and rows["a"][0]["content"].toPython() == "hi"
+
+
+def plain_answers(messages, by_id):
+    """(call, answer text) of every step, comparing every call with every message it may look at."""
+    out, cursor = [], -1
+    for i, m in enumerate(messages):
+        if not by_id and i <= cursor:
+            continue
+        if m["calls"]:
+            cursor = i
+        for c in m["calls"]:
+            near = messages if by_id else messages[cursor + 1:cursor + 1 + logs.LOOK_AHEAD]
+            hits = [n for n, a in enumerate(near) if (a["role"] == "tool" and a["tool_call_id"] == c["id"] and (c["id"] is not None or not by_id))
+                    or (not by_id and c["id"] == logs.XML_CALL_ID and a["role"] == "user" and logs.RESULT_MARKER in a["text"])]
+            hit = hits[-1] if by_id and hits else hits[0] if hits else None
+            out.append((c["name"], near[hit]["text"] if hit is not None else ""))
+            if hit is not None and not by_id:
+                cursor += hit + 1
+    return out
+
+
+@pytest.mark.parametrize("by_id", [True, False])
+def test_answers_equal_a_plain_search(spark, by_id):
+    import random
+    draw = random.Random(5)
+    ids = ["a", "b", "c", None, logs.XML_CALL_ID]
+    rows = []
+    for n in range(120):
+        messages = [{"role": draw.choice(["assistant", "tool", "tool", "user"]), "text": draw.choice(["x", "EXECUTION RESULT y", ""]) + str(i), "tool_call_id": draw.choice(ids),
+                     "calls": []} for i in range(draw.randrange(0, 25))]
+        for m in messages:
+            if m["role"] == "assistant":
+                m["calls"] = [{"id": draw.choice(ids), "name": f"n{draw.random()}", "arguments": "{}"} for _ in range(draw.randrange(0, 4))]
+        rows.append((n, messages))
+    df = spark.createDataFrame([*rows, (-1, None)], f"trajectory long, messages array<{logs.MESSAGE}>")
+    steps = (logs.steps_by_id if by_id else logs.steps_by_look_ahead)(df).orderBy("trajectory", "step_index").collect()
+    assert not [r for r in steps if r["trajectory"] == -1]
+    for n, messages in rows:
+        mine = [r for r in steps if r["trajectory"] == n]
+        assert [(r["name"], r["observation"]) for r in mine] == plain_answers(messages, by_id)
+        assert [r["step_index"] for r in mine] == list(range(1, len(mine) + 1))
+
+
+@pytest.mark.parametrize("search", [logs.steps_by_id, logs.steps_by_look_ahead])
+def test_conversation_of_twenty_thousand_messages(spark, search):
+    import time
+    message = ("CASE WHEN i % 2 = 0 THEN named_struct('role', 'assistant', 'text', '', 'tool_call_id', CAST(NULL AS string), 'calls', array(named_struct('id', concat('call', i), 'name', 'bash', 'arguments', '{}'))) "
+               f"ELSE named_struct('role', 'tool', 'text', concat('output', i - 1), 'tool_call_id', concat('call', i - 1), 'calls', cast(array() AS array<{logs.CALL}>)) END")
+    conversation = spark.range(1).select(F.expr(f"transform(sequence(0, 19999), i -> {message})").alias("messages"))
+    started = time.time()
+    got = search(conversation).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("observation") == F.concat(F.lit("output"), (2 * (F.col("step_index") - 1)).cast("string"))).cast("int")).alias("hits")).first()
+    assert tuple(got) == (10_000, 10_000)
+    assert time.time() - started < 15   # comparing all calls with all messages takes minutes
