@@ -1,7 +1,7 @@
 """All registered queries."""
-from . import queries_core, queries_cost, queries_logs, queries_populations, queries_reports, queries_sources, queries_stats, queries_text, queries_vectors
+from . import queries_core, queries_cost, queries_logs, queries_populations, queries_reports, queries_results, queries_sources, queries_stats, queries_text, queries_vectors
 
-MODULES = (queries_core, queries_vectors, queries_populations, queries_cost, queries_logs, queries_text, queries_sources, queries_stats, queries_reports)
+MODULES = (queries_core, queries_vectors, queries_populations, queries_cost, queries_logs, queries_text, queries_sources, queries_stats, queries_reports, queries_results)
 QUERIES, ORACLE = {}, {}
 for module in MODULES:
     QUERIES.update(module.QUERIES)

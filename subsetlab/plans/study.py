@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import comparisons, errors, populations, selection, splits, strata, vectors
-from ..session import cut_lineage
+from ..session import settled
 from . import inputs
 from .inputs import COMPLETE, N_RUNS, OUTCOMES, splits_sql
 from .queries_core import whole_population
@@ -19,11 +19,11 @@ BASELINES = strata.ONE_RUN_BASELINES + strata.TWO_RUN_BASELINES
 _STAGES = {}
 
 
-def stage(spark, folder, name, build):
-    """A stage table that several queries read: built once per session and data folder, kept in the checkpoint folder."""
+def stage(spark, folder, name, build, partition_by=()):
+    """A stage table that several queries read: built once per session and data folder, kept as Parquet in the checkpoint folder."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _STAGES:
-        _STAGES[key] = cut_lineage(build())
+        _STAGES[key] = settled(build(), partition_by)
     return _STAGES[key]
 
 
@@ -128,7 +128,7 @@ def deterministic_selections(spark, folder, windows=STUDY_WINDOWS, fractions=(ST
 
 def split_stage(spark, folder):
     """Split-level metrics as a stage table."""
-    return stage(spark, folder, "splits", lambda: split_table(spark, folder))
+    return stage(spark, folder, "splits", lambda: split_table(spark, folder), ("window",))
 
 
 def draw_stage(spark, folder, seed="determinism"):
@@ -136,7 +136,7 @@ def draw_stage(spark, folder, seed="determinism"):
     def build():
         draws = baseline_draws(spark, folder, seed=seed)
         return comparisons.per_seed(draws, ["population", "window", "subset", "method"])
-    return stage(spark, folder, f"draws-{seed}", build)
+    return stage(spark, folder, f"draws-{seed}", build, ("window",))
 
 
 def population_stage(spark, folder):
@@ -145,4 +145,4 @@ def population_stage(spark, folder):
         table = errors.population_metrics(split_stage(spark, folder), ["population", "window", "method", "subset"])
         levels = drawn_populations(spark, folder).groupBy("population").agg(F.max("level").alias("level"))
         return table.join(levels, "population")
-    return stage(spark, folder, "populations", build)
+    return stage(spark, folder, "populations", build, ("window",))

@@ -35,14 +35,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows as a table in the checkpoint folder, read again with its real size.
+def settled(df: DataFrame, partition_by=()) -> DataFrame:
+    """The rows as a table in the checkpoint folder, read again with its real size; readers prune columns and ``partition_by`` folders.
 
     For loops of joins: a checkpoint keeps the size that was estimated before it, and estimates of joins multiply from round to round.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def spread(df: DataFrame) -> DataFrame:
