@@ -120,21 +120,29 @@ def seed_statistics(draws: DataFrame, keys, value: str = "maxerr") -> DataFrame:
             .withColumn("seed_median", F.get("_q", F.lit(0))).withColumn("seed_p95", F.get("_q", F.lit(1))).drop("_q"))
 
 
-def per_seed_report(methods: DataFrame, draws: DataFrame, unit: str = "population") -> DataFrame:
-    """Deterministic MaxErr next to the seeds': statistics per window and unit, averaged over windows, then over units."""
-    seeds = seed_statistics(draws.withColumnRenamed("method", "baseline"), ["window", unit, "subset", "baseline"])
-    own = methods.select("window", unit, "subset", "method", F.col("maxerr").alias("det"))
-    cells = own.join(seeds, ["window", unit, "subset"])
-    units = cells.groupBy(unit, "subset", "method", "baseline").agg(*[F.avg(c).alias(c) for c in ("det", "seed_median", "seed_p95", "seed_max", "seed_mean")])
+def per_seed_report(methods: DataFrame, draws: DataFrame, stored: DataFrame, unit: str = "population") -> DataFrame:
+    """Deterministic MaxErr next to the seeds' and to the stored baselines': values per window and unit, averaged over windows, then over units.
+
+    ``stored`` has the baselines' own results (window, unit, subset, baseline, maxerr, maxerr_mean). A baseline is reported for the windows and
+    subsets that have both its draws and its stored result. Changes compare means, and medians where their name says so.
+    """
+    at = ["window", unit, "subset"]
+    seeds = seed_statistics(draws.withColumnRenamed("method", "baseline"), [*at, "baseline"])
+    kept = stored.select(*at, "baseline", F.col("maxerr").alias("stored_max"), F.col("maxerr_mean").alias("stored_mean"))
+    own = methods.select(*at, "method", F.col("maxerr").alias("det"))
+    cells = own.join(seeds.join(kept, [*at, "baseline"]), at)
+    statistics = ("seed_median", "seed_p95", "seed_max", "seed_mean")
+    units = cells.groupBy(unit, "subset", "method", "baseline").agg(*[F.avg(c).alias(c) for c in ("det", *statistics, "stored_max", "stored_mean")])
     change = lambda reference, value: stats.relative_change(F.col(reference), F.col(value))
-    r = lambda a, b: F.avg((F.round(F.col(a) - F.col(b), stats.NOISE_DIGITS) < 0).cast("double"))
+    below = lambda c: F.avg((F.round(F.col("det") - F.col(c), stats.NOISE_DIGITS) < 0).cast("double"))
     table = units.groupBy("subset", "method", "baseline").agg(
-        F.count(F.lit(1)).alias("units"), F.avg("det").alias("det_mean"), F.median("det").alias("det_median"),
-        *[F.avg(c).alias(f"{c}_mean") for c in ("seed_median", "seed_p95", "seed_max")], F.avg("seed_mean").alias("seed_mean_mean"),
-        *[F.median(c).alias(f"{c}_median") for c in ("seed_median", "seed_p95", "seed_max")],
-        r("det", "seed_median").alias("below_seed_median"), r("det", "seed_p95").alias("below_seed_p95"))
-    return (table.withColumn("change_vs_median", change("seed_median_mean", "det_mean")).withColumn("change_vs_p95", change("seed_p95_mean", "det_mean"))
-            .withColumn("change_vs_max", change("seed_max_mean", "det_mean")))
+        F.count(F.lit(1)).alias("units"), *[F.avg(c).alias(f"{c}_mean") for c in ("det", *statistics, "stored_max", "stored_mean")],
+        *[F.median(c).alias(f"{c}_median") for c in ("det", "seed_median", "seed_p95", "seed_max")],
+        *[below(c).alias(f"below_{c}") for c in ("seed_median", "seed_p95")])
+    changes = {"change_vs_median": ("seed_median_mean", "det_mean"), "change_vs_p95": ("seed_p95_mean", "det_mean"), "change_vs_max": ("seed_max_mean", "det_mean"),
+               "change_vs_stored": ("stored_max_mean", "det_mean"), "median_change_vs_median": ("seed_median_median", "det_median"),
+               "median_change_vs_p95": ("seed_p95_median", "det_median")}
+    return table.select("*", *[change(*pair).alias(name) for name, pair in changes.items()])
 
 
 def run_group_seed_report(method_splits: DataFrame, draws: DataFrame) -> DataFrame:

@@ -27,11 +27,16 @@ ABLATION_TERMS = (
     "asyncio", "setup", "teardown", "database", "db_field", "import")
 
 
-def trajectory_text(steps: DataFrame, keys=("run", "trajectory")) -> DataFrame:
-    """One text per trajectory: description, then action and observation of every step in order (a trajectory is one document)."""
+def trajectory_text(steps: DataFrame, keys=("run", "trajectory"), trajectories: DataFrame = None) -> DataFrame:
+    """One text per trajectory: description, then action and observation of every step in order (a trajectory is one document).
+
+    ``trajectories`` (keys, task_description) also holds those without a step; their text is the description alone.
+    """
     parts = F.array_sort(F.collect_list(F.struct("step_index", F.concat_ws(" ", "action", "observation").alias("t"))))
-    return (steps.groupBy(*keys).agg(F.first("task_description").alias("_d"), parts.alias("_p"))
-            .select(*keys, F.concat_ws(" ", "_d", F.array_join("_p.t", " ")).alias("text")))
+    texts = steps.groupBy(*keys).agg(F.first("task_description").alias("_d"), parts.alias("_p"))
+    if trajectories is not None:
+        texts = trajectories.select(*keys, F.col("task_description").alias("_d")).join(texts.drop("_d"), list(keys), "left")
+    return texts.select(*keys, F.concat_ws(" ", F.array_compact(F.concat(F.array("_d"), F.coalesce("_p.t", F.array().cast("array<string>"))))).alias("text"))
 
 
 def white_space_tokens(text: Column) -> Column:

@@ -40,6 +40,15 @@ def baseline_error_table(spark, folder):
     return rounded(reports.error_table(t, "window", (1, 2)), ["subset", "method"], ["1_median", "1_p95", "2_median", "2_p95"])
 
 
+@register("baseline_maxerr_table", sql(*POPULATION_TABLE, query="""
+SELECT subset, method, round(median(maxerr) FILTER ("window" = 1), 6) AS "1_median", round(quantile_cont(maxerr, 0.95) FILTER ("window" = 1), 6) AS "1_p95", round(median(maxerr) FILTER ("window" = 2), 6) AS "2_median", round(quantile_cont(maxerr, 0.95) FILTER ("window" = 2), 6) AS "2_p95"
+FROM population_table WHERE method LIKE 'baselines:%' GROUP BY subset, method"""))
+def baseline_maxerr_table(spark, folder):
+    """Median and P95 MaxErr of the baselines, one pair of columns per window."""
+    t = population_stage(spark, folder).where(rankings.family_of(F.col("method")) == "baselines")
+    return rounded(reports.error_table(t, "window", (1, 2), value="maxerr"), ["subset", "method"], ["1_median", "1_p95", "2_median", "2_p95"])
+
+
 PAIR_COLUMNS = ["first_mean", "second_mean", "first_median", "second_median", "delta", "p_value", "holm_p", "change_pct"]
 PAIR_KEYS = ["first", "second", "units", "wins", "ties", "losses", "effect"]
 
@@ -90,6 +99,18 @@ def methods_vs_reference(spark, folder):
     return rounded(reports.paired_table(first, v.where(F.col("method") == rankings.CONSISTENCY), ["subset"], "population", "first"), ["subset", *PAIR_KEYS], PAIR_COLUMNS)
 
 
+OVERALL_MAXERR = OVERALL_VALUES.replace("rmse AS value", "maxerr AS value")
+
+
+@register("maxerr_vs_reference", sql(*POPULATION_TABLE, WITH_OVERALL, *paired_sql(OVERALL_MAXERR + " AND method NOT LIKE 'baselines:%'", OVERALL_MAXERR + " AND method = 'baselines:consistency_stratified'", "population"),
+                                     holm_sql("pair_joined", ("subset",), "first", "pair_held"), query=paired_query()))
+def maxerr_vs_reference(spark, folder):
+    """The MaxErr of embedding methods against the strongest baseline's."""
+    v = rankings.window_average(population_stage(spark, folder)).select("subset", "population", "method", F.col("maxerr").alias("value"))
+    first = v.where(rankings.family_of(F.col("method")) != "baselines")
+    return rounded(reports.paired_table(first, v.where(F.col("method") == rankings.CONSISTENCY), ["subset"], "population", "first"), ["subset", *PAIR_KEYS], PAIR_COLUMNS)
+
+
 @register("window_comparison", sql(*POPULATION_TABLE, *paired_sql("SELECT \"window\", subset, population, method, rmse AS value FROM population_table WHERE method = 'embedding_strata:centroid_pooled'",
                                                                  "SELECT \"window\", subset, population, method, rmse AS value FROM population_table WHERE method = CASE WHEN \"window\" = 1 THEN 'baselines:difficulty_stratified' ELSE 'baselines:consistency_stratified' END",
                                                                  "population", ('"window"', "subset")), holm_sql("pair_joined", ('"window"', "subset"), "second", "pair_held"), query=paired_query(('"window"', "subset"))))

@@ -208,3 +208,24 @@ def run_completeness(spark, folder):
     found = inputs.table(spark, folder, "conversations").select("conv_id").distinct()
     expected = found.agg(F.floor(F.count(F.lit(1)) / 5).alias("wanted")).select(F.lit(2).alias("run"), "wanted")
     return audits.completeness(found.withColumn("run", F.pmod("conv_id", F.lit(5)).cast("int")), expected)
+
+
+@register("run_dimension", sql("""dimension(dataset, run, ordinal, parser, rules) AS (VALUES
+  ('chat', '0', 0, 'openhands', 'multi_model'), ('chat', '1', 1, 'openhands', 'multi_model'), ('chat', '2', 2, 'trae', 'multi_model'), ('chat', '3', 3, 'openhands', 'multi_agent'), ('chat', '4', 4, 'openhands', 'multi_model'),
+  ('pages', '2_runs/run_1', 0, 'rebench', 'single_setup'), ('pages', '2_runs/run_2', 1, 'rebench', 'single_setup'), ('pages', '3_runs/run_1', 2, 'rebench', 'single_setup'),
+  ('pages', '3_runs/run_2', 3, 'rebench', 'single_setup'), ('pages', '3_runs/run_3', 4, 'rebench', 'single_setup')),
+found AS (
+  SELECT 'chat' AS dataset, CAST(conv_id % 5 AS VARCHAR) AS run, count(DISTINCT conv_id) AS trajectories FROM conversations GROUP BY ALL
+  UNION ALL SELECT 'pages', CASE WHEN page_id % 5 < 2 THEN '2_runs/run_' || (page_id % 5 + 1) ELSE '3_runs/run_' || (page_id % 5 - 1) END, count(*) FROM pages GROUP BY ALL)""",
+                               query="SELECT dataset, run, ordinal, parser, rules, coalesce(trajectories, 0) AS trajectories FROM dimension LEFT JOIN found USING (dataset, run)"))
+def run_dimension(spark, folder):
+    """Ordered runs of two datasets with parser and rules per run, and the trajectories found for each."""
+    dimension = audits.run_dimension(spark, {
+        "chat": {"runs": ("0", "1", "2", "3", "4"), "parser": "openhands", "rules": "multi_model", "run_parsers": {"2": "trae"}, "run_rules": {"3": "multi_agent"}},
+        "pages": {"run_groups": (2, 3), "parser": "rebench", "rules": "single_setup"}})
+    chat = inputs.table(spark, folder, "conversations").select(F.lit("chat").alias("dataset"), F.pmod("conv_id", F.lit(5)).cast("string").alias("run"), F.col("conv_id").alias("id")).distinct()
+    place = F.pmod("page_id", F.lit(5))
+    group = F.when(place < 2, F.concat(F.lit("2_runs/run_"), (place + 1).cast("string"))).otherwise(F.concat(F.lit("3_runs/run_"), (place - 1).cast("string")))
+    pages = inputs.table(spark, folder, "pages").select(F.lit("pages").alias("dataset"), group.alias("run"), F.col("page_id").alias("id"))
+    found = chat.unionByName(pages).groupBy("dataset", "run").agg(F.count(F.lit(1)).alias("trajectories"))
+    return dimension.join(found, ["dataset", "run"], "left").withColumn("trajectories", F.coalesce("trajectories", F.lit(0)))

@@ -342,20 +342,33 @@ def band_placement(spark, folder):
     return rounded(rows, ["subset", "method", "baseline", "n"], ["below", "inside", "above", "median", "band_low_median", "band_high_median", "band_low_min", "method_max", "margin_min"])
 
 
-SEED_CELLS = """seed_cells AS (
-  SELECT "window", subset, method, baseline, population, any_value(own_max) AS det, median(drawn_max) AS s_median, quantile_cont(drawn_max, 0.95) AS s_p95, max(drawn_max) AS s_max, avg(drawn_max) AS s_mean FROM draw_pairs GROUP BY "window", subset, method, baseline, population),
-seed_units AS (SELECT subset, method, baseline, population, avg(det) AS det, avg(s_median) AS s_median, avg(s_p95) AS s_p95, avg(s_max) AS s_max, avg(s_mean) AS s_mean FROM seed_cells GROUP BY subset, method, baseline, population)"""
+SEED_REPORT = ["det_mean", "det_median", "seed_median_mean", "seed_p95_mean", "seed_max_mean", "seed_mean_mean", "seed_median_median", "seed_p95_median", "seed_max_median",
+               "stored_max_mean", "stored_mean_mean", "change_vs_median", "change_vs_p95", "change_vs_max", "change_vs_stored", "median_change_vs_median", "median_change_vs_p95",
+               "below_seed_median", "below_seed_p95"]
 
 
-@register("per_seed_report", sql(*POPULATION_TABLE, *DRAWS_TABLE, DRAW_PAIRS, SEED_CELLS, query="""
-SELECT subset, method, baseline, count(*) AS units, round(avg(det), 6) AS det_mean, round(median(det), 6) AS det_median, round(avg(s_median), 6) AS seed_median_mean, round(avg(s_p95), 6) AS seed_p95_mean, round(avg(s_max), 6) AS seed_max_mean,
-       round((avg(det) - avg(s_median)) / avg(s_median) * 100, 6) AS change_vs_median, round((avg(det) - avg(s_max)) / avg(s_max) * 100, 6) AS change_vs_max, round(avg(CASE WHEN round(det - s_median, 12) < 0 THEN 1.0 ELSE 0 END), 6) AS below_seed_median,
-       round(avg(CASE WHEN round(det - s_p95, 12) < 0 THEN 1.0 ELSE 0 END), 6) AS below_seed_p95 FROM seed_units GROUP BY subset, method, baseline"""))
+@register("per_seed_report", sql(*POPULATION_TABLE, *DRAWS_TABLE, DRAW_PAIRS, """seed_cells AS (
+  SELECT "window", subset, method, baseline, population, any_value(own_max) AS det, median(drawn_max) AS s_median, quantile_cont(drawn_max, 0.95) AS s_p95, max(drawn_max) AS s_max, avg(drawn_max) AS s_mean FROM draw_pairs GROUP BY "window", subset, method, baseline, population),
+stored AS (SELECT population, "window", subset, replace(method, 'baselines:', '') AS baseline, maxerr, maxerr_mean FROM population_table WHERE method LIKE 'baselines:%'),
+seed_units AS (
+  SELECT c.subset, c.method, c.baseline, population, avg(det) AS det, avg(s_median) AS s_median, avg(s_p95) AS s_p95, avg(s_max) AS s_max, avg(s_mean) AS s_mean, avg(maxerr) AS stored_max, avg(maxerr_mean) AS stored_mean
+  FROM seed_cells c JOIN stored USING (population, "window", subset, baseline) GROUP BY c.subset, c.method, c.baseline, population),
+seed_report AS (
+  SELECT subset, method, baseline, count(*) AS units, avg(det) AS det_mean, median(det) AS det_median, avg(s_median) AS seed_median_mean, avg(s_p95) AS seed_p95_mean, avg(s_max) AS seed_max_mean, avg(s_mean) AS seed_mean_mean,
+         median(s_median) AS seed_median_median, median(s_p95) AS seed_p95_median, median(s_max) AS seed_max_median, avg(stored_max) AS stored_max_mean, avg(stored_mean) AS stored_mean_mean,
+         avg(CASE WHEN round(det - s_median, 12) < 0 THEN 1.0 ELSE 0 END) AS below_seed_median, avg(CASE WHEN round(det - s_p95, 12) < 0 THEN 1.0 ELSE 0 END) AS below_seed_p95
+  FROM seed_units GROUP BY subset, method, baseline),
+seed_changes AS (
+  SELECT *, (det_mean - seed_median_mean) / seed_median_mean * 100 AS change_vs_median, (det_mean - seed_p95_mean) / seed_p95_mean * 100 AS change_vs_p95, (det_mean - seed_max_mean) / seed_max_mean * 100 AS change_vs_max,
+         (det_mean - stored_max_mean) / stored_max_mean * 100 AS change_vs_stored, (det_median - seed_median_median) / seed_median_median * 100 AS median_change_vs_median,
+         (det_median - seed_p95_median) / seed_p95_median * 100 AS median_change_vs_p95 FROM seed_report)""",
+                                query="SELECT subset, method, baseline, units, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in SEED_REPORT) + " FROM seed_changes"))
 def per_seed_report(spark, folder):
-    """Deterministic MaxErr next to the seeds' statistics."""
-    methods = population_stage(spark, folder).where(rankings.family_of(F.col("method")) != "baselines")
-    rows = comparisons.per_seed_report(methods, draw_stage(spark, folder))
-    return rounded(rows, ["subset", "method", "baseline", "units"], ["det_mean", "det_median", "seed_median_mean", "seed_p95_mean", "seed_max_mean", "change_vs_median", "change_vs_max", "below_seed_median", "below_seed_p95"])
+    """Deterministic MaxErr next to the seeds' statistics and the stored baselines."""
+    stored = population_stage(spark, folder)
+    baselines = stored.where(rankings.family_of(F.col("method")) == "baselines").withColumn("baseline", rankings.local_name(F.col("method")))
+    rows = comparisons.per_seed_report(stored.where(rankings.family_of(F.col("method")) != "baselines"), draw_stage(spark, folder), baselines)
+    return rounded(rows, ["subset", "method", "baseline", "units"], SEED_REPORT)
 
 
 @register("stream_check", sql(*POPULATION_TABLE, *DRAWS_TABLE, """other AS (SELECT population, "window", subset, method, max(maxerr) AS m FROM b_metrics GROUP BY ALL),

@@ -237,3 +237,11 @@ def test_conversation_of_twenty_thousand_messages(spark, search):
     got = search(conversation).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("observation") == F.concat(F.lit("output"), (2 * (F.col("step_index") - 1)).cast("string"))).cast("int")).alias("hits")).first()
     assert tuple(got) == (10_000, 10_000)
     assert time.time() - started < 15   # comparing all calls with all messages takes minutes
+
+
+def test_trajectory_without_steps_keeps_its_description(spark):
+    steps = spark.createDataFrame([("r", "a", "task a", 2, "run", "out"), ("r", "a", "task a", 1, "look", None)], "run string, trajectory string, task_description string, step_index int, action string, observation string")
+    every = spark.createDataFrame([("r", "a", "task a"), ("r", "b", "task b"), ("r", "c", None)], "run string, trajectory string, task_description string")
+    texts = {r["trajectory"]: r["text"] for r in corpus.trajectory_text(steps, trajectories=every).collect()}
+    assert texts == {"a": "task a look run out", "b": "task b", "c": ""}
+    assert {r["trajectory"] for r in corpus.trajectory_text(steps).collect()} == {"a"}
