@@ -231,7 +231,7 @@ GROUP_METHODS = (*CENTROID_BASE[4:6], _prefixed(quotas_sql((0.10,), "vectors", (
 @register("run_group_draw_comparison", sql(*GROUP_DRAWS, *GROUP_METHODS, """own AS (SELECT "window", subset, method, avg(rmse) AS own FROM group_methods GROUP BY ALL),
 seeds AS (SELECT "window", subset, method AS baseline, draw, avg(rmse) AS seed FROM group_draws GROUP BY "window", subset, method, draw),
 per_split AS (SELECT m."window", m.subset, m.method, d.method AS baseline, avg(CASE WHEN round(m.rmse - d.rmse, 12) < 0 THEN 1.0 ELSE 0 END) AS split_win_rate FROM group_methods m JOIN group_draws d USING ("window", subset, split) GROUP BY m."window", m.subset, m.method, d.method)""", query="""
-SELECT "window", subset, method, baseline, round(avg(CASE WHEN round(own - seed, 12) < 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, round(any_value(split_win_rate), 6) AS split_win_rate, round((median(seed) - any_value(own)) / median(seed) * 100, 6) AS gap_pct,
+SELECT "window", subset, method, baseline, round(avg(CASE WHEN round(own - seed, 12) < 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, round(any_value(split_win_rate), 6) AS split_win_rate, round((median(seed) - any_value(own)) / median(seed) * 100, 6) + 0.0 AS gap_pct,
        round(avg(CASE WHEN seed > 2 * own THEN 1.0 ELSE 0 END), 6) AS catastrophic_rate FROM own JOIN seeds USING ("window", subset) JOIN per_split USING ("window", subset, method, baseline) GROUP BY "window", subset, method, baseline"""))
 def run_group_draw_comparison(spark, folder):
     """Run-group comparison with the draws."""
