@@ -1,6 +1,7 @@
 """Catalogue of selection methods, their labels and the evaluation of families."""
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import settled
 from . import blocks, calibration, clusters, errors, rounds, selection, strata
 from .rankings import FAMILIES
 
@@ -78,7 +79,7 @@ def covering_rows(members: DataFrame, keys, quotas: DataFrame, bandwidth: bool)
             .select(*keys, "_g.stratum", "_g.subset", "_g.quota", "instance", "vector", (F.col("_own") == F.col("_g.stratum")).alias("in_group")))
     if not bandwidth:
         return rows
-    return rows.join(blocks.median_positive_distance(members.where(F.col("vector").isNotNull()), keys), keys)
+    return rows.join(settled(blocks.median_positive_distance(members.where(F.col("vector").isNotNull()), keys)), keys)
 
 
 def evaluate_within_strata(members: DataFrame, keys, algorithm: str, fractions, rates: DataFrame, n_runs: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from subsetlab.functions.ranking import hash_key
 from subsetlab.operators import blocks, calibration, clusters, families, populations, rounds, selection, splits, strata
+from subsetlab.session import settled
 
 
 def quotas_of(spark, sizes, slots):
@@ -261,3 +262,19 @@ def test_kmeans_equals_plain_lloyd_rounds_and_sends_sums_only(spark, monkeypatch
         pairs = {(r["cluster"], int(v)) for r, v in zip(mine, labels[best])}
         assert len(mine) == len(x) and len(pairs) == len({p for p, _ in pairs}) == len({v for _, v in pairs})
     assert max(sent) <= 4 * 2 * sum(range(2, 9))   # 4 tasks; before, 7 or 5 rows per point
+
+
+def test_grid_grows_with_the_cells_and_mirrored_pairs_count_twice(spark, monkeypatch):
+    """About 128 blocks meet in 8 x 8 cells, so a block is copied 8 times (before: 16); the median over half the cells is that of all pairs."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    x = np.round(clustered(51, 512, 3), 1)
+    table = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g int, instance long, vector array<double>")
+    made = settled(blocks.to_blocks(table, ["g"]))
+    grid = blocks._grid(made, made, ["g"]).first()
+    n = made.count()
+    assert n > 100 and max(grid["_rows"], grid["_columns"]) <= 8
+    pairs = blocks.block_pairs(made, made, ["g"], mirrored=True)
+    assert pairs.agg(F.sum(F.when(F.col("twice"), 2).otherwise(1))).first()[0] == n * n
+    d = np.round(distance_matrix(x), 9)
+    monkeypatch.setattr(blocks, "HELD", 100)   # tasks hand their counts on early
+    assert math.isclose(blocks.median_positive_distance(table, ["g"]).first()["bandwidth"], np.median(d[d > 0]), abs_tol=2e-9)
