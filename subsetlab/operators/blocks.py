@@ -20,6 +20,8 @@ GRID = 8         # cells on each side of a group's grid, unless they would be la
 CELL_VALUES = 1 << 21
 HELD = 1 << 20   # counts that a task holds before it hands them on
 CELL_ROWS = 2048
+ROW_GRID = 4     # as GRID, for the sweeps over rows
+SWEPT_ROWS = 256 # left rows of a cell that are measured at a time
 MAX_PIVOTS = 64  # per group
 BIN_SHIFT = 36   # distances are binned by exponent and 16 mantissa bits
 
@@ -195,18 +197,30 @@ def cogrouped(left: DataFrame, right: DataFrame, keys, function, schema) -> Data
     return left.repartition(n, *keys).groupBy(*keys).cogroup(other.repartition(n, *right_keys).groupBy(*right_keys)).applyInPandas(run, schema)
 
 
+def row_sides(size, width):
+    """Cells on each side of the grid of a group of ``size`` rows with vectors of ``width`` numbers."""
+    rows = F.greatest(F.lit(CELL_ROWS), F.least(F.ceil(size / ROW_GRID), F.floor(F.lit(CELL_VALUES) / F.greatest(width, F.lit(1)))))
+    return F.ceil(size / rows).cast("int")
+
+
 def row_sweep(left: DataFrame, right: DataFrame, keys, per_cell, schema) -> DataFrame:
-    """Run ``per_cell(left rows, right rows) -> frame`` on every cell of a grid over the rows of a group: one partial value per row and cell.
+    """Run ``per_cell(left rows, right rows) -> frame`` on the cells of a grid over the rows of a group: one partial value per row and cell.
 
-    Both frames have ``size``, the rows of their group; a cell has about ``CELL_ROWS`` rows on each side. ``schema`` is that of the keys and
-    the frame.
+    Both frames have ``vector`` and ``size``, the rows of their group. A cell has at least about ``CELL_ROWS`` rows on each side and more in larger
+    groups, since every row is copied once per cell of its side; ``per_cell`` sees at most ``SWEPT_ROWS`` of the left ones at a time.
+    ``schema`` is that of the keys and the frame.
     """
     keys = list(keys)
-    sides = F.ceil(F.col("size") / CELL_ROWS).cast("int")
+    sides = row_sides(F.col("size"), F.size("vector"))
     dealt = F.pmod(F.xxhash64("instance"), sides).cast("int")
     every = F.explode(F.sequence(F.lit(0), sides - 1))
     a, b = left.withColumn("_i", dealt).withColumn("_j", every), right.withColumn("_j", dealt).withColumn("_i", every)
-    return cogrouped(a, b, [*keys, "_i", "_j"], lambda key, lefts, rights: per_cell(lefts, rights) if len(lefts) and len(rights) else None, schema)
+
+    def run(key, lefts, rights):
+        if len(lefts) and len(rights):
+            return pd.concat([per_cell(lefts.iloc[at:at + SWEPT_ROWS], rights) for at in range(0, len(lefts), SWEPT_ROWS)], ignore_index=True)
+
+    return cogrouped(a, b, [*keys, "_i", "_j"], run, schema)
 
 
 def total_distances(rows: DataFrame, candidates: DataFrame, keys) -> DataFrame:

@@ -150,3 +150,10 @@ def test_core_distances_and_tree_weight(spark, monkeypatch):
     tree = density.spanning_tree(rows.join(core, ["g", "instance"]), ["g"]).collect()
     assert len(tree) == len(x) - 1
     assert np.allclose(sorted(r["weight"] for r in tree), sorted(w for w, _, _ in edges))
+
+
+def test_grid_of_rows_grows_with_the_cells(spark):
+    """60,000 rows of 64 numbers meet in 4 x 4 cells (before: 30 x 30); wide vectors and very large groups keep the cells bounded."""
+    sides = lambda size, width: spark.range(1).select(blocks.row_sides(F.lit(size), F.lit(width))).first()[0]
+    assert [sides(n, 64) for n in (1, 2048, 2049, 10_000, 60_000, 600_000)] == [1, 1, 2, 4, 4, 19]
+    assert sides(60_000, 4096) == 30
