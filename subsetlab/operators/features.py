@@ -11,20 +11,21 @@ SMALL_SPREAD = 1e-8
 def trajectory_features(steps: DataFrame, trajectories: DataFrame, keys=("run", "instance")) -> DataFrame:
     """Ten features per trajectory; all null for a trajectory without steps.
 
-    Distinct files are counted by their own pair of aggregates (both combine on the map side) instead of a set per trajectory.
+    The steps are read once: a step with several files becomes a row per file, of which only the first counts as the step.
     """
     keys = list(keys)
-    size = F.coalesce("edit_size", F.lit(0)).cast("long")
-    hit = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
-    main = steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_steps"), F.log1p(F.sum(size).cast("double")).alias("total_edit_log"), hit(size > 0).alias("n_edit_steps"),
-        F.log1p(F.max(size).cast("double")).alias("max_edit_log"), hit(F.coalesce("error_message", F.lit("")) != "").alias("n_errors"),
-        hit(F.size("tests_run") > 0).alias("n_test_steps"), F.avg((F.col("action_header") == "execute_bash").cast("double")).alias("frac_bash"),
-        F.avg((F.col("action_header") == "str_replace_editor").cast("double")).alias("frac_edit"),
-        F.avg(F.log1p(F.length(F.coalesce("observation", F.lit(""))).cast("double"))).alias("mean_obs_len_log"))
-    files = (steps.select(*keys, F.explode("files_touched").alias("_file")).groupBy(*keys, "_file").agg(F.lit(1).alias("_1"))
-             .groupBy(*keys).agg(F.count(F.lit(1)).alias("_files")))
-    joined = trajectories.select(*keys).distinct().join(main, keys, "left").join(files, keys, "left")
+    measured = steps.select(*keys, F.coalesce("edit_size", F.lit(0)).cast("long").alias("_size"), (F.coalesce("error_message", F.lit("")) != "").alias("_error"),
+                            (F.size("tests_run") > 0).alias("_test"), "action_header", F.log1p(F.length(F.coalesce("observation", F.lit(""))).cast("double")).alias("_length"), "files_touched")
+    rows = measured.select(*keys, "_size", "_error", "_test", "action_header", "_length", F.posexplode_outer("files_touched").alias("_at", "_file"))
+    of_step = lambda value: F.when(F.coalesce("_at", F.lit(0)) == 0, value)
+    hit = lambda condition: F.sum(of_step(F.when(condition, 1).otherwise(0)))
+    main = rows.groupBy(*keys).agg(
+        F.count(of_step(F.lit(1))).alias("n_steps"), F.log1p(F.sum(of_step(F.col("_size"))).cast("double")).alias("total_edit_log"), hit(F.col("_size") > 0).alias("n_edit_steps"),
+        F.log1p(F.max("_size").cast("double")).alias("max_edit_log"), hit(F.col("_error")).alias("n_errors"), hit(F.col("_test")).alias("n_test_steps"),
+        F.avg(of_step((F.col("action_header") == "execute_bash").cast("double"))).alias("frac_bash"),
+        F.avg(of_step((F.col("action_header") == "str_replace_editor").cast("double"))).alias("frac_edit"), F.avg(of_step(F.col("_length"))).alias("mean_obs_len_log"),
+        F.countDistinct(F.when(F.col("_at").isNotNull(), F.struct("_file"))).alias("_files"))
+    joined = trajectories.select(*keys).distinct().join(main, keys, "left")
     known = joined.withColumn("n_unique_files", F.when(F.col("n_steps").isNotNull(), F.coalesce("_files", F.lit(0))))
     return known.select(*keys, *[F.col(f).cast("double").alias(f) for f in FEATURES])
 
