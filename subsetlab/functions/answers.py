@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -22,7 +23,7 @@ def _positions(found: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([f is None for f in found] + [False])), fields)
 
 
-def search_ahead(kinds: list, ids: list, calls: list, look_ahead: int, marked_id: str) -> list:
+def search_ahead(kinds: list, ids: list, calls: list, look_ahead: int, marked_id) -> list:
     """(message, call, answer) of every call in order, answer -1 where none is found.
 
     A call is answered by the first of the next ``look_ahead`` messages that is a tool's output with its id (no id answers no id), or,
@@ -47,20 +48,29 @@ def search_by_id(kinds: list, ids: list, calls: list) -> list:
     return [(message, call, last.get(call_id, -1)) for message, wanted in enumerate(calls) for call, call_id in enumerate(wanted or ())]
 
 
-def _over_batches(search, kinds: pa.Array, ids: pa.Array, calls: pa.Array) -> pa.Array:
-    rows = zip(kinds.to_pylist(), ids.to_pylist(), calls.to_pylist())
-    return _positions([None if k is None else search(k, i, c) for k, i, c in rows])
+def _over_batches(search, kinds: pa.Array, ids: pa.Array, calls: pa.Array, marked_id: str = None) -> pa.Array:
+    """Positions of every conversation; ids become numbers (none stays none), and the nested lists are cut from flat ones."""
+    wanted = calls.values
+    coded = pa.concat_arrays([ids.values, wanted.values]).dictionary_encode()
+    marked = pc.index(coded.dictionary, marked_id).as_py()
+    numbers = [None if at < 0 else at for at in coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+    kind, own, called = kinds.values.to_numpy(zero_copy_only=False).tolist(), numbers[:len(ids.values)], numbers[len(ids.values):]
+    in_kinds, in_ids, in_calls, in_wanted = [a.offsets.to_numpy().tolist() for a in (kinds, ids, calls, wanted)]
+    lists = [called[i:j] for i, j in zip(in_wanted, in_wanted[1:])]
+    cut = lambda flat, offsets, row: flat[offsets[row]:offsets[row + 1]]
+    known = kinds.is_valid().to_pylist()
+    return _positions([search(cut(kind, in_kinds, row), cut(own, in_ids, row), cut(lists, in_calls, row), marked) if known[row] else None for row in range(len(kinds))])
 
 
 def by_look_ahead(look_ahead: int, marked_id: str):
     """Column function (kinds, ids, call ids) -> positions, with a bounded look-ahead."""
     @F.arrow_udf(FOUND)
     def find(kinds: pa.Array, ids: pa.Array, calls: pa.Array) -> pa.Array:
-        return _over_batches(lambda k, i, c: search_ahead(k, i, c, look_ahead, marked_id), kinds, ids, calls)
+        return _over_batches(lambda k, i, c, marked: search_ahead(k, i, c, look_ahead, marked), kinds, ids, calls, marked_id)
     return find
 
 
 @F.arrow_udf(FOUND)
 def by_id(kinds: pa.Array, ids: pa.Array, calls: pa.Array) -> pa.Array:
     """Column function (kinds, ids, call ids) -> positions, over the whole conversation."""
-    return _over_batches(search_by_id, kinds, ids, calls)
+    return _over_batches(lambda k, i, c, marked: search_by_id(k, i, c), kinds, ids, calls)

@@ -225,7 +225,8 @@ def with_step_fields(steps: DataFrame, log_format: str) -> DataFrame:
     elif log_format == "refact":
         documents = F.col("_ok") & name.isin("create_textdoc", "update_textdoc")
         filed = F.col("_ok") & ~is_shell & ~documents & name.rlike("file|editor|replace|cat")
-        listed = F.from_json(argument("paths"), "array<string>")
+        steps = steps.withColumn("_listed", F.from_json(argument("paths"), "array<string>"))
+        listed = F.col("_listed")
         several = F.when(path.isNull() & listed.isNotNull(), listed)
         single = F.coalesce(path, F.when(listed.isNull(), argument("paths")))
         shown = F.when(several.isNotNull(), F.array_join(several, ", ")).otherwise(F.coalesce(single, F.lit("")))
@@ -243,7 +244,7 @@ def with_step_fields(steps: DataFrame, log_format: str) -> DataFrame:
             .withColumn("files_touched", files).withColumn("tests_run", F.when(tested, _strings(ran)).otherwise(_strings()))
             .withColumn("tests_passed", F.when(tested & looks_passed(F.col("observation")), _strings(F.lit("some"))).otherwise(_strings()))
             .withColumn("edit_size", size).withColumn("error_message", error_message(F.col("observation")))
-            .drop("_args", "_ok", "name", "arguments"))
+            .drop("_args", "_ok", "_listed", "name", "arguments"))
 
 
 def task_description(messages: Column, log_format: str) -> Column:
@@ -411,12 +412,13 @@ DERIVED_NAMES = ("think", "unknown", "Conclusion", "bash")
 DERIVED_PAYLOADS = ("None", "N/A", "think", "finish", "project", "[See final patch / summary]")
 
 
-def step_problems(steps: DataFrame, raw: DataFrame, keys=("run", "trajectory")) -> DataFrame:
+def step_problems(steps: DataFrame, raw: DataFrame = None, keys=("run", "trajectory")) -> DataFrame:
     """Checks a parsed step does not pass against its raw text; ``raw`` holds the raw text (JSON escapes decoded) per trajectory.
 
+    Without ``raw`` the steps bring their ``raw_text`` along from the row they were parsed from, and neither side is shuffled.
     A step whose trajectory has no raw text is reported as such and not compared with it.
     """
-    joined = steps.join(raw.select(*keys, "raw_text"), list(keys), "left")
+    joined = steps if raw is None else steps.join(raw.select(*keys, "raw_text"), list(keys), "left")
     payload = F.when(F.contains("action", F.lit(": ")), F.get(F.split("action", ": ", 2), F.lit(1))).otherwise(F.col("action"))
     inside = lambda value: F.contains("raw_text", value)
     code = F.regexp_extract("observation", EXIT_CODE, 1)
@@ -432,11 +434,10 @@ def step_problems(steps: DataFrame, raw: DataFrame, keys=("run", "trajectory"))
 
 
 def problem_summary(checked: DataFrame) -> DataFrame:
-    """Per run and check: number of steps that fail it (check is empty for the totals)."""
-    totals = checked.groupBy("run").agg(F.lit("").alias("check"), F.count(F.lit(1)).alias("steps"), F.sum((F.size("problems") > 0).cast("long")).alias("failing"))
-    by_check = (checked.select("run", F.explode("problems").alias("check")).groupBy("run", "check")
-                .agg(F.lit(None).cast("long").alias("steps"), F.count(F.lit(1)).alias("failing")))
-    return totals.unionByName(by_check)
+    """Per run and check: number of steps that fail it (check is empty for the totals); the steps are checked once."""
+    rows = checked.select("run", F.size("problems").alias("_n"), F.explode_outer(F.concat(F.array(F.lit("")), "problems")).alias("check"))
+    return (rows.groupBy("run", "check").agg(F.count(F.lit(1)).alias("_rows"), F.sum((F.col("_n") > 0).cast("long")).alias("failing"))
+            .select("run", "check", F.when(F.col("check") == "", F.col("_rows")).alias("steps"), "failing"))
 
 
 def problem_examples(checked: DataFrame, limit: int = 20) -> DataFrame:

@@ -131,7 +131,7 @@ def labelled_documents(spark, folder):
 SELECT run, trajectory, md5('Order ' || trajectory || ' ' || array_to_string(list(action || ' ' || observation ORDER BY n), ' ')) AS text_md5 FROM steps GROUP BY run, trajectory"""))
 def trajectory_texts(spark, folder):
     """V1: description, actions and observations of a trajectory as one text."""
-    return corpus.trajectory_text(parsed(spark, folder, "openhands")).select("run", "trajectory", F.md5("text").alias("text_md5"))
+    return corpus.trajectory_text(parsed(spark, folder, "openhands"), ("run", "instance", "trajectory")).select("run", "trajectory", F.md5("text").alias("text_md5"))
 
 
 @register("vocabulary", sql("""words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_\\-\\.]+')) AS token FROM documents),

@@ -1,10 +1,14 @@
 """Log formats, validation, masking and sources on small hand-made inputs."""
 import json
+import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from subsetlab.functions import answers
 from subsetlab.operators import corpus, cost, features, logs, masking, runs
+from subsetlab.plans import queries_logs
 from subsetlab.sources import audits, rules, scans
 
 
@@ -245,3 +249,43 @@ def test_trajectory_without_steps_keeps_its_description(spark):
     texts = {r["trajectory"]: r["text"] for r in corpus.trajectory_text(steps, trajectories=every).collect()}
     assert texts == {"a": "task a look run out", "b": "task b", "c": ""}
     assert {r["trajectory"] for r in corpus.trajectory_text(steps).collect()} == {"a"}
+
+
+def test_lines_are_placed_once_and_messages_are_not_shuffled(spark):
+    plan = queries_logs.conversations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange " in line]
+    assert len(exchanges) == 1 and plan.index("Exchange ") > plan.index("Window ") > plan.index("collect_list")
+
+
+def test_features_read_the_steps_once_and_count_a_step_with_several_files_once(spark):
+    steps = spark.createDataFrame([("r", 1, "think", 2, "", ["f", "g", None], [], "ab"), ("r", 1, "think", 4, "boom", None, ["t"], ""), ("r", 1, "think", 6, "", ["g", "f"], ["t"], "")],
+                                  "run string, instance long, action_header string, edit_size int, error_message string, files_touched array<string>, tests_run array<string>, observation string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        calls.add(1)
+        return text
+    seen = features.trajectory_features(steps.withColumn("observation", counted("observation")), steps.select("run", "instance")).collect()
+    assert [(r["n_steps"], r["n_edit_steps"], r["n_errors"], r["n_test_steps"], r["n_unique_files"]) for r in seen] == [(3, 3, 1, 2, 3)]
+    assert seen[0]["total_edit_log"] == pytest.approx(math.log1p(12)) and seen[0]["mean_obs_len_log"] == pytest.approx(math.log1p(2) / 3)
+    plan = features.trajectory_features(steps.withColumn("observation", counted("observation")), steps.select("run", "instance"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and calls.value == 3
+
+
+def test_problems_are_counted_in_one_pass_over_steps_with_their_text(spark):
+    steps = spark.createDataFrame([("r", "t", 1, "bash", "bash: ls", "", "", "bash ls"), ("r", "t", 2, "bash", "bash: rm", "gone", "", "bash ls"), ("r", "t", 3, "cat", "cat: ls", "", "", None)],
+                                  "run string, trajectory string, step_index int, action_header string, action string, observation string, error_message string, raw_text string")
+    summary = logs.problem_summary(logs.step_problems(steps))
+    assert {(r["check"], r["steps"], r["failing"]) for r in summary.collect()} == {
+        ("", 3, 2), ("action payload", None, 1), ("observation", None, 1), ("no raw text", None, 1)}
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
+def test_answers_over_batches_with_missing_ids_and_conversations():
+    kinds, ids = pa.array([[0, 1, 0, 2], None, [1, 0, 1]], pa.list_(pa.int8())), pa.array([[None, "a", None, None], None, ["b", None, None]])
+    calls = pa.array([[["a"], [], ["xml"], []], None, [[], ["b", None], None]])
+    ahead = answers._over_batches(lambda k, i, c, marked: answers.search_ahead(k, i, c, 3, marked), kinds, ids, calls, "xml").to_pylist()
+    assert [f and [tuple(p.values()) for p in f] for f in ahead] == [[(0, 0, 1), (2, 0, 3)], None, [(1, 0, -1), (1, 1, 2)]]
+    by_id = answers._over_batches(lambda k, i, c, marked: answers.search_by_id(k, i, c), kinds.slice(1), ids.slice(1), calls.slice(1)).to_pylist()
+    assert [f and [tuple(p.values()) for p in f] for f in by_id] == [None, [(1, 0, 0), (1, 1, -1)]]
