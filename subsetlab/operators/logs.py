@@ -22,6 +22,8 @@ TEST_SCRIPT = r"(?U)\b(\w*test\w*\.py|\w*reproduce\w*\.py|\w*verify\w*\.py|\w*ve
 TEST_SCRIPT_SHORT = r"(?U)\b(\w*test\w*\.py|\w*reproduce\w*\.py|\w*verify\w*\.py)\b"
 PASS_MARK = "✅"
 
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"   # as (?U)\s
+
 CALL = "struct<id:string,name:string,arguments:string>"
 MESSAGE = f"struct<role:string,text:string,tool_call_id:string,calls:array<{CALL}>>"
 RAW_MESSAGE = ("array<struct<role:string,content:variant,tool_call_id:string,"
@@ -31,7 +33,7 @@ STEP_FIELDS = ("action", "action_header", "action_command", "files_touched", "te
 
 def strip(text: Column) -> Column:
     """Text without surrounding white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def message_text(content: Column, all_parts: bool = False) -> Column:
@@ -325,14 +327,13 @@ def parse_text_logs(logs: DataFrame, text: str = "text", shown_characters=None)
     """
     solver = strip(F.regexp_extract(text, r"(?s)<problem_solver 0>(.*?)</problem_solver 0>", 1))
     described = logs.withColumn("task_description", strip(F.regexp_extract(text, r"(?s)<issue_description>(.*?)</issue_description>", 1)))
-    sections = F.split(solver, r"\n## Step \d+\n")
-    paired = F.transform(sections, lambda s, i: F.struct(s.alias("section"), F.coalesce(F.get(sections, i + 1), F.lit("")).alias("next")))
     others = [c for c in described.columns if c != text]
-    rows = (explode_computed(described, others, paired).where(F.col("_at") > 0)
+    split = described.select(*others, F.split(solver, r"\n## Step \d+\n").alias("_sections"))   # a column, or every section would split the log again
+    paired = F.transform("_sections", lambda s, i: F.struct(s.alias("section"), F.coalesce(F.get("_sections", i + 1), F.lit("")).alias("next")))
+    rows = (explode_computed(split, others, paired).where(F.col("_at") > 0)
             .select(*others, F.col("_at").alias("step_index"), "_s.section", "_s.next"))
     part = lambda column, pattern: strip(F.regexp_extract(column, pattern, 1))
-    own = F.when(part("section", OBSERVATION) != "", part("section", OBSERVATION)).otherwise(part("section", THINKING))
-    rows = (rows.withColumn("_own", own).withColumn("_action", part("section", ACTION)).withColumn("_has", F.col("section").rlike(ACTION))
+    rows = (rows.withColumn("_own", part("section", OBSERVATION)).withColumn("_own", F.when(F.col("_own") != "", F.col("_own")).otherwise(part("section", THINKING))).withColumn("_action", part("section", ACTION)).withColumn("_has", F.col("section").rlike(ACTION))
             .withColumn("_result", part("next", OBSERVATION)).withColumn("_either", part("next", EITHER)))
     called = F.col("_action").rlike(r"(?s)^\w+\(.*\)")
     concluded = F.col("_action").rlike("^(" + "|".join(CONCLUSIONS) + ")")
@@ -346,9 +347,11 @@ def parse_text_logs(logs: DataFrame, text: str = "text", shown_characters=None)
     viewer = has & F.col("name").isin("view_file_content", "view_directory", "search_files_by_keywords")
     asked, thought = has & (F.col("name") == "ask_repository_agent"), has & (F.col("name") == "think")
     final = has & (F.col("name") == "Conclusion")
-    line = F.coalesce(arg("command"), F.col("arguments"))
-    verb = F.coalesce(arg("command"), F.lit("view"))
-    path = F.when(editor, arg("path")).when(viewer, arg("file_name", "dir_path", "directory"))
+    # Columns of their own, since each is read several times.
+    rows = (rows.withColumn("_command", F.when(shell | editor, arg("command"))).withColumn("_line", F.when(shell, F.coalesce("_command", "arguments")))
+            .withColumn("_path", F.when(editor, arg("path")).when(viewer, arg("file_name", "dir_path", "directory")))
+            .withColumn("_text", F.when(editor & (F.col("_command") == "create"), arg("file_text"))).withColumn("_ran", test_name(F.col("_line"))))
+    line, verb, path, ran = F.col("_line"), F.coalesce("_command", F.lit("view")), F.col("_path"), F.col("_ran")
     observation = (F.when(shell | asked, F.col("_either")).when((editor | viewer) & (F.col("_result") != ""), F.col("_result"))
                    .when(final & ~called, F.col("_action")).otherwise(F.col("_own")))
     shown = lambda prefix, value: F.concat(F.lit(prefix), _shorten(value, shown_characters))
@@ -357,9 +360,8 @@ def parse_text_logs(logs: DataFrame, text: str = "text", shown_characters=None)
               .when(asked, shown("ask_repository_agent: ", F.coalesce(arg("query"), F.col("arguments"))))
               .when(final, "Conclusion: [See final patch / summary]")
               .otherwise(F.concat(F.col("name"), F.lit(": "), _shorten(F.col("arguments"), shown_characters))))
-    size = (F.when(editor & (verb == "create") & (F.coalesce(arg("file_text"), F.lit("")) != ""), line_count(arg("file_text")))
+    size = (F.when(F.coalesce("_text", F.lit("")) != "", line_count(F.col("_text")))
             .when(editor & (verb == "str_replace"), edit_size(F.coalesce(arg("old_str"), F.lit("")), F.coalesce(arg("new_str"), F.lit("")))).otherwise(0))
-    ran = test_name(line)
     return (rows.withColumn("observation", observation)
             .withColumn("action", action).withColumn("action_header", F.when(shell, "bash").otherwise(F.col("name")))
             .withColumn("action_command", F.when(shell, command_name(line)).when(editor, verb).otherwise(F.col("name")))
