@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from subsetlab.llm import components, simhash, vectors
 from tests.llm import edge
@@ -73,6 +74,13 @@ def test_components_of_a_long_chain_a_star_and_no_links(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_component_rounds_do_not_grow_the_planners_sizes(spark):
+    links = spark.range(500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = components.connected_components(links)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2 ** 128   # a checkpoint's estimate triples its digits per round
+    assert found.filter("component = 0").count() == 501
+
+
 @pytest.mark.parametrize("shard", [2048, 25])
 def test_vectors_against_all_pairs(spark, monkeypatch, shard):
     monkeypatch.setattr(vectors, "SHARD", shard)
