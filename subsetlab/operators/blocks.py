@@ -114,6 +114,11 @@ def product_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of two matrices one by one: the same numbers as in ``distances``, whichever side a row is on."""
+    return np.concatenate([np.sqrt(np.square(b[at:at + MEASURED] - a[at:at + MEASURED]).sum(axis=1)) for at in range(0, max(len(a), 1), MEASURED)])
+
+
 def _grid(left: DataFrame, right: DataFrame, keys, side: int = None) -> DataFrame:
     """(keys, _rows, _columns): how many cells the left and the right blocks of a group are dealt to."""
     size = F.lit(side) if side else F.greatest(F.lit(CELL_BLOCKS), F.least(F.ceil(F.col("_n") / GRID), F.floor(F.lit(CELL_VALUES) / F.greatest("_width", F.lit(1)))))
@@ -227,7 +232,7 @@ def row_sides(size, width):
 
 
 def row_sweep(left: DataFrame, right: DataFrame, keys, per_cell, schema) -> DataFrame:
-    """Run ``per_cell(left rows, right rows) -> frame`` on the cells of a grid over the rows of a group: one partial value per row and cell.
+    """Run ``per_cell(left rows, right rows, left vectors, right vectors) -> frame`` on the cells of a grid over the rows of a group: one partial value per row and cell.
 
     Both frames have ``vector`` and ``size``, the rows of their group. A cell has at least about ``CELL_ROWS`` rows on each side and more in larger
     groups, since every row is copied once per cell of its side; ``per_cell`` sees at most ``SWEPT_ROWS`` of the left ones at a time.
@@ -241,7 +246,8 @@ def row_sweep(left: DataFrame, right: DataFrame, keys, per_cell, schema) -> Data
 
     def run(key, lefts, rights):
         if len(lefts) and len(rights):
-            return pd.concat([per_cell(lefts.iloc[at:at + SWEPT_ROWS], rights) for at in range(0, len(lefts), SWEPT_ROWS)], ignore_index=True)
+            x, y = (np.stack(frame["vector"].to_list()).astype(float) for frame in (lefts, rights))
+            return pd.concat([per_cell(lefts.iloc[at:at + SWEPT_ROWS], rights, x[at:at + SWEPT_ROWS], y) for at in range(0, len(lefts), SWEPT_ROWS)], ignore_index=True)
 
     return cogrouped(a, b, [*keys, "_i", "_j"], run, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.vector_udfs import euclidean
 from ..session import settled
-from .blocks import cogrouped, distances, row_sweep
+from .blocks import cogrouped, pair_distances, product_distances, row_sweep
 
 MIN_TO_CLUSTER = 20
 CUTS = 64
@@ -29,14 +29,15 @@ BAND = 100_000
 JUMPS = 3               # doublings of the way to a root per job
 BAND_IDS = 1_000_000    # cluster numbers of one band
 LEAST_WEIGHT = 1e-9     # of an edge, so that its inverse is finite
+MARGIN, SHARE = 4e-9, 1e-11   # distances from products of matrices are nearer than this, and this share of them, to the rounded ones
 
 
 def _keyed(df: DataFrame, keys, *fields) -> StructType:
     return StructType([*[df.schema[k] for k in keys], *[StructField(name, kind()) for name, kind in fields]])
 
 
-def vectors_of(frame) -> np.ndarray:
-    return np.stack(frame["vector"].to_list()).astype(float)
+def _slack(d):
+    return MARGIN + SHARE * np.abs(d)
 
 
 def core_distances(rows: DataFrame, keys) -> DataFrame:
@@ -51,10 +52,10 @@ def core_distances(rows: DataFrame, keys) -> DataFrame:
     counts = _keyed(rows, keys, ("instance", LongType), *[(e, LongType) for e in edges])
     cuts = CUTS
 
-    def count(lefts, rights):
+    def count(lefts, rights, x, y):
         low, high = lefts["low"].to_numpy(), lefts["high"].to_numpy()
         at = low[:, None] + (high - low)[:, None] * np.arange(cuts + 1) / cuts
-        below = np.array([np.searchsorted(np.sort(np.round(d, DIGITS)), c) for d, c in zip(distances(vectors_of(lefts), vectors_of(rights)), at)])
+        below = np.array([np.searchsorted(d, c) for d, c in zip(np.sort(product_distances(x, y), axis=1), at)])
         return pd.DataFrame(below, columns=edges).assign(instance=lefts["instance"].to_numpy())
 
     while True:
@@ -68,14 +69,14 @@ def core_distances(rows: DataFrame, keys) -> DataFrame:
             break
     values = _keyed(rows, keys, ("instance", LongType), ("value", DoubleType), ("n", LongType))
 
-    def collect(lefts, rights):
-        """Distances inside the bracket and, with the value below it, how many there are before; the bracket's ends are counted anew."""
-        parts = []
-        for name, low, high, d in zip(lefts["instance"], lefts["low"], lefts["high"], distances(vectors_of(lefts), vectors_of(rights))):
-            d = np.round(d, DIGITS)
-            value, n = np.unique(d[(d >= low) & (d < high)], return_counts=True)
-            parts.append(pd.DataFrame({"instance": name, "value": np.append(value, -1.0), "n": np.append(n, (d < low).sum())}))
-        return pd.concat(parts, ignore_index=True)
+    def collect(lefts, rights, x, y):
+        """Distances inside the bracket, widened by the margin and measured pair by pair, and, with the value below it, how many there are before."""
+        d, low, high = product_distances(x, y), lefts["low"].to_numpy()[:, None], lefts["high"].to_numpy()[:, None]
+        before = d < low - _slack(low)
+        i, j = np.nonzero((d < high + _slack(high)) & ~before)
+        found = pd.DataFrame({"instance": lefts["instance"].to_numpy()[i], "value": np.round(pair_distances(x[i], y[j]), DIGITS)})
+        found = found.groupby(["instance", "value"], sort=False).size().rename("n").reset_index()
+        return pd.concat([found, pd.DataFrame({"instance": lefts["instance"].to_numpy(), "value": -1.0, "n": before.sum(axis=1)})], ignore_index=True)
 
     inside = row_sweep(state, right, keys, collect, values).groupBy(*keys, "instance", "value").agg(F.sum("n").alias("n"))
     running = Window.partitionBy(*keys, "instance").orderBy("value")   # the value -1 stands for all below the bracket
@@ -83,18 +84,32 @@ def core_distances(rows: DataFrame, keys) -> DataFrame:
     return placed.where((F.col("_upto") > F.col("near")) & (F.col("value") >= 0)).groupBy(*keys, "instance").agg(F.min("value").alias("core"))
 
 
-def lightest_edges(own, other, weights, a, b):
-    """Per component of ``own`` the lightest edge to another one: frame (component, to, weight, a, b); ties by the smaller, then the larger end."""
-    weights = np.where(own[:, None] == other[None, :], np.inf, weights)
-    least = weights.min(axis=1)
-    rows = np.nonzero(np.isfinite(least))[0]
-    i, j = np.nonzero(weights[rows] == least[rows][:, None])
+def lightest_edges(own, other, core, cores, a, b, x, y):
+    """Per component of ``own`` the lightest edge to another one: frame (component, to, weight, a, b); ties by the smaller, then the larger end.
+
+    A product of matrices leaves the edges that can be the lightest; of these, distances that decide are measured pair by pair, so that both
+    ends of an edge see the same weight.
+    """
+    near = product_distances(x, y)
+    weights = np.maximum(near, np.maximum(core[:, None], cores[None, :]))
+    weights[own[:, None] == other[None, :]] = np.inf
+    row_least = weights.min(axis=1)
+    groups, of = np.unique(own, return_inverse=True)
+    least = np.full(len(groups), np.inf)
+    np.minimum.at(least, of, row_least)
+    most = (least + _slack(least))[of]
+    rows = np.flatnonzero(np.isfinite(row_least) & (row_least <= most))
+    i, j = np.nonzero(weights[rows] <= most[rows][:, None])
     i = rows[i]
+    exact = np.maximum(core[i], cores[j])
+    unsure = np.flatnonzero(near[i, j] > exact - _slack(exact))
+    exact[unsure] = np.maximum(exact[unsure], pair_distances(x[i[unsure]], y[j[unsure]]))
+    exact = np.round(exact, DIGITS)
     low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-    order = np.lexsort((high, low, weights[i, j], own[i]))
-    i, j, low, high = i[order], j[order], low[order], high[order]
+    order = np.lexsort((high, low, exact, own[i]))
+    i, j, low, high, exact = i[order], j[order], low[order], high[order], exact[order]
     first = np.append(True, own[i][1:] != own[i][:-1])[:len(i)]
-    return pd.DataFrame({"component": own[i][first], "to": other[j][first], "weight": weights[i, j][first], "a": low[first], "b": high[first]})
+    return pd.DataFrame({"component": own[i][first], "to": other[j][first], "weight": exact[first], "a": low[first], "b": high[first]})
 
 
 def spanning_tree(rows: DataFrame, keys) -> DataFrame:
@@ -108,10 +123,9 @@ def spanning_tree(rows: DataFrame, keys) -> DataFrame:
     schema = _keyed(rows, keys, ("component", LongType), ("to", LongType), ("weight", DoubleType), ("a", LongType), ("b", LongType))
     rounds = []
 
-    def lightest(lefts, rights):
-        a, b, core, other = lefts["instance"].to_numpy(), rights["instance"].to_numpy(), lefts["core"].to_numpy(), rights["core"].to_numpy()
-        weights = np.round(np.maximum(np.maximum(distances(vectors_of(lefts), vectors_of(rights)), core[:, None]), other[None, :]), DIGITS)
-        return lightest_edges(lefts["component"].to_numpy(), rights["component"].to_numpy(), weights, a, b)
+    def lightest(lefts, rights, x, y):
+        columns = [frame[name].to_numpy() for name in ("component", "core", "instance") for frame in (lefts, rights)]
+        return lightest_edges(*columns, x, y)
 
     while True:
         here = rows.join(labels, [*keys, "instance"])

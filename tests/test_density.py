@@ -157,3 +157,20 @@ def test_grid_of_rows_grows_with_the_cells(spark):
     sides = lambda size, width: spark.range(1).select(blocks.row_sides(F.lit(size), F.lit(width))).first()[0]
     assert [sides(n, 64) for n in (1, 2048, 2049, 10_000, 60_000, 600_000)] == [1, 1, 2, 4, 4, 19]
     assert sides(60_000, 4096) == 30
+
+
+def test_lightest_edges_of_both_sides_have_the_same_exact_weight():
+    """Far from the origin, where a product loses digits, and with copies: both sides of a cut see the plain weight, ends included."""
+    pick = np.random.default_rng(9)
+    x, y = (np.vstack([v, v[:5]]) + 300 for v in (pick.standard_normal((60, 8)), pick.standard_normal((80, 8))))
+    core, cores = pick.uniform(0, 2, len(x)), pick.uniform(0, 2, len(y))
+    a, b = np.arange(len(x)), np.arange(len(y)) + 1000
+    d = np.array([np.sqrt(np.square(y - row).sum(axis=1)) for row in x])
+    plain = np.round(np.maximum(np.maximum(d, core[:, None]), cores[None, :]), 9)
+    one = density.lightest_edges(np.zeros(len(x), int), np.ones(len(y), int), core, cores, a, b, x, y)
+    back = density.lightest_edges(np.ones(len(y), int), np.zeros(len(x), int), cores, core, b, a, y, x)
+    i, j = min(zip(*np.nonzero(plain == plain.min())))
+    for found in (one, back):
+        assert found[["weight", "a", "b"]].values.tolist() == [[plain.min(), i, j + 1000]]
+    each = density.lightest_edges(a, b, core, cores, a, b, x, y)
+    assert (each["weight"].to_numpy() == plain.min(axis=1)).all()
