@@ -36,3 +36,17 @@ def test_product_distances_take_a_fraction_of_the_time():
         return min(times)
 
     assert 2 * seconds(blocks.product_distances) < seconds(blocks.distances)
+
+
+def test_pairs_meet_in_larger_blocks_with_the_same_sums(spark, monkeypatch):
+    """300 rows in blocks of about 64 make at most 36 pairs (before: blocks of 16, over 300 pairs); sums and median are the plain ones."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
+    x = np.random.default_rng(4).standard_normal((300, 5))
+    table = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g int, instance long, vector array<double>")
+    met, plain = [], blocks.block_pairs
+    monkeypatch.setattr(blocks, "block_pairs", lambda *a, **b: (met.append(plain(*a, **b).count()), plain(*a, **b))[1])
+    d = np.sqrt(np.square(x[:, None, :] - x[None, :, :]).sum(axis=2))
+    found = {r["instance"]: r["total_distance"] for r in blocks.total_distances(table, table, ["g"]).collect()}
+    assert np.allclose([found[i] for i in range(len(x))], d.sum(axis=1), rtol=1e-12)
+    assert abs(blocks.median_positive_distance(table, ["g"]).first()["bandwidth"] - np.median(d[d > 0])) < 2e-9
+    assert met and max(met) <= 36
